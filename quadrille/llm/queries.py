@@ -1,17 +1,19 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from quadrille.llm import decontaminate, language, lines, packing, quality, url_filter
+from quadrille.llm import decontaminate, language, lines, packing, quality, topk, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_quality_classifier": quality.query,
     "op4_language_id": language.query,
     "op5_line_dedup": lines.query,
+    "op6_exact_top_k": topk.query,
     "op7_decontaminate": decontaminate.query,
     "op10_url_filter": url_filter.query,
 }
 
 ORACLES = {
     "op5_line_dedup": lines.ORACLE,
+    "op6_exact_top_k": topk.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
