@@ -1,10 +1,11 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from quadrille.llm import decontaminate, language, lines, packing, quality, topk, url_filter
+from quadrille.llm import decontaminate, language, lines, near_dup, packing, quality, topk, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_quality_classifier": quality.query,
+    "op3_minhash_near_dup": near_dup.query,
     "op4_language_id": language.query,
     "op5_line_dedup": lines.query,
     "op6_exact_top_k": topk.query,
