@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from quadrille.llm import decontaminate, language, lines, near_dup, packing, quality, topk, url_filter
+from quadrille.llm import decontaminate, language, lines, near_dup, packing, quality, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -10,6 +10,7 @@ QUERIES = {
     "op5_line_dedup": lines.query,
     "op6_exact_top_k": topk.query,
     "op7_decontaminate": decontaminate.query,
+    "op8_toxicity": toxicity.query,
     "op10_url_filter": url_filter.query,
 }
 
