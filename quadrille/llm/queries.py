@@ -1,6 +1,6 @@
 """The queries of this subpackage, by name, and their SQL where SQL can express them."""
 
-from quadrille.llm import decontaminate, language, lines, near_dup, packing, quality, topk, toxicity, url_filter
+from quadrille.llm import decontaminate, language, lines, near_dup, packing, quality, substrings, topk, toxicity, url_filter
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op6_exact_top_k": topk.query,
     "op7_decontaminate": decontaminate.query,
     "op8_toxicity": toxicity.query,
+    "op9_suffix_dedup": substrings.query,
     "op10_url_filter": url_filter.query,
 }
 
