@@ -1,3 +1,64 @@
-STAGES=[]
-ORACLE_SQL=None
-def run(spark,sf_dir): raise NotImplementedError
+"""A corpus pipeline: quality, line dedup, near-dedup, decontamination, packing.
+
+Each stage takes (spark, docs, sf_dir) and returns a DataFrame; ``run`` writes each result as Parquet in the shared
+folder and reads it again as the next stage's ``docs``. All but the last return the columns of ``documents``.
+"""
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quadrille.llm import decontaminate as leaks
+from quadrille.llm import lines, near_dup, packing
+from quadrille.llm import quality as good
+from quadrille.llm.storage import bounded, stored
+
+COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
+
+
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a quality score of at least 0.3; the classifier is fitted on the labelled documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = good.with_quality(docs.select(*COLUMNS), good.fit(docs, labels), out="__score")
+    return scored.where("__score >= 0.3").select(*COLUMNS)
+
+
+def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without lines that are on eight sites or more; n_chars is that of what is left."""
+    found = lines.dedup_lines(docs.select(*COLUMNS), out="__lines")
+    return found.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five words, 0.8), the one with the least doc_id; one row for a doc_id."""
+    found = near_dup.near_duplicates(docs)
+    away = found.where(~F.col("kept")).select(F.col("doc_id").alias("__away")).distinct()
+    kept = docs.select(*COLUMNS).join(bounded(away), F.col("doc_id") == F.col("__away"), "left_anti")
+    repeated = kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return kept
+    return kept.where("doc_id IS NOT NULL").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id IS NULL"))
+
+
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without any window of ten words of a benchmark item."""
+    benchmark = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = leaks.decontaminate(docs.select(*COLUMNS), benchmark, out="__leaks")
+    return found.where("__leaks.n_hit = 0").select(*COLUMNS)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of documents in bins of 2048 words."""
+    return packing.pack(packing.measured(docs, ["doc_id", "source"]))
+
+
+STAGES = [("quality", quality), ("line_dedup", line_dedup), ("near_dedup", near_dedup), ("decontaminate", decontaminate), ("pack", pack)]
+
+#: Scores and packing aren't SQL; tests hold the stages against brute force.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)
