@@ -5,10 +5,11 @@ Words are runs of anything but ASCII white space, after A-Z are lower-cased; a t
 least ``percent`` / 100; a component is what links reach.
 
 Documents with the same set are one node. A signature has 128 MinHash values of 16 bits in 32 bands of 4 (a pair at 0.8
-shares no band with a probability of 5e-8). Candidates are verified in two rounds, so that a bucket of a third of all
+shares no band with a probability of 5e-8) and 384 values of 8 bits that only verification uses. Candidates are verified in two rounds, so that a bucket of a third of all
 documents costs no square of pairs: first each member against the bucket's least member; then, in buckets that still
 span several components, each member outside the bucket's largest component against the members of other components,
-in blocks. Members that are connected already need no comparison, so no link between components is left out.
+in blocks. Members that are connected already need no comparison, so no link between components is left out; a pair is
+compared only in the bucket of the first band that it shares.
 
 A candidate pair's signatures are compared batch by batch; it is dropped as soon as the posterior probability (uniform
 prior) that its similarity reaches the threshold is under ``miss``. What survives is confirmed on the full sets.
@@ -30,8 +31,9 @@ from quadrille.llm.components import components
 from quadrille.llm.storage import bounded, drop_stored, stored
 
 BANDS, ROWS = 32, 4
-HASHES = BANDS * ROWS
-_BATCHES = (16, 32, 64, 96, 128)
+BANDED, HASHES = BANDS * ROWS, 512
+BYTES = 2 * BANDED + HASHES - BANDED
+_BATCHES = (16, 32, 64, 128, 256, 512)
 _rng = np.random.default_rng(42)
 _XOR, _ODD = _rng.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2), _rng.integers(0, 2**63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -57,7 +59,7 @@ def _sign(column, size: int) -> pa.Array:
         full = counts > 0
         at = off[:-1][full]
         n.append(counts)
-        mins = np.zeros((len(counts), HASHES), np.uint16)
+        mins = np.zeros((len(counts), BYTES), np.uint8)
         for k in range(2):
             made = np.zeros(len(counts), np.uint64)
             if len(h):
@@ -65,11 +67,15 @@ def _sign(column, size: int) -> pa.Array:
             sums[k].append(made.view(np.int64))
         if len(h):
             for k in range(HASHES):
-                mins[full, k] = tx.mix(np.minimum.reduceat((h ^ _XOR[k]) * _ODD[k], at)) >> np.uint64(48)
+                least = tx.mix(np.minimum.reduceat((h ^ _XOR[k]) * _ODD[k], at))
+                if k < BANDED:
+                    mins.view(np.uint16)[full, k] = least >> np.uint64(48)
+                else:
+                    mins[full, BANDED + k] = least >> np.uint64(56)
         signatures.append(mins.view(np.int64))
     n = np.concatenate(n) if n else np.zeros(0, np.int64)
     flat = np.concatenate(signatures).ravel() if signatures else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * BANDS), pa.array(flat))
+    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (BYTES // 8)), pa.array(flat))
     return pa.StructArray.from_arrays([pa.array(n), *(pa.array(np.concatenate(s) if s else np.zeros(0, np.int64)) for s in sums), lists], names=["n", "s1", "s2", "signature"])
 
 
@@ -98,8 +104,9 @@ def least_matches(percent: int, miss: float) -> dict[int, int]:
 def _survivors(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray:
     """Rows of ``a`` and ``b`` (signatures; ``a`` may be one) that aren't pruned."""
     alive, matches, before = np.arange(len(b)), np.zeros(len(b), np.int64), 0
+    values = lambda x, i, j: x.view(np.uint16)[:, i:j] if j <= BANDED else x[:, BANDED + i : BANDED + j]
     for n in _BATCHES:
-        matches = matches + ((a[alive] if len(a) == len(b) else a)[:, before:n] == b[alive, before:n]).sum(axis=1)
+        matches = matches + (values(a[alive] if len(a) == len(b) else a, before, n) == values(b[alive], before, n)).sum(axis=1)
         left = matches >= least[n]
         alive, matches, before = alive[left], matches[left], n
         if not len(alive):
@@ -110,7 +117,7 @@ def _survivors(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarra
 def _signatures(column) -> np.ndarray:
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
-    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False)).view(np.uint16).reshape(len(column), HASHES)
+    return np.ascontiguousarray(column.flatten().to_numpy(zero_copy_only=False)).view(np.uint8).reshape(len(column), BYTES)
 
 
 def _pruned(pairs: DataFrame, signed: DataFrame, least: dict[int, int]) -> DataFrame:
@@ -131,38 +138,38 @@ def _compared(blocks: DataFrame, least: dict[int, int], parts: int) -> DataFrame
     A group is (k, i, j); rows come sorted, so a task holds one group at a time.
     """
 
-    def group(minor, ids, comps, sigs):
+    def group(band, minor, ids, comps, sigs):
+        bands = sigs.view(np.int64)[:, :BANDS]
         for p in np.flatnonzero(minor):
             other = np.flatnonzero((comps != comps[p]) & ~(minor & (ids < ids[p])))
+            if len(other) and band:
+                other = other[~(bands[other, :band] == bands[p, :band]).any(axis=1)]
             if len(other):
                 for q in other[_survivors(sigs[p : p + 1], sigs[other], least)]:
                     yield int(min(ids[p], ids[q])), int(max(ids[p], ids[q]))
 
     def run(batches):
         held = None
-        made: set = set()
         for batch in batches:
             table = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
             keys = np.stack([table.column(c).to_numpy() for c in ("k", "i", "j")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             if len(cuts):
-                yield from emit(table.slice(0, cuts[-1]), cuts, made)
+                yield from emit(table.slice(0, cuts[-1]), cuts)
             held = table.slice(cuts[-1] if len(cuts) else 0)
         if held is not None and held.num_rows:
-            yield from emit(held, np.array([held.num_rows]), made)
+            yield from emit(held, np.array([held.num_rows]))
 
-    def emit(table, cuts, made):
-        ids, comps, minor, sigs = table.column("id").to_numpy(), table.column("comp").to_numpy(), table.column("minor").to_numpy(), _signatures(table.column("signature"))
+    def emit(table, cuts):
+        ids, comps, minor, band, sigs = (*(table.column(c).to_numpy() for c in ("id", "comp", "minor", "band")), _signatures(table.column("signature")))
         fresh = []
         for a, b in zip([0, *cuts[:-1]], cuts, strict=True):
-            fresh += [p for p in group(minor[a:b], ids[a:b], comps[a:b], sigs[a:b]) if p not in made]
-            if len(made) < 1_000_000:  # only saves repeats
-                made.update(fresh)
+            fresh += group(int(band[a]), minor[a:b], ids[a:b], comps[a:b], sigs[a:b])
         if fresh:
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in fresh], pa.int64()), pa.array([p[1] for p in fresh], pa.int64())], ["a", "b"])
 
     dealt = blocks.repartition(parts, "k", "i", "j").sortWithinPartitions("k", "i", "j")
-    return dealt.select("k", "i", "j", "minor", "id", "comp", "signature").mapInArrow(run, "a long, b long").distinct()
+    return dealt.select("k", "i", "j", "band", "minor", "id", "comp", "signature").mapInArrow(run, "a long, b long").distinct()
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
@@ -179,7 +186,7 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Da
     return out
 
 
-def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss: float = 1e-6, block: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss: float = 1e-5, block: int = 1024, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of ``docs``."""
     least = least_matches(percent, miss)
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
@@ -189,10 +196,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     # Nodes are distinct sets, by their least doc_id.
-    nodes = usable.groupBy("s1", "s2", "n").agg(F.min("id").alias("id"))
+    nodes = stored(usable.groupBy("s1", "s2", "n").agg(F.min("id").alias("id")), "nodes")
     reps = usable.join(nodes.select("s1", "s2", "id"), ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"]).select("id", "signature")
     reps = stored(reps, "reps")
-    banded = reps.select("id", F.posexplode("signature").alias("band", "key")).select(F.xxhash64("band", "key").alias("k"), "id")
+    banded = reps.select("id", F.posexplode(F.slice("signature", 1, BANDS)).alias("band", "key")).select(F.xxhash64("band", "key").alias("k"), "band", "id")
     buckets = banded.groupBy("k").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("k", "least")
     members = stored(banded.join(buckets, "k"), "members")
 
@@ -200,7 +207,7 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     links = _confirmed(_pruned(stars, reps, least), docs, size, percent)
     labels = stored(components(links), "labels")
 
-    placed = members.join(labels.withColumnRenamed("component", "comp"), "id", "left").select("k", "id", F.coalesce("comp", "id").alias("comp"))
+    placed = members.join(labels.withColumnRenamed("component", "comp"), "id", "left").select("k", "band", "id", F.coalesce("comp", "id").alias("comp"))
     placed = stored(placed.distinct(), "placed")
     drop_stored(members)
     by_comp = placed.groupBy("k", "comp").agg(F.count(F.lit(1)).alias("rows"))
@@ -208,8 +215,8 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     split = split.select("k", F.col("top.comp").alias("major"), F.ceil((F.col("rows") - F.col("top.rows")) / block).cast("int").alias("minors"), F.ceil(F.col("rows") / block).cast("int").alias("alls"))
     open_rows = placed.join(split, "k").withColumn("minor", F.col("comp") != F.col("major"))
     spread = F.xxhash64("id", F.lit(5))
-    as_minor = open_rows.where("minor").select("k", F.pmod(spread, "minors").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), "id", "comp", F.lit(True).alias("minor"))
-    as_any = open_rows.select("k", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), F.pmod(spread, "alls").cast("int").alias("j"), "id", "comp", F.lit(False).alias("minor"))
+    as_minor = open_rows.where("minor").select("k", F.pmod(spread, "minors").cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("alls") - 1)).alias("j"), "band", "id", "comp", F.lit(True).alias("minor"))
+    as_any = open_rows.select("k", F.explode(F.sequence(F.lit(0), F.col("minors") - 1)).alias("i"), F.pmod(spread, "alls").cast("int").alias("j"), "band", "id", "comp", F.lit(False).alias("minor"))
     blocks = as_minor.unionByName(as_any).join(reps, "id")
     more = _confirmed(_compared(blocks, least, parts), docs, size, percent)
 
