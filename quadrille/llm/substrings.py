@@ -32,7 +32,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from quadrille.llm import text as tx
 from quadrille.llm.storage import drop_stored, stored
 
-GRAM = 64
+GRAM = 128
 _PLACE = np.uint64(31)
 _AT = np.uint64(2**31 - 1)
 
@@ -95,7 +95,7 @@ def suffix_ranks(data: np.ndarray, off: np.ndarray) -> list[tuple[int, np.ndarra
     out = []
     longest = int(np.diff(off).max(initial=0))
     while True:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         ranked = key[order]
         rank = np.empty(n, np.int64)
         rank[order] = np.cumsum(np.concatenate([[0], ranked[1:] != ranked[:-1]])) if n else 0
@@ -118,7 +118,7 @@ def repeats(texts: list[bytes], runs: np.ndarray, counts: np.ndarray, length: in
     ranks = suffix_ranks(data, off)
     text = np.repeat(np.arange(len(texts)), runs)
     suffix = off[text] + np.arange(len(text)) - np.repeat(np.cumsum(runs) - runs, runs)
-    order = np.argsort(ranks[-1][1][suffix], kind="stable")
+    order = np.argsort(ranks[-1][1][suffix])
     text, suffix = text[order], suffix[order]
     room = off[text + 1] - suffix
     lcp = np.zeros(len(suffix) + 1, np.int64)
@@ -174,20 +174,62 @@ def _exact_lcp(data, ranks, a, b, room) -> np.ndarray:
 COVER = "b long, s long, start int, stop int, repeat long"
 
 
-def _scan(length: int, limit: int = 1 << 19):
+def _trimmed(bodies: list[bytes], runs: np.ndarray, counts: np.ndarray, length: int):
+    """(pieces left, first window, bodies, runs): pieces cut to the span from their first to their last repeated window.
+
+    A window that is alone by its hash is in no repeat, so nothing is lost; equal hashes are compared later, by bytes.
+    """
+    off = np.concatenate([[0], np.cumsum([len(x) for x in bodies])]).astype(np.int64)
+    piece = np.repeat(np.arange(len(bodies)), runs)
+    inside = np.arange(len(piece)) - np.repeat(np.cumsum(runs) - runs, runs)
+    at = off[piece] + inside
+    hashes = tx.SpanHash(np.frombuffer(b"".join(bodies), np.uint8))(at, at + length)
+    ordered = np.sort(hashes)
+    again = np.unique(ordered[1:][ordered[1:] == ordered[:-1]])
+    found = (counts > 1)[piece]
+    if len(again):
+        found |= again[np.minimum(np.searchsorted(again, hashes), len(again) - 1)] == hashes
+    rows = np.flatnonzero(found)
+    if not len(rows):
+        return rows, rows, [], rows
+    left, first = np.unique(piece[rows], return_index=True)
+    last = np.append(first[1:], len(rows)) - 1
+    a, z = inside[rows[first]], inside[rows[last]]
+    return left, a, [bodies[i][x : y + length] for i, x, y in zip(left.tolist(), a.tolist(), z.tolist(), strict=True)], z - a + 1
+
+
+def _merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Maximal runs of spans by row."""
+    order = np.lexsort((start, row))
+    row, start, stop = row[order], start[order], stop[order]
+    wide = int(stop.max(initial=0)) + 1
+    reach = np.maximum.accumulate(stop + row * wide) - row * wide
+    fresh = np.ones(len(row), bool)
+    fresh[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
+    first = np.flatnonzero(fresh)
+    return row[first], start[first], reach[np.append(first[1:], len(row)) - 1]
+
+
+def _scan(length: int, merge: bool, limit: int = 1 << 19):
     """Buckets, sorted by b, in batches of about ``limit`` bytes of whole buckets."""
 
     def emit(rows):
-        keys, bodies, runs, counts = rows.column("b").to_numpy(), rows.column("body").to_pylist(), rows.column("run").to_numpy(), rows.column("c").to_numpy()
-        found = repeats(bodies, runs.astype(np.int64), counts, length)
+        bodies, runs, counts = rows.column("body").to_pylist(), rows.column("run").to_numpy().astype(np.int64), rows.column("c").to_numpy()
+        left, first, bodies, runs = _trimmed(bodies, runs, counts, length)
+        found = repeats(bodies, runs, counts[left], length) if len(left) else []
         if found:
             number, text, start, size = (np.array(x, np.int64) for x in zip(*found, strict=True))
-            piece = rows.column("s").to_numpy()[text]
-            name = {}
-            for k, t, a, n in found:
-                if k not in name:
-                    name[k] = int.from_bytes(hashlib.blake2b(bodies[t][a : a + n], digest_size=8).digest(), "little", signed=True)
-            yield pa.RecordBatch.from_arrays([pa.array(keys[text]), pa.array(piece), pa.array(start.astype(np.int32)), pa.array((start + size).astype(np.int32)), pa.array([name[k] for k in number.tolist()], pa.int64())], ["b", "s", "start", "stop", "repeat"])
+            if merge:
+                text, start, stop = _merged(text, start, start + size)
+                names = np.zeros(len(text), np.int64)
+            else:
+                stop, name = start + size, {}
+                for k, t, a, n in found:
+                    if k not in name:
+                        name[k] = int.from_bytes(hashlib.blake2b(bodies[t][a : a + n], digest_size=8).digest(), "little", signed=True)
+                names = np.array([name[k] for k in number.tolist()], np.int64)
+            piece, base = left[text], first[text]
+            yield pa.RecordBatch.from_arrays([pa.array(rows.column("b").to_numpy()[piece]), pa.array(rows.column("s").to_numpy()[piece]), pa.array((start + base).astype(np.int32)), pa.array((stop + base).astype(np.int32)), pa.array(names)], ["b", "s", "start", "stop", "repeat"])
 
     def run(batches):
         held = None
@@ -239,35 +281,36 @@ def _grouped(occurrences: DataFrame) -> DataFrame:
     return occurrences.groupBy("b", "s").agg(F.sum("c").alias("c")).groupBy("b").agg(F.sum("c").alias("c"), F.count(F.lit(1)).alias("v")).where("c > 1").select("b", "v")
 
 
-def _covered(bodies: DataFrame, length: int, variants: int, parts: int, step: int) -> DataFrame:
+def _covered(bodies: DataFrame, length: int, variants: int, parts: int, step: int, merge: bool) -> DataFrame:
     """COVER of the pieces of ``bodies`` (b, s, m, run, c, body, v): different pieces of buckets that have several."""
     small = bodies.where(F.col("v") <= variants).repartition(parts, "b").sortWithinPartitions("b", "s")
-    found = stored(small.select("b", "s", "run", "c", "body").mapInArrow(_scan(length), COVER), "cover")
+    found = stored(small.select("b", "s", "run", "c", "body").mapInArrow(_scan(length, merge), COVER), "cover")
     hot = bodies.where(F.col("v") > variants)
     if hot.isEmpty():
         return found
     half = -(-step // 2)
     cut = stored(hot.select("b", "s", "m", "run", "c", "body").mapInArrow(_halves(length, half), "pb long, ps long, p0 int, run int, m int, c long, b long, s long, body binary"), "halves")
-    again = cut.join(_grouped(cut), "b")
-    again = stored(again, "halves")
+    again = stored(cut.join(stored(_grouped(cut), "buckets"), "b"), "halves")
     whole = again.where("v = 1").select("b", "s", F.lit(0).alias("start"), (F.col("run") + length - 1).cast("int").alias("stop"), F.xxhash64("b", "s").alias("repeat")).distinct()
     distinct = again.where("v > 1").groupBy("b", "s", "m", "run", "body", "v").agg(F.sum("c").alias("c"))
-    below = whole.unionByName(_covered(stored(distinct, "bodies"), length, variants, parts, half))
+    below = whole.unionByName(_covered(stored(distinct, "bodies"), length, variants, parts, half, merge))
     up = again.select("b", "s", "pb", "ps", "p0").join(below, ["b", "s"]).select(F.col("pb").alias("b"), F.col("ps").alias("s"), (F.col("p0") + F.col("start")).alias("start"), (F.col("p0") + F.col("stop")).alias("stop"), "repeat").distinct()
     drop_stored(cut)
     return found.unionByName(up)
 
 
-def repeat_spans(docs: DataFrame, *, length: int = 400, variants: int = 1024, doc_id: str = "doc_id", text: str = "text", broadcast_pieces: int = 1_000_000) -> DataFrame:
+def repeat_spans(docs: DataFrame, *, length: int = 400, variants: int = 1024, doc_id: str = "doc_id", text: str = "text", broadcast_pieces: int = 500_000, merge: bool = False) -> DataFrame:
     """id, h (xxhash64 of the text), start, stop, repeat: an occurrence of a repeat in a document, by bytes.
 
-    ``repeat`` names the repeated string. A repeat that is longer than a piece comes in overlapping parts.
+    ``repeat`` names the repeated string. A repeat that is longer than a piece comes in overlapping parts. With ``merge``
+    overlapping occurrences in a piece are one span, and ``repeat`` is without meaning.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     source = docs.select(F.col(doc_id).cast("long").alias("id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")).select("id", F.xxhash64("text").alias("h"), "text")
     cut = stored(source.mapInArrow(_cut(length), PIECE), "pieces")
-    shared = stored(cut.join(_grouped(cut.select("b", "s", F.lit(1).alias("c"))), "b"), "shared")
+    buckets = stored(_grouped(cut.select("b", "s", F.lit(1).alias("c"))), "buckets")
+    shared = stored(cut.join(buckets, "b"), "shared")
     drop_stored(cut)
 
     whole = shared.where("v = 1").select("id", "h", F.col("p0").alias("start"), (F.col("p1") + length).alias("stop"), F.xxhash64("b", "s").alias("repeat"))
@@ -295,7 +338,7 @@ def repeat_spans(docs: DataFrame, *, length: int = 400, variants: int = 1024, do
     same = source["id"].eqNullSafe(wanted["wid"]) & (source["h"] == wanted["wh"])
     once = source.join(wanted, same).select("text", "pieces")
     bodies = stored(once.mapInArrow(read, "b long, s long, v long, c long, m int, run int, body binary"), "bodies")
-    cover = _covered(bodies, length, variants, parts, length - GRAM + 1)
+    cover = _covered(bodies, length, variants, parts, length - GRAM + 1, merge)
     found = several.select("id", "h", "p0", "b", "s").join(cover, ["b", "s"]).select("id", "h", (F.col("p0") + F.col("start")).alias("start"), (F.col("p0") + F.col("stop")).alias("stop"), "repeat")
     return whole.unionByName(found)
 
@@ -306,23 +349,25 @@ REMOVED = T.StructType([T.StructField(n, T.LongType()) for n in ("n_bytes", "n_r
 def _without(texts, spans, keep_bytes: bool) -> list[tuple]:
     data, off = tx.string_buffers(texts)
     whole, out = data.tobytes(), []
-    for i, own in enumerate(spans.to_pylist()):
-        body, left, at, runs = whole[off[i] : off[i + 1]], [], 0, 0
-        end = -1
-        for x in sorted((x["start"], x["stop"]) for x in own or ()):
-            if x[0] > end:
-                left.append(body[at : x[0]])
-                runs += 1
-            end = max(end, x[1])
-            at = end
-        kept = b"".join([*left, body[at:]])
-        out.append((len(body), len(body) - len(kept), runs, hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
+    flat = spans.flatten()
+    lengths = pc.fill_null(pc.list_value_length(spans), 0).to_numpy()
+    row, start, stop = _merged(np.repeat(np.arange(len(lengths)), lengths), *(flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(2)))
+    by_text = np.searchsorted(row, np.arange(len(lengths) + 1))
+    start, stop = start.tolist(), stop.tolist()
+    for i in range(len(lengths)):
+        left, at = [], int(off[i])
+        for k in range(by_text[i], by_text[i + 1]):
+            left.append(whole[at : off[i] + start[k]])
+            at = int(off[i]) + stop[k]
+        kept = b"".join([*left, whole[at : off[i + 1]]])
+        size = int(off[i + 1] - off[i])
+        out.append((size, size - len(kept), len(left), hashlib.sha256(kept).hexdigest(), kept if keep_bytes else None))
     return out
 
 
 def dedup_substrings(docs: DataFrame, *, length: int = 400, doc_id: str = "doc_id", text: str = "text", out: str = "dedup", keep=None, keep_bytes: bool = True, **settings) -> DataFrame:
     """``docs`` and a struct ``out``: n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
-    spans = repeat_spans(docs, length=length, doc_id=doc_id, text=text, **settings).select("id", "h", "start", "stop").distinct()
+    spans = repeat_spans(docs, length=length, doc_id=doc_id, text=text, merge=True, **settings)
     spans = spans.groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.collect_list(F.struct("start", "stop")).alias("__spans"))
     names = [c for c in (keep if keep is not None else docs.columns) if c != out]
     body = F.coalesce(F.col(f"`{text}`").cast("string"), F.lit(""))
