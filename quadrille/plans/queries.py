@@ -1,4 +1,6 @@
 """All queries of the engine by name, and their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from quadrille.plans import q_grid, q_merge, q_views
+from quadrille.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES", "q_grid", "q_merge", "q_views"]
