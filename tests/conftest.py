@@ -3,7 +3,9 @@ import sys
 
 import pytest
 
-sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+HERE = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+sys.path.insert(0, HERE)
+os.environ["PYTHONPATH"] = HERE + os.pathsep + os.environ.get("PYTHONPATH", "")
 
 
 @pytest.fixture(scope="session")
@@ -11,5 +13,6 @@ def spark():
     from quadrille.session import local_session
 
     session = local_session("tests", cores=4, shuffle_partitions=4, memory="4g")
+    session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
