@@ -146,3 +146,18 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join(F.array_sort("d.items"), ","), 256).alias("items_sha256"),
         (F.col("d.n_hit") > 0).alias("contaminated"),
     )
+
+
+_LOWERED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, {_LOWERED} AS w FROM documents),
+b AS (SELECT CAST(item_id AS VARCHAR) AS item, {_LOWERED} AS w FROM benchmark),
+windows AS (SELECT item, list_slice(w, i + 1, i + 10) AS k FROM (SELECT item, w, unnest(range(greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+keys AS (SELECT DISTINCT item, array_to_string(k, ' ') AS k, len(k) AS l FROM windows),
+own AS (SELECT n, p, l, array_to_string(list_slice(w, p + 1, p + l), ' ') AS k FROM (SELECT n, w, l, unnest(range(greatest(len(w) - l + 1, 0))) AS p FROM d, (SELECT DISTINCT l FROM keys))),
+hits AS (SELECT n, item, p, l FROM own JOIN keys USING (k, l)),
+words AS (SELECT n, count(DISTINCT at_word) AS n_hit FROM (SELECT n, unnest(range(p, p + l)) AS at_word FROM hits) GROUP BY n),
+items AS (SELECT n, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS found FROM (SELECT DISTINCT n, item FROM hits) GROUP BY n)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(found, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN words USING (n) LEFT JOIN items USING (n)
+"""

@@ -16,7 +16,9 @@ QUERIES = {
 }
 
 ORACLES = {
+    "op3_minhash_near_dup": near_dup.ORACLE,
     "op5_line_dedup": lines.ORACLE,
     "op6_exact_top_k": topk.ORACLE,
+    "op7_decontaminate": decontaminate.ORACLE,
     "op10_url_filter": url_filter.ORACLE,
 }
