@@ -24,6 +24,7 @@ from pyspark.sql import types as T
 
 from quadrille.llm import text as tx
 from quadrille.llm.arrow import with_kernel
+from quadrille.llm.storage import stored
 
 SCHEMA = "doc_id long, piece int, first_token long, n_tokens long, bin string, slot int, residual long"
 
@@ -120,7 +121,7 @@ def _pack_shard(table: pa.Table, capacity: int) -> pa.Table:
 def pack(docs: DataFrame, *, capacity: int = 2048, tokens: str = "n_tokens", doc_id: str = "doc_id", source: str = "source", cluster: str = "cluster", shard_rows: int = 4096) -> DataFrame:
     """One row for each piece: doc_id, piece, first_token, n_tokens, bin, slot (its place in the bin), residual of the bin."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("n"), F.xxhash64(F.col(source)).alias("source_hash"), F.col(source).alias("source"), F.col(cluster).cast("long").alias("cluster"))
-    rows = rows.select("doc_id", "n", F.when(F.col("source").isNotNull(), F.col("source_hash")).alias("source"), "cluster")
+    rows = stored(rows.select("doc_id", "n", F.when(F.col("source").isNotNull(), F.col("source_hash")).alias("source"), "cluster"), "lengths")
     shards = max(1, -(-rows.where("n > 0").count() // shard_rows))
     dealt = F.xxhash64("doc_id", "n", "source", "cluster")
     work = rows.where("n > 0").select("*", dealt.alias("row")).select("*", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)).alias("shard"))
