@@ -32,7 +32,7 @@ def boilerplate(lines: DataFrame, *, sites: int, band: float = 0.25, lg_k: int =
     """The keys (k1, k2) of ``lines`` (k1, k2, site) with at least ``sites`` distinct sites, and their number ``spread``."""
     # Most lines have one site; a sketch is only needed where the least and greatest site differ.
     spread = lines.groupBy("k1", "k2").agg(F.min("site").alias("least"), F.max("site").alias("most"))
-    several = spread.where("least <> most").select("k1", "k2")
+    several = stored(spread.where("least <> most").select("k1", "k2"), "several")
     sketches = lines.join(bounded(several), ["k1", "k2"], "left_semi").groupBy("k1", "k2").agg(F.hll_sketch_agg("site", lg_k).alias("sketch"))
     guessed = stored(sketches.select("k1", "k2", F.hll_sketch_estimate("sketch").alias("spread")), "spread")
     near = guessed.where((F.col("spread") >= sites * (1 - band)) & (F.col("spread") <= sites * (1 + band)))
