@@ -103,14 +103,14 @@ def gradient(cells: DataFrame) -> DataFrame:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    """MT05: 1 - |rank correlation| with mean ranks for ties; ranks come from counts of distinct values."""
+    """MT05: 1 - |rank correlation| with mean ranks for ties, from ranks that are counted by bins."""
+    from quadrille.operators.splits import ranked
 
-    def ranked(c: str) -> DataFrame:
-        counts = df.groupBy(F.col(c).alias(f"__{c}")).count()
-        upto = F.sum("count").over(Window.orderBy(f"__{c}").rowsBetween(Window.unboundedPreceding, Window.currentRow))
-        return counts.select(f"__{c}", (upto - (F.col("count") - 1) / 2).alias(f"rank_{c}"))
+    def ranks(c: str) -> DataFrame:
+        first = ranked(df.select(F.col(c).alias("v"), F.monotonically_increasing_id().alias("t")), "v", "t")
+        return first.groupBy(F.col("v").alias(f"__{c}")).agg(F.avg("rank").alias(f"rank_{c}"))
 
-    out = df.select(F.col(a).alias(f"__{a}"), F.col(b).alias(f"__{b}")).join(ranked(a), f"__{a}").join(ranked(b), f"__{b}")
+    out = df.select(F.col(a).alias(f"__{a}"), F.col(b).alias(f"__{b}")).join(ranks(a), f"__{a}").join(ranks(b), f"__{b}")
     return out.agg((1 - F.abs(F.corr(f"rank_{a}", f"rank_{b}"))).alias("preserved"))
 
 

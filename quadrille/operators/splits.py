@@ -62,14 +62,32 @@ def exact_split(df: DataFrame, column: str, train: float, validation: float, see
     return keyed.withColumn("split", F.when(place < cuts[0], "train").when(place < cuts[1], "validation").otherwise("test")).drop("__h", "__b")
 
 
+def ranked(df: DataFrame, order: str, tie: str, bins: int = 512) -> DataFrame:
+    """``df`` and ``rank``, its place from 0 by (order, tie).
+
+    Rows are dealt into bins between approximate quantiles; ranks are counted within a bin and moved on by the sizes of
+    the bins before, so no task sorts all rows. Only the bins' limits and sizes reach the driver.
+    """
+    limits = df.agg(F.percentile_approx(order, F.array(*(F.lit(q / bins) for q in range(1, bins))), 10 * bins).alias("q")).first().q or []
+    limits = sorted(set(limits))
+    # A value that is a limit has a bin of its own.
+    at = F.lit(0) if not limits else F.size(F.filter(F.array(*map(F.lit, limits)), lambda q: q < F.col(order))) * 2 + F.array_contains(F.array(*map(F.lit, limits)), F.col(order)).cast("int")
+    keyed = df.withColumn("__bin", at)
+    sizes = {r[0]: r[1] for r in keyed.groupBy("__bin").count().collect()}
+    before, total = [], 0
+    for b in sorted(sizes):
+        before += [b, total]
+        total += sizes[b]
+    offset = F.element_at(F.create_map(*map(F.lit, before)), F.col("__bin")) if before else F.lit(0)
+    within = F.row_number().over(Window.partitionBy("__bin").orderBy(order, tie)) - 1
+    return keyed.withColumn("rank", (within + offset).cast("long")).drop("__bin")
+
+
 def latitudinal_split(points: DataFrame, train: float, validation: float) -> DataFrame:
-    """SP07, WN08: by rank of latitude, truncated cuts. Ranks are over distinct latitudes' counts."""
-    counts = points.groupBy("lat").count()
-    ranks = counts.withColumn("before", F.sum("count").over(Window.orderBy("lat").rowsBetween(Window.unboundedPreceding, -1)))
+    """SP07, WN08: by rank of (lat, id), truncated cuts."""
     n = points.count()
-    at = F.coalesce("before", F.lit(0)) + F.row_number().over(Window.partitionBy("lat").orderBy("id")) - 1
-    out = points.join(ranks.select("lat", "before"), "lat").withColumn("place", at)
-    return out.withColumn("split", F.when(F.col("place") < int(n * train), "train").when(F.col("place") < int(n * train) + int(n * validation), "validation").otherwise("test")).drop("before", "place")
+    out = ranked(points, "lat", "id")
+    return out.withColumn("split", F.when(F.col("rank") < int(n * train), "train").when(F.col("rank") < int(n * train) + int(n * validation), "validation").otherwise("test")).drop("rank")
 
 
 def systematic_blocks(points: DataFrame, degrees: float) -> DataFrame:
