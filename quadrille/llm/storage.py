@@ -1,5 +1,6 @@
 """Shared storage for intermediate tables, and joins whose small side is broadcast only behind a check of its size."""
 
+import re
 import tempfile
 import uuid
 
@@ -8,9 +9,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; where that is unset (tests), a new temporary one."""
+    """The folder named by spark.checkpoint.dir; where that is unset, a new temporary one in local mode, else an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="quadrille-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
