@@ -31,7 +31,7 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five words, 0.8), the one with the least doc_id; one row for a doc_id."""
     found = near_dup.near_duplicates(docs)
-    away = found.where(~F.col("kept")).select(F.col("doc_id").alias("__away")).distinct()
+    away = stored(found.where(~F.col("kept")).select(F.col("doc_id").alias("__away")).distinct(), "away")
     kept = docs.select(*COLUMNS).join(bounded(away), F.col("doc_id") == F.col("__away"), "left_anti")
     repeated = kept.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1")
     if repeated.isEmpty():
