@@ -82,12 +82,10 @@ def ftrl(rows: list[tuple[np.ndarray, int]], *, epochs: int = 3, alpha: float =
         found = z[at]
         return np.where(np.abs(found) <= l1, 0.0, -(found - np.sign(found) * l1) / ((beta + np.sqrt(n[at])) / alpha + l2))
 
-    prepared = []
-    for at, y in rows:
-        used, counts = np.unique(at, return_counts=True)
-        prepared.append((np.append(used, size), np.append(SCALE * counts / max(1, len(at)), 1.0), y))
     for _ in range(epochs):
-        for at, x, y in prepared:
+        for features_of, y in rows:  # a text's distinct features are found anew each time: holding them all takes more room
+            used, counts = np.unique(features_of, return_counts=True)
+            at, x = np.append(used, size), np.append(SCALE * counts / max(1, len(features_of)), 1.0)
             w = weights(at)
             g = (1 / (1 + np.exp(-np.clip(w @ x, -35, 35))) - y) * x
             grown = n[at] + g * g
