@@ -12,8 +12,9 @@ and of its ``TOP`` strongest distinct words (a few words in a long text count).
 training rows that the counts leave out.
 
 Counts are taken from all labelled training rows and grow with them; they are aggregated by 64-bit keys. The model that
-is broadcast is bounded: a table of 2**BITS slots for each kind of count, where the most frequent expression of a slot
-stays (with a fingerprint); an expression without a slot falls back to the next shorter one.
+is broadcast grows with them too, up to a bound: each kind of count has a table of at least four slots for each
+expression, but of at most 2**MAX_BITS (25 to 50 MB a table). The most frequent expression of a slot stays (with a
+fingerprint); an expression without a slot falls back to the next shorter one.
 
 Defined results: null and empty texts, and texts without words, have a difference of 0 and so the score of the intercept
 alone; without labels of both classes all scores are 0; repeated documents each get a row; a doc_id with several labels
@@ -31,7 +32,8 @@ from quadrille.llm.arrow import with_kernel
 from quadrille.llm.quality import held_out
 from quadrille.llm.storage import bounded, drop_stored, stored
 
-BITS, PRINT, CONTEXT = 18, 21, 23
+#: Bits of an expression's hash, of its context's and of a pair's; a table's slots are 2**MIN_BITS to 2**MAX_BITS.
+EXPRESSION, CONTEXT, PAIR, MIN_BITS, MAX_BITS = 36, 26, 52, 18, 21
 TOP, DISCOUNT = 4, 0.75
 #: Bytes of a word's expression at each level; 0 is the whole word.
 LEVELS = (0, 6, 4)
@@ -56,13 +58,21 @@ def _before(h: np.ndarray, words: np.ndarray) -> np.ndarray:
 
 
 def _keys(expression: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """62 bits: slot and fingerprint of the expression, then the context."""
-    return (expression >> _U(64 - BITS - PRINT)) << _U(CONTEXT) | context >> _U(64 - CONTEXT)
+    """62 bits: the expression, then the context."""
+    return (expression >> _U(64 - EXPRESSION)) << _U(CONTEXT) | context >> _U(64 - CONTEXT)
 
 
-def _pair_slots(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    mixed = tx.mix(keys)
-    return (mixed >> _U(64 - BITS)).astype(np.int64), (mixed & _U(2**31 - 1)).astype(np.int64)
+def _pairs(keys: np.ndarray) -> np.ndarray:
+    return (tx.mix(keys) >> _U(64 - PAIR)).astype(np.int64)
+
+
+def table_bits(entries: int) -> int:
+    """A table's slots, as a power of two: four to eight for each entry, from 2**MIN_BITS up to 2**MAX_BITS."""
+    return min(MAX_BITS, max(MIN_BITS, int(entries).bit_length() + 2))
+
+
+def _mark_bits(width: int, bits: int) -> int:
+    return min(width - bits, 31)
 
 
 def _counted(batches):
@@ -78,46 +88,47 @@ def _counted(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), level, np.int8)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["level", "key", "n"])
 
 
-def _kept(rows: DataFrame, *values: str) -> DataFrame:
-    """For each level and slot, the row with the largest counts: at most 2**BITS rows a level."""
-    best = F.max(F.struct(sum(F.col(v) for v in values).alias("all"), "print", *values)).alias("b")
-    return rows.groupBy("level", "slot").agg(best).select("level", "slot", "b.print", *(F.col(f"b.{v}") for v in values))
-
-
-def _arrays(rows: DataFrame, *values: str) -> tuple[np.ndarray, np.ndarray]:
-    """(fingerprints, values) by level and slot."""
-    found = rows.toArrow()
-    prints = np.full((len(LEVELS), 1 << BITS), -1, np.int64)
-    made = np.zeros((len(values), len(LEVELS), 1 << BITS), np.float32)
-    at = found.column("level").to_numpy().astype(np.int64), found.column("slot").to_numpy().astype(np.int64)
-    prints[at] = found.column("print").to_numpy()
+def _gathered(rows: DataFrame, width: int, bits: int, *values: str) -> "Table":
+    """The table of ``rows`` (key of ``width`` bits, values): of each slot the row with the largest counts."""
+    slot, mark = F.shiftrightunsigned("key", width - bits).cast("int"), F.col("key").bitwiseAND(2 ** _mark_bits(width, bits) - 1).cast("int")
+    best = F.max(F.struct(sum(F.col(v) for v in values).alias("all"), mark.alias("mark"), *values)).alias("b")
+    found = rows.groupBy(slot.alias("slot")).agg(best).select("slot", "b.mark", *(F.col(f"b.{v}") for v in values)).toArrow()
+    marks, made = np.full(1 << bits, -1, np.int32), np.zeros((len(values), 1 << bits), np.float32)
+    at = found.column("slot").to_numpy()
+    marks[at] = found.column("mark").to_numpy()
     for k, v in enumerate(values):
         made[k][at] = found.column(v).to_numpy()
-    return prints, made
+    return Table(width, marks, made)
+
+
+class Table:
+    """Counts by slots of hashes of ``width`` bits; a slot's mark tells whose the counts are."""
+
+    def __init__(self, width: int, marks: np.ndarray, values: np.ndarray):
+        self.width, self.marks, self.values = width, marks, values
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """values x keys; 0 for what the table doesn't hold."""
+        bits = len(self.marks).bit_length() - 1
+        slot = keys >> (self.width - bits)
+        known = self.marks[slot] == keys & (2 ** _mark_bits(self.width, bits) - 1)
+        return np.where(known, self.values[:, slot], np.float32(0)).astype(np.float64)
 
 
 class Model:
-    """Bounded tables of counts: expressions by level, contexts and pairs."""
+    """Tables of counts: expressions by level (ordinary, toxic), contexts (words after them by class, distinct ones by class) and pairs."""
 
-    def __init__(self, expressions, contexts, pairs, totals: np.ndarray, types: np.ndarray):
-        self.prints, self.counts = expressions
-        self.context_prints, self.contexts = contexts[0][0], contexts[1][:, 0]
-        self.pair_prints, self.pairs = pairs[0][0], pairs[1][:, 0]
+    def __init__(self, expressions: list[Table], contexts: Table, pairs: Table, totals: np.ndarray, types: np.ndarray):
+        self.expressions, self.contexts, self.pairs = expressions, contexts, pairs
         self.totals, self.types = np.maximum(totals, 1), np.maximum(types, 1)  # level x class
 
     def differences(self, levels: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log P(word | toxic) - log P(word | ordinary) of each word: after the word before it, and by itself."""
-        own, shared = [], []
-        for level, h in enumerate(levels):
-            slot = (h >> _U(64 - BITS)).astype(np.int64)
-            known = self.prints[level, slot] == (h >> _U(64 - BITS - PRINT) & _U(2**PRINT - 1)).astype(np.int64)
-            own.append([np.where(known, self.counts[c, level, slot], 0.0) for c in range(2)])
-            shared.append((own[-1][0] + own[-1][1] + 0.5) / (self.totals[level].sum() + self.types[level].sum()))
+        own = [table((h >> _U(64 - EXPRESSION)).astype(np.int64)) for table, h in zip(self.expressions, levels, strict=True)]
+        shared = [(n[0] + n[1] + 0.5) / (self.totals[level].sum() + self.types[level].sum()) for level, n in enumerate(own)]
         keys = _keys(levels[0], _before(levels[0], words))
-        context = (keys & _U(2**CONTEXT - 1)).astype(np.int64)
-        there = self.context_prints[context >> (CONTEXT - BITS)] == context & (2 ** (CONTEXT - BITS) - 1)
-        slot, mark = _pair_slots(keys)
-        paired = self.pair_prints[slot] == mark
+        contexts = self.contexts((keys & _U(2**CONTEXT - 1)).astype(np.int64))
+        pairs = self.pairs(_pairs(keys))
         plain, chained = [], []
         for c in range(2):
             p = shared[-1]
@@ -125,8 +136,8 @@ class Model:
                 if level < len(LEVELS) - 1:
                     p = p * (shared[level] / shared[level + 1])
                 p = (np.maximum(own[level][c] - DISCOUNT, 0) + DISCOUNT * self.types[level, c] * p) / self.totals[level, c]
-            n, follow = (np.where(there, self.contexts[k, context >> (CONTEXT - BITS)], 0.0) for k in (c, 2 + c))
-            pair = np.minimum(np.where(paired, self.pairs[c, slot], 0.0), n)
+            n, follow = contexts[c], contexts[2 + c]
+            pair = np.minimum(pairs[c], n)
             bigram = (np.maximum(pair - DISCOUNT, 0) + DISCOUNT * np.minimum(follow, n) * p) / np.maximum(n, 1)
             plain.append(np.log(p))
             chained.append(np.log(np.where(n > 0, bigram, p)))
@@ -187,28 +198,27 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
     expression = F.shiftrightunsigned("key", CONTEXT + 1)
     by_expression = counts.groupBy("level", expression.alias("e")).agg(one(1, 0).alias("n0"), one(1, 1).alias("n1"))
     by_expression = stored(by_expression, "expressions")
-    sums = {r.level: r for r in by_expression.groupBy("level").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1")).collect()}
+    sums = {r.level: r for r in by_expression.groupBy("level").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"), F.count(F.lit(1)).alias("k")).collect()}
     if len(sums) < len(LEVELS) or not (sums[0].t0 and sums[0].t1):
         return None
     totals = np.array([[sums[k].t0, sums[k].t1] for k in range(len(LEVELS))])
     types = np.array([[sums[k].k0, sums[k].k1] for k in range(len(LEVELS))])
-    sliced = by_expression.select("level", F.shiftrightunsigned("e", PRINT).alias("slot"), F.col("e").bitwiseAND(2**PRINT - 1).alias("print"), "n0", "n1")
-    expressions = _arrays(_kept(sliced, "n0", "n1"), "n0", "n1")
+    bits = [table_bits(sums[k].k) for k in range(len(LEVELS))]
+    expressions = [_gathered(by_expression.where(F.col("level") == k).withColumnRenamed("e", "key"), EXPRESSION, bits[k], "n0", "n1") for k in range(len(LEVELS))]
 
     words = counts.where("level = 0")
     context = F.shiftrightunsigned("key", 1).bitwiseAND(2**CONTEXT - 1)
-    contexts = words.groupBy("level", context.alias("c")).agg(one(F.col("n"), 0).alias("n0"), one(F.col("n"), 1).alias("n1"), one(1, 0).alias("f0"), one(1, 1).alias("f1"))
-    contexts = contexts.select("level", F.shiftrightunsigned("c", CONTEXT - BITS).alias("slot"), F.col("c").bitwiseAND(2 ** (CONTEXT - BITS) - 1).alias("print"), "n0", "n1", "f0", "f1")
-    contexts = _arrays(_kept(contexts, "n0", "n1", "f0", "f1"), "n0", "n1", "f0", "f1")
+    contexts = words.groupBy(context.alias("c")).agg(one(F.col("n"), 0).alias("n0"), one(F.col("n"), 1).alias("n1"), one(1, 0).alias("f0"), one(1, 1).alias("f1"))
+    contexts = _gathered(contexts.withColumnRenamed("c", "key"), CONTEXT, bits[0], "n0", "n1", "f0", "f1")  # contexts are words
 
     def placed(batches):
         for b in batches:
-            slot, mark = _pair_slots(b.column(1).to_numpy().view(np.uint64))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(slot), pa.array(mark), b.column(2), b.column(3)], ["level", "slot", "print", "n0", "n1"])
+            yield pa.RecordBatch.from_arrays([pa.array(_pairs(b.column(0).to_numpy().view(np.uint64))), b.column(1), b.column(2)], ["key", "n0", "n1"])
 
-    pairs = words.groupBy("level", F.shiftrightunsigned("key", 1).alias("p")).agg(one(F.col("n"), 0).alias("n0"), one(F.col("n"), 1).alias("n1")).where("n0 + n1 >= 2")
-    pairs = _arrays(_kept(pairs.mapInArrow(placed, "level byte, slot long, print long, n0 float, n1 float"), "n0", "n1"), "n0", "n1")
-    drop_stored(counts, by_expression)
+    pairs = words.groupBy(F.shiftrightunsigned("key", 1).alias("p")).agg(one(F.col("n"), 0).alias("n0"), one(F.col("n"), 1).alias("n1")).where("n0 + n1 >= 2")
+    by_pair = stored(pairs.mapInArrow(placed, "key long, n0 float, n1 float"), "pairs")
+    pairs = _gathered(by_pair, PAIR, table_bits(by_pair.count()), "n0", "n1")
+    drop_stored(counts, by_expression, by_pair)
     model = Model(expressions, contexts, pairs, totals, types)
 
     others = known.where(left_out)

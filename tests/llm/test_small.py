@@ -289,6 +289,21 @@ def test_classifiers_on_held_out_rows(spark, kind):
     assert np.mean([(p >= 0.5) == bool(y) for p, y in held]) > 0.95
 
 
+def test_toxicity_tables_grow_and_return_what_they_hold(spark):
+    assert [toxicity.table_bits(n) for n in (0, 1 << 15, 1 << 17, 1 << 30)] == [18, 18, 20, 21]
+    rng = random.Random(3)
+    keys = {rng.randrange(1 << 36): (float(k), 1.0) for k in range(500)}
+    rows = spark.createDataFrame([(k, *v) for k, v in keys.items()], "key long, n0 float, n1 float")
+    absent = [k ^ 1 for k in keys if k ^ 1 not in keys]
+    for bits in (4, 18):
+        table = toxicity._gathered(rows, 36, bits, "n0", "n1")
+        found = table(np.array(list(keys))).T.tolist()
+        held = [tuple(f) == v for f, v in zip(found, keys.values(), strict=True)]
+        assert sum(held) == len({k >> (36 - bits) for k in keys})
+        assert all(h or f == [0, 0] for h, f in zip(held, found, strict=True))
+        assert not table(np.array(absent)).any()
+
+
 def test_language(spark):
     rng = random.Random(2)
     # Languages share letters and differ in their words.
