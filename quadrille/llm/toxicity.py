@@ -23,6 +23,7 @@ counts with the largest; extra columns are kept.
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -93,26 +94,30 @@ def _gathered(rows: DataFrame, width: int, bits: int, *values: str) -> "Table":
     slot, mark = F.shiftrightunsigned("key", width - bits).cast("int"), F.col("key").bitwiseAND(2 ** _mark_bits(width, bits) - 1).cast("int")
     best = F.max(F.struct(sum(F.col(v) for v in values).alias("all"), mark.alias("mark"), *values)).alias("b")
     found = rows.groupBy(slot.alias("slot")).agg(best).select("slot", "b.mark", *(F.col(f"b.{v}") for v in values)).toArrow()
-    marks, made = np.full(1 << bits, -1, np.int32), np.zeros((len(values), 1 << bits), np.float32)
-    at = found.column("slot").to_numpy()
-    marks[at] = found.column("mark").to_numpy()
-    for k, v in enumerate(values):
-        made[k][at] = found.column(v).to_numpy()
-    return Table(width, marks, made)
+    return Table(width, bits, *(found.column(c).to_numpy() for c in ("slot", "mark")), np.stack([found.column(v).to_numpy() for v in values]))
 
 
 class Table:
-    """Counts by slots of hashes of ``width`` bits; a slot's mark tells whose the counts are."""
+    """Counts by slots of hashes of ``width`` bits; a slot's mark tells whose the counts are.
 
-    def __init__(self, width: int, marks: np.ndarray, values: np.ndarray):
-        self.width, self.marks, self.values = width, marks, values
+    It is sent as its used slots alone and opened where it is first asked.
+    """
+
+    def __init__(self, width: int, bits: int, slots: np.ndarray, marks: np.ndarray, values: np.ndarray):
+        self.width, self.bits, self.used, self.open = width, bits, (slots, marks, values), None
+
+    def __getstate__(self):
+        return {**self.__dict__, "open": None}
 
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """values x keys; 0 for what the table doesn't hold."""
-        bits = len(self.marks).bit_length() - 1
-        slot = keys >> (self.width - bits)
-        known = self.marks[slot] == keys & (2 ** _mark_bits(self.width, bits) - 1)
-        return np.where(known, self.values[:, slot], np.float32(0)).astype(np.float64)
+        if self.open is None:
+            slots, marks, values = self.used
+            self.open = np.full(1 << self.bits, -1, np.int32), np.zeros((len(values), 1 << self.bits), np.float32)
+            self.open[0][slots], self.open[1][:, slots] = marks, values
+        slot = keys >> (self.width - self.bits)
+        known = self.open[0][slot] == keys & (2 ** _mark_bits(self.width, self.bits) - 1)
+        return np.where(known, self.open[1][:, slot], np.float32(0)).astype(np.float64)
 
 
 class Model:
@@ -179,8 +184,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", calibration_rows: int = 5000) -> tuple[Model, np.ndarray] | None:
-    """The model and the coefficients of the score; None without rows of both classes.
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", calibration_rows: int = 5000) -> tuple[Broadcast, np.ndarray] | None:
+    """The broadcast model and the coefficients of the score; None without rows of both classes.
 
     Four fifths of the labelled rows are counted, all of them; of the others at most about ``calibration_rows`` (a
     documented bound) fit the coefficients.
@@ -228,18 +233,17 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
     found = with_kernel(texts.join(F.broadcast(others), "__id"), "__text", "f", T.ArrayType(T.DoubleType()), lambda: lambda c: list(shared.value.features(c)), ["__label"]).collect()
     y = np.array([r["__label"] for r in found], float)
     if len(set(y.tolist())) < 2:
-        return model, np.array([1.0, *[0.5] * TOP, -6.0])
-    return model, _logistic(np.array([r["f"] for r in found]), y)
+        return shared, np.array([1.0, *[0.5] * TOP, -6.0])
+    return shared, _logistic(np.array([r["f"] for r in found]), y)
 
 
-def with_toxicity(docs: DataFrame, fitted: tuple[Model, np.ndarray] | None, *, text: str = "text", out: str = "toxicity", keep=None) -> DataFrame:
+def with_toxicity(docs: DataFrame, fitted: tuple[Broadcast, np.ndarray] | None, *, text: str = "text", out: str = "toxicity", keep=None) -> DataFrame:
     """``docs`` and the probability that each whole text is toxic."""
-    shared = docs.sparkSession.sparkContext.broadcast(fitted)
 
     def start():
-        if shared.value is None:
+        if fitted is None:
             return lambda column: np.zeros(len(column))
-        model, w = shared.value
+        model, w = fitted[0].value, fitted[1]
         return lambda column: 1 / (1 + np.exp(-np.clip(model.features(column) @ w[:-1] + w[-1], -30, 30)))
 
     return with_kernel(docs, text, out, T.DoubleType(), start, keep)
