@@ -100,19 +100,16 @@ def _gathered(rows: DataFrame, width: int, bits: int, *values: str) -> "Table":
 class Table:
     """Counts by slots of hashes of ``width`` bits; a slot's mark tells whose the counts are.
 
-    It is sent as its used slots alone and opened where it is first asked.
+    It is sent as its used slots alone and opened where it is first asked; then the list of used slots goes.
     """
 
     def __init__(self, width: int, bits: int, slots: np.ndarray, marks: np.ndarray, values: np.ndarray):
         self.width, self.bits, self.used, self.open = width, bits, (slots, marks, values), None
 
-    def __getstate__(self):
-        return {**self.__dict__, "open": None}
-
     def __call__(self, keys: np.ndarray) -> np.ndarray:
         """values x keys; 0 for what the table doesn't hold."""
         if self.open is None:
-            slots, marks, values = self.used
+            (slots, marks, values), self.used = self.used, None
             self.open = np.full(1 << self.bits, -1, np.int32), np.zeros((len(values), 1 << self.bits), np.float32)
             self.open[0][slots], self.open[1][:, slots] = marks, values
         slot = keys >> (self.width - self.bits)
