@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without lines that are on eight sites or more; n_chars is that of what is left."""
-    found = lines.dedup_lines(docs.select(*COLUMNS), out="__lines")
+    """Documents without lines that are on eight sites or more, copies of a text counted once; n_chars is that of what is left."""
+    found = lines.dedup_lines(docs.select(*COLUMNS), once=True, out="__lines")
     return found.select("doc_id", "text", "lang", "source", F.length("text").cast("long").alias("n_chars"))
 
 

@@ -6,6 +6,10 @@ so a line that a third of all rows have costs no more than a rare one. Keys whos
 threshold get an exact distinct count. Lines on at least ``sites`` distinct sites are boilerplate: they are removed from
 every document, all occurrences.
 
+With ``once``, each distinct text counts for one site only (one of those it is on, drawn by a hash of text and site), so
+that copies of one whole document don't make its own lines boilerplate; each copy still loses what is. Texts that
+differ in anything are distinct. Without it all rows count, as in the SQL of the query.
+
 Defined results: null texts stay null, with no lines; empty texts have one empty line; blank lines are never removed;
 rows with a null source count as one site of their own; repeated documents each keep a row; a column of the input that
 has the name of an output is replaced. A text whose lines all go becomes empty.
@@ -40,12 +44,23 @@ def boilerplate(lines: DataFrame, *, sites: int, band: float = 0.25, lg_k: int =
     return guessed.where(F.col("spread") > sites * (1 + band)).unionByName(exact.where(F.col("spread") >= sites))
 
 
-def dedup_lines(docs: DataFrame, *, sites: int = 8, text: str = "text", source: str = "source", doc_id: str = "doc_id", out: str = "lines") -> DataFrame:
+def _once(docs: DataFrame, *, text: str, source: str) -> DataFrame:
+    """``docs`` and, as ``__site``, the one site of each text; only texts that are on several sites need a join."""
+    same = F.xxhash64(F.col(text)), F.xxhash64(F.lit(91), F.col(text))
+    keyed = docs.withColumns({"__t1": same[0], "__t2": same[1], "__own": _site(source)})
+    drawn = F.min(F.struct(F.xxhash64("__own", "__t1").alias("draw"), F.col("__own").alias("site")))
+    copied = keyed.groupBy("__t1", "__t2").agg(F.min("__own").alias("least"), F.max("__own").alias("most"), drawn.alias("drawn")).where("least <> most")
+    copied = stored(copied.select("__t1", "__t2", F.col("drawn.site").alias("__one")), "copied")
+    return keyed.join(bounded(copied), ["__t1", "__t2"], "left").withColumn("__site", F.coalesce("__one", "__own")).drop("__t1", "__t2", "__own", "__one")
+
+
+def dedup_lines(docs: DataFrame, *, sites: int = 8, once: bool = False, text: str = "text", source: str = "source", doc_id: str = "doc_id", out: str = "lines") -> DataFrame:
     """``docs`` without its boilerplate lines, and a struct ``out``: n_lines, n_removed."""
     names = [c for c in docs.columns if c != out]
     row = F.struct(F.col(doc_id).alias("id"), F.xxhash64(F.col(text)).alias("h"))
     split = F.split(F.col(text), "\n")
-    lines = docs.select(row.alias("row"), _site(source).alias("site"), F.posexplode(split).alias("at", "line"))
+    placed = _once(docs, text=text, source=source) if once else docs.withColumn("__site", _site(source))
+    lines = placed.select(row.alias("row"), F.col("__site").alias("site"), F.posexplode(split).alias("at", "line"))
     lines = lines.where(F.length(F.btrim("line", F.lit(_TRIM))) > 0).select("row", "site", "at", *(k.alias(n) for k, n in zip(_key(F.col("line")), ("k1", "k2"), strict=True)))
     found = stored(boilerplate(lines.select("k1", "k2", "site"), sites=sites).select("k1", "k2"), "boilerplate")
     hits = lines.join(bounded(found), ["k1", "k2"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("removed"))

@@ -151,6 +151,25 @@ def test_lines(spark):
     assert lines.dedup_lines(spark.createDataFrame(near, DOCS), sites=8).where("text = 'edge'").count() == 50
 
 
+def test_lines_of_a_text_copied_over_many_sites_stay(spark, tmp_path):
+    import corpus_pipeline
+
+    copied = "Only this text has this line\nand this one"
+    rows = [(k, copied, "en", f"site{k}", 0) for k in range(12)]
+    rows += [(20 + k, f"Shared line of all sites\nown {k}", "en", f"site{k}", 0) for k in range(8)]
+    # Texts that are each on all sites, with a common line: still boilerplate.
+    rows += [(100 + 40 * k + n, f"Line of copied texts\nbody {k}", "en", f"site{n}", 0) for k in range(40) for n in range(12)]
+    docs = spark.createDataFrame(rows, DOCS)
+    kept = stored(corpus_pipeline.line_dedup(spark, docs, str(tmp_path)), "kept")
+    got = {r.doc_id: r.text for r in kept.collect()}
+    assert all(got[k] == copied for k in range(12))
+    assert all(got[20 + k] == f"own {k}" for k in range(8))
+    assert all(got[100 + 40 * k + n] == f"body {k}" for k in range(40) for n in range(12))
+    assert [r.text for r in corpus_pipeline.near_dedup(spark, kept.where("doc_id < 20"), str(tmp_path)).collect()] == [copied]
+    # All rows count without it, as in the query's SQL.
+    assert lines.dedup_lines(docs, sites=8).where("doc_id < 12 AND text = ''").count() == 12
+
+
 def removed(texts, length):
     bodies = [(t or "").encode() for t in texts]
     seen = {}
