@@ -11,10 +11,10 @@ A text's score is a logistic function of the length-normalised difference of the
 and of its ``TOP`` strongest distinct words (a few words in a long text count). Its few coefficients are fitted on
 training rows that the counts leave out.
 
-Counts are taken from all labelled training rows and grow with them; they are aggregated by 64-bit keys. The model that
-is broadcast grows with them too, up to a bound: each kind of count has a table of at least four slots for each
-expression, but of at most 2**MAX_BITS (25 to 50 MB a table). The most frequent expression of a slot stays (with a
-fingerprint); an expression without a slot falls back to the next shorter one.
+Counts are taken from all labelled training rows and grow with them; an expression is known by a 64-bit hash, and no
+other shares its count. The counts of words, stems and contexts are broadcast whole. Of the pairs of words the most
+frequent are broadcast, at most ``held`` of them (a documented bound); the others stay a table by key, and a text's
+words that aren't among the broadcast ones are joined with it. Both ways give the same scores.
 
 Defined results: null and empty texts, and texts without words, have a difference of 0 and so the score of the intercept
 alone; without labels of both classes all scores are 0; repeated documents each get a row; a doc_id with several labels
@@ -33,8 +33,12 @@ from quadrille.llm.arrow import with_kernel
 from quadrille.llm.quality import held_out
 from quadrille.llm.storage import bounded, drop_stored, stored
 
-#: Bits of an expression's hash, of its context's and of a pair's; a table's slots are 2**MIN_BITS to 2**MAX_BITS.
-EXPRESSION, CONTEXT, PAIR, MIN_BITS, MAX_BITS = 36, 26, 52, 18, 21
+#: A table's slots are 2**MIN_BITS to 2**MAX_BITS; a filter of joined pairs has 2**FILTER bits, which only spare joins.
+MIN_BITS, MAX_BITS, FILTER = 18, 21, 27
+#: Pairs that are broadcast: 8 bytes for one seen once, else 16.
+HELD = 16_000_000
+#: Kinds of counts after the levels: words after a context, distinct ones, and pairs.
+AFTER, DISTINCT, PAIR = 3, 4, 5
 TOP, DISCOUNT = 4, 0.75
 #: Bytes of a word's expression at each level; 0 is the whole word.
 LEVELS = (0, 6, 4)
@@ -58,13 +62,9 @@ def _before(h: np.ndarray, words: np.ndarray) -> np.ndarray:
     return out
 
 
-def _keys(expression: np.ndarray, context: np.ndarray) -> np.ndarray:
-    """62 bits: the expression, then the context."""
-    return (expression >> _U(64 - EXPRESSION)) << _U(CONTEXT) | context >> _U(64 - CONTEXT)
-
-
-def _pairs(keys: np.ndarray) -> np.ndarray:
-    return (tx.mix(keys) >> _U(64 - PAIR)).astype(np.int64)
+def _keys(kind, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The key of a count: its kind, its expression or context, and a pair's context."""
+    return tx.combine(a, b, np.broadcast_to(np.asarray(kind, np.uint64), a.shape))
 
 
 def table_bits(entries: int) -> int:
@@ -77,16 +77,58 @@ def _mark_bits(width: int, bits: int) -> int:
 
 
 def _counted(batches):
-    """(level, key, n): key is that of an expression and its context, and the class in the last bit; distinct in a chunk."""
+    """(level, expression, context, n by class); distinct in a chunk."""
     for batch in batches:
         data, off = tx.string_buffers(batch.column(0))
         label = batch.column(1).to_numpy()
         for i, j, d, o in tx.chunks(data, off, 8 * tx.CHUNK):
             levels, words = _words(d, o)
-            cls = np.repeat(label[i:j], np.diff(words)).astype(np.uint64)
+            cls = np.repeat(label[i:j], np.diff(words))
             for level, h in enumerate(levels):
-                keys, counts = np.unique(_keys(h, levels[0] if level else _before(h, words)) << _U(1) | cls, return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), level, np.int8)), pa.array(keys.view(np.int64)), pa.array(counts.astype(np.int64))], ["level", "key", "n"])
+                context = levels[0] if level else _before(h, words)
+                _, first, at = np.unique(tx.combine(h, context), return_index=True, return_inverse=True)
+                n1 = np.bincount(at, weights=cls, minlength=len(first)).astype(np.int64)
+                n0 = np.bincount(at, minlength=len(first)) - n1
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(first), level, np.int8)), *(pa.array(x[first].view(np.int64)) for x in (h, context)), pa.array(n0), pa.array(n1)], ["level", "e", "c", "n0", "n1"])
+
+
+def _keyed(batches):
+    """(key, n0, n1) of rows (kind, a, b, n0, n1)."""
+    for x in batches:
+        a, b = (x.column(k).to_numpy().view(np.uint64) for k in (1, 2))
+        yield pa.RecordBatch.from_arrays([pa.array(_keys(x.column(0).to_numpy().astype(np.uint64), a, b).view(np.int64)), x.column(3), x.column(4)], ["key", "n0", "n1"])
+
+
+class Counts:
+    """Counts by class of 64-bit keys, exact: those of keys seen once are a sorted list for each class."""
+
+    def __init__(self, rows: DataFrame):
+        self.ones = []
+        for n0, n1 in ((1, 0), (0, 1)):
+            found = rows.where((F.col("n0") == n0) & (F.col("n1") == n1)).select("key").toArrow()
+            self.ones.append(np.sort(found.column(0).to_numpy().view(np.uint64)))
+        found = rows.where("n0 + n1 > 1").toArrow()
+        self.keys = found.column("key").to_numpy().view(np.uint64)
+        order = np.argsort(self.keys)
+        values = np.stack([found.column(c).to_numpy()[order] for c in ("n0", "n1")])
+        self.keys, self.values = self.keys[order], values.astype(np.uint32 if values.max(initial=0) < 1 << 32 else np.uint64)
+
+    @staticmethod
+    def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        at = np.searchsorted(sorted_keys, keys)
+        known = np.flatnonzero(at < len(sorted_keys))
+        known = known[sorted_keys[at[known]] == keys[known]]
+        return known, at[known]
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """2 x keys; 0 for what isn't there."""
+        distinct, back = np.unique(keys, return_inverse=True)
+        out = np.zeros((2, len(distinct)))
+        known, at = self._at(self.keys, distinct)
+        out[:, known] = self.values[:, at]
+        for c in range(2):
+            out[c, self._at(self.ones[c], distinct)[0]] = 1
+        return out[:, back]
 
 
 def _gathered(rows: DataFrame, width: int, bits: int, *values: str) -> "Table":
@@ -118,40 +160,63 @@ class Table:
 
 
 class Model:
-    """Tables of counts: expressions by level (ordinary, toxic), contexts (words after them by class, distinct ones by class) and pairs."""
+    """Counts of words (expressions by level; contexts: words after them, distinct ones) and of pairs; ``rest`` filters the keys of pairs that are left to a join."""
 
-    def __init__(self, expressions: list[Table], contexts: Table, pairs: Table, totals: np.ndarray, types: np.ndarray):
-        self.expressions, self.contexts, self.pairs = expressions, contexts, pairs
+    def __init__(self, words: Counts, pairs: Counts, rest: np.ndarray | None, totals: np.ndarray, types: np.ndarray):
+        self.words, self.pairs, self.rest = words, pairs, rest
         self.totals, self.types = np.maximum(totals, 1), np.maximum(types, 1)  # level x class
 
-    def differences(self, levels: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """log P(word | toxic) - log P(word | ordinary) of each word: after the word before it, and by itself."""
-        own = [table((h >> _U(64 - EXPRESSION)).astype(np.int64)) for table, h in zip(self.expressions, levels, strict=True)]
+    def differences(self, levels: list[np.ndarray], words: np.ndarray) -> tuple[np.ndarray, np.ndarray, tuple]:
+        """log P(word | toxic) - log P(word | ordinary) of each word: after the word before it, and by itself.
+
+        Then, of the words whose pair is left to the join: where they are, their pairs' keys, and what backoff gives of
+        the bigram's numerator in each class.
+        """
+        # What depends on a word alone is found once for each distinct word; a text's start is a context too.
+        distinct, first, at = np.unique(levels[0], return_index=True, return_inverse=True)
+        none = np.zeros(len(distinct), np.uint64)
+        own = [self.words(_keys(level, h[first], none)) for level, h in enumerate(levels)]
         shared = [(n[0] + n[1] + 0.5) / (self.totals[level].sum() + self.types[level].sum()) for level, n in enumerate(own)]
-        keys = _keys(levels[0], _before(levels[0], words))
-        contexts = self.contexts((keys & _U(2**CONTEXT - 1)).astype(np.int64))
-        pairs = self.pairs(_pairs(keys))
-        plain, chained = [], []
+        contexts = np.append(distinct, _U(1))
+        after, follow = (self.words(_keys(kind, contexts, np.zeros(len(contexts), np.uint64))) for kind in (AFTER, DISTINCT))
+        before = np.full(len(at), len(distinct))
+        before[1:] = at[:-1]
+        starts = words[:-1]
+        before[starts[starts < len(at)]] = len(distinct)
+        keys = _keys(PAIR, levels[0], contexts[before])
+        pairs = self.pairs(keys)
+        plain, chained, backed = [], [], []
         for c in range(2):
             p = shared[-1]
             for level in range(len(LEVELS) - 1, -1, -1):
                 if level < len(LEVELS) - 1:
                     p = p * (shared[level] / shared[level + 1])
                 p = (np.maximum(own[level][c] - DISCOUNT, 0) + DISCOUNT * self.types[level, c] * p) / self.totals[level, c]
-            n, follow = contexts[c], contexts[2 + c]
-            pair = np.minimum(pairs[c], n)
-            bigram = (np.maximum(pair - DISCOUNT, 0) + DISCOUNT * np.minimum(follow, n) * p) / np.maximum(n, 1)
-            plain.append(np.log(p))
-            chained.append(np.log(np.where(n > 0, bigram, p)))
-        return chained[1] - chained[0], plain[1] - plain[0]
+            n, backoff = after[c][before], DISCOUNT * follow[c][before] * p[at]
+            bigram = (np.maximum(pairs[c] - DISCOUNT, 0) + backoff) / np.maximum(n, 1)
+            plain.append(np.log(p)[at])
+            chained.append(np.log(np.where(n > 0, bigram, p[at])))
+            backed.append(np.where(n > 0, backoff, 1.0))
+        left = np.zeros(0, np.int64)
+        if self.rest is not None:
+            bit = keys >> _U(64 - FILTER)
+            left = np.flatnonzero((pairs.sum(axis=0) == 0) & ((self.rest[(bit >> _U(6)).astype(np.int64)] >> (bit & _U(63)) & _U(1)) > 0))
+        return chained[1] - chained[0], plain[1] - plain[0], (left, keys[left], backed[0][left], backed[1][left])
 
     def features(self, column) -> np.ndarray:
         """For each text: the mean difference of its words in their contexts, and those of its TOP strongest distinct words."""
+        return self.measured(column)[0]
+
+    def measured(self, column) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[np.ndarray]]:
+        """``features``, the number of words, and of the pairs left to the join: offsets by text, and key, backoff by class."""
         data, off = tx.string_buffers(column)
-        out = [np.zeros((0, 1 + TOP))]
+        out, lengths, counts, rests = [np.zeros((0, 1 + TOP))], [np.zeros(0, np.int64)], [np.zeros(1, np.int64)], []
         for _, _, d, o in tx.chunks(data, off):
             levels, words = _words(d, o)
-            chained, plain = self.differences(levels, words)
+            chained, plain, (left, *rest) = self.differences(levels, words)
+            rests.append(rest)
+            counts.append(np.diff(np.searchsorted(left, words)))
+            lengths.append(np.diff(words))
             sums = np.concatenate([[0.0], np.cumsum(chained)])
             n = np.diff(words)
             made = np.zeros((len(n), 1 + TOP))
@@ -164,7 +229,31 @@ class Model:
                 best = np.sort(near[at][first])[::-1][:TOP]
                 made[i, 1 : 1 + len(best)] = np.maximum(best, 0)
             out.append(made)
-        return np.concatenate(out)
+        rest = [np.concatenate(x) for x in zip(*rests, strict=True)] if rests else [np.zeros(0, np.uint64), np.zeros(0), np.zeros(0)]
+        return np.concatenate(out), np.concatenate(lengths), np.cumsum(np.concatenate(counts)), rest
+
+
+MEASURED = "struct<f:array<double>,words:long,rest:array<struct<key:long,a0:double,a1:double>>>"
+
+
+def _measured(docs: DataFrame, model: Broadcast, tail: DataFrame | None, text: str, keep: list[str]) -> DataFrame:
+    """``keep`` and ``__f``, the features of each text; pairs that the model leaves to ``tail`` are joined."""
+    if tail is None:
+        return with_kernel(docs, text, "__f", T.ArrayType(T.DoubleType()), lambda: lambda c: list(model.value.features(c)), keep)
+
+    def kernel(column):
+        f, words, off, (key, a0, a1) = model.value.measured(column)
+        lists = lambda off, flat: pa.ListArray.from_arrays(pa.array(off.astype(np.int32)), flat)
+        rest = pa.StructArray.from_arrays([pa.array(key.view(np.int64)), pa.array(a0), pa.array(a1)], names=["key", "a0", "a1"])
+        return pa.StructArray.from_arrays([lists(np.arange(len(f) + 1) * (1 + TOP), pa.array(f.ravel())), pa.array(words), lists(off, rest)], names=["f", "words", "rest"])
+
+    numbered = docs.withColumn("__row", F.monotonically_increasing_id())
+    rows = stored(with_kernel(numbered, text, "__m", T.DataType.fromDDL(MEASURED), lambda: kernel, [*keep, "__row"]), "measured")
+    gain = lambda a, n: F.log((F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + F.col(a)) / F.col(a))
+    left = rows.select("__row", F.explode("__m.rest").alias("r")).select("__row", "r.*").join(tail, "key")
+    gains = left.groupBy("__row").agg(F.sum(gain("a1", "n1") - gain("a0", "n0")).alias("__gain"))
+    first = F.col("__m.f")[0] + F.coalesce(F.col("__gain"), F.lit(0.0)) / F.greatest(F.col("__m.words"), F.lit(1))
+    return rows.join(gains, "__row", "left").select(*(F.col(f"`{c}`") for c in keep), F.concat(F.array(first), F.slice("__m.f", 2, TOP)).alias("__f"))
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
@@ -181,69 +270,72 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return w
 
 
-def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", calibration_rows: int = 5000) -> tuple[Broadcast, np.ndarray] | None:
-    """The broadcast model and the coefficients of the score; None without rows of both classes.
+def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", calibration_rows: int = 5000, held: int = HELD) -> tuple[Broadcast, np.ndarray, DataFrame | None] | None:
+    """The broadcast model, the coefficients of the score and the pairs left to a join, if any; None without rows of both classes.
 
     Four fifths of the labelled rows are counted, all of them; of the others at most about ``calibration_rows`` (a
-    documented bound) fit the coefficients.
+    documented bound) fit the coefficients. At most ``held`` pairs are broadcast, the most frequent ones.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("__label"))
     left_out = F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(5)) == 0
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"))
     rows = texts.join(bounded(known.where(~left_out)), "__id").select("__text", "__label")
-    counts = rows.mapInArrow(_counted, "level byte, key long, n long").groupBy("level", "key").agg(F.sum("n").alias("n"))
+    counts = rows.mapInArrow(_counted, "level byte, e long, c long, n0 long, n1 long").groupBy("level", "e", "c").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     counts = stored(counts, "ngrams")
-    ordinary = F.col("key").bitwiseAND(1) == 0
-    one = lambda value, cls: F.sum(F.when(ordinary if cls == 0 else ~ordinary, value).otherwise(0)).cast("float")
+    types = [F.count_if(F.col(n) > 0).alias(n) for n in ("n0", "n1")]
 
-    expression = F.shiftrightunsigned("key", CONTEXT + 1)
-    by_expression = counts.groupBy("level", expression.alias("e")).agg(one(1, 0).alias("n0"), one(1, 1).alias("n1"))
-    by_expression = stored(by_expression, "expressions")
-    sums = {r.level: r for r in by_expression.groupBy("level").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"), F.count(F.lit(1)).alias("k")).collect()}
+    by_expression = stored(counts.groupBy("level", "e").agg(*types), "expressions")
+    sums = {r.level: r for r in by_expression.groupBy("level").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1")).collect()}
     if len(sums) < len(LEVELS) or not (sums[0].t0 and sums[0].t1):
         return None
     totals = np.array([[sums[k].t0, sums[k].t1] for k in range(len(LEVELS))])
-    types = np.array([[sums[k].k0, sums[k].k1] for k in range(len(LEVELS))])
-    bits = [table_bits(sums[k].k) for k in range(len(LEVELS))]
-    expressions = [_gathered(by_expression.where(F.col("level") == k).withColumnRenamed("e", "key"), EXPRESSION, bits[k], "n0", "n1") for k in range(len(LEVELS))]
-
-    words = counts.where("level = 0")
-    context = F.shiftrightunsigned("key", 1).bitwiseAND(2**CONTEXT - 1)
-    contexts = words.groupBy(context.alias("c")).agg(one(F.col("n"), 0).alias("n0"), one(F.col("n"), 1).alias("n1"), one(1, 0).alias("f0"), one(1, 1).alias("f1"))
-    contexts = _gathered(contexts.withColumnRenamed("c", "key"), CONTEXT, bits[0], "n0", "n1", "f0", "f1")  # contexts are words
-
-    def placed(batches):
-        for b in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_pairs(b.column(0).to_numpy().view(np.uint64))), b.column(1), b.column(2)], ["key", "n0", "n1"])
-
-    pairs = words.groupBy(F.shiftrightunsigned("key", 1).alias("p")).agg(one(F.col("n"), 0).alias("n0"), one(F.col("n"), 1).alias("n1")).where("n0 + n1 >= 2")
-    by_pair = stored(pairs.mapInArrow(placed, "key long, n0 float, n1 float"), "pairs")
-    pairs = _gathered(by_pair, PAIR, table_bits(by_pair.count()), "n0", "n1")
-    drop_stored(counts, by_expression, by_pair)
-    model = Model(expressions, contexts, pairs, totals, types)
+    kinds = np.array([[sums[k].k0, sums[k].k1] for k in range(len(LEVELS))])
+
+    keyed = lambda rows, kind, a, b: rows.select(F.lit(kind).cast("byte") if isinstance(kind, int) else kind.alias("kind"), F.col(a).alias("a"), (F.col(b) if b else F.lit(0).cast("long")).alias("b"), "n0", "n1").mapInArrow(_keyed, "key long, n0 long, n1 long")
+    bigrams = counts.where("level = 0")
+    contexts = stored(bigrams.groupBy("c").agg(F.sum("n0").alias("s0"), F.sum("n1").alias("s1"), *types), "contexts")
+    words = keyed(by_expression, F.col("level"), "e", None).unionByName(keyed(contexts, DISTINCT, "c", None)).unionByName(keyed(contexts.select("c", F.col("s0").alias("n0"), F.col("s1").alias("n1")), AFTER, "c", None))
+    words = stored(words, "words")
+
+    pairs = stored(keyed(bigrams.where("n0 + n1 >= 2"), PAIR, "e", "c"), "pairs")
+    times = F.least(F.col("n0") + F.col("n1"), F.lit(1000))
+    sizes = sorted(pairs.groupBy(times.alias("times")).count().collect(), reverse=True)
+    least, room = 1001, held
+    for times_seen, size in sizes:
+        if size > room:
+            break
+        least, room = times_seen, room - size
+    tail = rest = None
+    if any(times_seen < least for times_seen, _ in sizes):
+        tail = pairs.where(times < least)
+        bit = F.shiftrightunsigned("key", 64 - FILTER)
+        found = tail.groupBy(F.shiftright(bit, 6).cast("int").alias("at")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+        rest = np.zeros(1 << (FILTER - 6), np.uint64)
+        rest[found.column("at").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    model = Model(Counts(words), Counts(pairs.where(times >= least)), rest, totals, kinds)
+    drop_stored(counts, by_expression, contexts, words, *([] if tail is not None else [pairs]))
 
     others = known.where(left_out)
     share = min(1.0, calibration_rows / max(1, others.count()))
     others = others.where(F.xxhash64("__id", F.lit(9)) <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
     shared = spark.sparkContext.broadcast(model)
-    found = with_kernel(texts.join(F.broadcast(others), "__id"), "__text", "f", T.ArrayType(T.DoubleType()), lambda: lambda c: list(shared.value.features(c)), ["__label"]).collect()
+    found = _measured(texts.join(F.broadcast(others), "__id"), shared, tail, "__text", ["__label"]).collect()
     y = np.array([r["__label"] for r in found], float)
     if len(set(y.tolist())) < 2:
-        return shared, np.array([1.0, *[0.5] * TOP, -6.0])
-    return shared, _logistic(np.array([r["f"] for r in found]), y)
+        return shared, np.array([1.0, *[0.5] * TOP, -6.0]), tail
+    return shared, _logistic(np.array([r["__f"] for r in found]), y), tail
 
 
-def with_toxicity(docs: DataFrame, fitted: tuple[Broadcast, np.ndarray] | None, *, text: str = "text", out: str = "toxicity", keep=None) -> DataFrame:
+def with_toxicity(docs: DataFrame, fitted: tuple[Broadcast, np.ndarray, DataFrame | None] | None, *, text: str = "text", out: str = "toxicity", keep=None) -> DataFrame:
     """``docs`` and the probability that each whole text is toxic."""
-
-    def start():
-        if fitted is None:
-            return lambda column: np.zeros(len(column))
-        model, w = fitted[0].value, fitted[1]
-        return lambda column: 1 / (1 + np.exp(-np.clip(model.features(column) @ w[:-1] + w[-1], -30, 30)))
-
-    return with_kernel(docs, text, out, T.DoubleType(), start, keep)
+    if fitted is None:
+        return with_kernel(docs, text, out, T.DoubleType(), lambda: lambda column: np.zeros(len(column)), keep)
+    names = [c for c in (keep if keep is not None else docs.columns) if c != out]
+    shared, w, tail = fitted
+    z = sum((F.col("__f")[k] * float(w[k]) for k in range(1 + TOP)), F.lit(float(w[-1])))
+    score = 1 / (1 + F.exp(-F.greatest(F.least(z, F.lit(30.0)), F.lit(-30.0))))
+    return _measured(docs, shared, tail, text, names).select(*(F.col(f"`{c}`") for c in names), score.alias(out))
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

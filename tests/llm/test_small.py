@@ -323,6 +323,25 @@ def test_toxicity_tables_grow_and_return_what_they_hold(spark):
         assert not table(np.array(absent)).any()
 
 
+def test_toxicity_keeps_all_counts_held_or_joined(spark):
+    # More expressions than a table of 2**21 slots keeps apart; none may be lost or take another's count.
+    rows = spark.range(300_000).selectExpr("xxhash64(id) AS key", "2 + id AS n0", "id % 3 AS n1")
+    held = toxicity.Counts(rows)
+    sample = rows.where("n0 % 7 = 0").collect()
+    got = held(np.array([r.key for r in sample], np.int64).view(np.uint64))
+    assert got.T.tolist() == [[r.n0, r.n1] for r in sample]
+    assert not held(np.arange(1, 1000, dtype=np.uint64)).any()
+    docs, labels, _ = fixture_labelled(spark, "toxic")
+    scores = []
+    for n in (toxicity.HELD, 300, 0):
+        fitted = toxicity.fit(docs, labels, held=n)
+        assert (fitted[2] is None) == (n == toxicity.HELD)
+        scores.append(sorted((r.doc_id, r.p) for r in toxicity.with_toxicity(docs, fitted, out="p", keep=["doc_id"]).collect()))
+    for other in scores[1:]:
+        assert [k for k, _ in other] == [k for k, _ in scores[0]]
+        assert np.allclose([p for _, p in other], [p for _, p in scores[0]], atol=1e-9)
+
+
 def test_language(spark):
     rng = random.Random(2)
     # Languages share letters and differ in their words.
