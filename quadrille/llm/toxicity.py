@@ -11,7 +11,7 @@ A text's score is a logistic function of the length-normalised difference of the
 and of its ``TOP`` strongest distinct words (a few words in a long text count). Its few coefficients are fitted on
 training rows that the counts leave out.
 
-Counts are taken from all labelled training rows and grow with them; an expression is known by a 64-bit hash, and no
+Counts are taken from all labelled training rows but those few, and grow with them; an expression is known by a 64-bit hash, and no
 other shares its count. The counts of words, stems and contexts are broadcast whole. Of the pairs of words the most
 frequent are broadcast, at most ``held`` of them (a documented bound); the others stay a table by key, and a text's
 words that aren't among the broadcast ones are joined with it. Both ways give the same scores.
@@ -103,15 +103,27 @@ class Counts:
     """Counts by class of 64-bit keys, exact: those of keys seen once are a sorted list for each class."""
 
     def __init__(self, rows: DataFrame):
-        self.ones = []
-        for n0, n1 in ((1, 0), (0, 1)):
-            found = rows.where((F.col("n0") == n0) & (F.col("n1") == n1)).select("key").toArrow()
-            self.ones.append(np.sort(found.column(0).to_numpy().view(np.uint64)))
-        found = rows.where("n0 + n1 > 1").toArrow()
-        self.keys = found.column("key").to_numpy().view(np.uint64)
-        order = np.argsort(self.keys)
-        values = np.stack([found.column(c).to_numpy()[order] for c in ("n0", "n1")])
-        self.keys, self.values = self.keys[order], values.astype(np.uint32 if values.max(initial=0) < 1 << 32 else np.uint64)
+        once = [(F.col("n0") == n0) & (F.col("n1") == n1) for n0, n1 in ((1, 0), (0, 1))]
+        self.ones = [np.sort(self._collected(rows.where(c), ["key"])[0].view(np.uint64)) for c in once]
+        keys, *values = self._collected(rows.where("n0 + n1 > 1"), ["key", "n0", "n1"])
+        order = np.argsort(keys.view(np.uint64))
+        values = np.stack([v[order] for v in values])
+        self.keys, self.values = keys.view(np.uint64)[order], values.astype(np.uint32 if values.max(initial=0) < 1 << 32 else np.uint64)
+
+    @staticmethod
+    def _collected(rows: DataFrame, names: list[str], slice_rows: int = 2_000_000) -> list[np.ndarray]:
+        """The columns ``names``, fetched in slices so that the driver holds little besides them."""
+        n = rows.count()
+        out, at, slices = [np.empty(n, np.int64) for _ in names], 0, -(-n // slice_rows)
+        for k in range(slices):
+            found = rows.where(F.pmod("key", F.lit(slices)) == k).select(*names).toArrow()
+            for batch in found.to_batches():
+                for column, values in zip(out, batch.columns, strict=True):
+                    column[at : at + batch.num_rows] = values.to_numpy()
+                at += batch.num_rows
+            del found
+            pa.default_memory_pool().release_unused()
+        return out
 
     @staticmethod
     def _at(sorted_keys: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -273,12 +285,15 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str = "doc_id", text: str = "text", calibration_rows: int = 5000, held: int = HELD) -> tuple[Broadcast, np.ndarray, DataFrame | None] | None:
     """The broadcast model, the coefficients of the score and the pairs left to a join, if any; None without rows of both classes.
 
-    Four fifths of the labelled rows are counted, all of them; of the others at most about ``calibration_rows`` (a
-    documented bound) fit the coefficients. At most ``held`` pairs are broadcast, the most frequent ones.
+    About ``calibration_rows`` labelled rows (a documented bound), at most a fifth of them, fit the coefficients; all
+    others are counted. At most ``held`` pairs are broadcast, the most frequent ones.
     """
     spark = docs.sparkSession
     known = labels.where(F.col(label).isNotNull() & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("__id")).agg((F.max(F.col(label).cast("int")) > 0).cast("int").alias("__label"))
-    left_out = F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(5)) == 0
+    known = stored(known, "known")
+    fifth = F.pmod(F.xxhash64("__id", F.lit(8)), F.lit(5)) == 0
+    share = min(1.0, calibration_rows / max(1, known.where(fifth).count()))
+    left_out = fifth & (F.xxhash64("__id", F.lit(9)) <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
     texts = docs.select(F.col(doc_id).alias("__id"), F.col(text).cast("string").alias("__text"))
     rows = texts.join(bounded(known.where(~left_out)), "__id").select("__text", "__label")
     counts = rows.mapInArrow(_counted, "level byte, e long, c long, n0 long, n1 long").groupBy("level", "e", "c").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
@@ -298,7 +313,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
     words = keyed(by_expression, F.col("level"), "e", None).unionByName(keyed(contexts, DISTINCT, "c", None)).unionByName(keyed(contexts.select("c", F.col("s0").alias("n0"), F.col("s1").alias("n1")), AFTER, "c", None))
     words = stored(words, "words")
 
-    pairs = stored(keyed(bigrams.where("n0 + n1 >= 2"), PAIR, "e", "c"), "pairs")
+    pairs = stored(keyed(bigrams, PAIR, "e", "c"), "pairs")
     times = F.least(F.col("n0") + F.col("n1"), F.lit(1000))
     sizes = sorted(pairs.groupBy(times.alias("times")).count().collect(), reverse=True)
     least, room = 1001, held
@@ -317,9 +332,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
     drop_stored(counts, by_expression, contexts, words, *([] if tail is not None else [pairs]))
 
     others = known.where(left_out)
-    share = min(1.0, calibration_rows / max(1, others.count()))
-    others = others.where(F.xxhash64("__id", F.lit(9)) <= F.lit(int(-(2**63) + share * (2**64 - 1)) if share < 1 else 2**63 - 1))
     shared = spark.sparkContext.broadcast(model)
+    del model
     found = _measured(texts.join(F.broadcast(others), "__id"), shared, tail, "__text", ["__label"]).collect()
     y = np.array([r["__label"] for r in found], float)
     if len(set(y.tolist())) < 2:

@@ -342,6 +342,20 @@ def test_toxicity_keeps_all_counts_held_or_joined(spark):
         assert np.allclose([p for _, p in other], [p for _, p in scores[0]], atol=1e-9)
 
 
+def test_toxicity_counts_pairs_seen_once_and_all_rows_but_the_calibration_ones(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(k, f"left{k} right{k}", "en", "s", 0) for k in range(200)]
+    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, 1, k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels, calibration_rows=10)[0].value
+    # Each text has two pairs, seen once: its start and first word, and its two words.
+    counted = sum(len(x) for x in model.pairs.ones) // 2
+    fifth = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(5)) == 0).count()
+    assert 200 - fifth < counted < 200
+    h, words = toxicity._words(*toxicity.tx.string_buffers(toxicity.pa.array([r[1] for r in rows])))
+    assert model.pairs(toxicity._keys(toxicity.PAIR, h[0], toxicity._before(h[0], words)))[:, 1::2].sum() == counted
+
+
 def test_language(spark):
     rng = random.Random(2)
     # Languages share letters and differ in their words.
