@@ -238,6 +238,9 @@ class Model:
                 near = plain[a:b]
                 at = np.flatnonzero(near >= np.partition(near, -8 * TOP)[-8 * TOP]) if len(near) > 8 * TOP else np.arange(len(near))
                 _, first = np.unique(levels[0][a:b][at], return_index=True)
+                if len(first) < TOP and len(at) < len(near):  # few words have all the strongest positions
+                    at = np.arange(len(near))
+                    _, first = np.unique(levels[0][a:b], return_index=True)
                 best = np.sort(near[at][first])[::-1][:TOP]
                 made[i, 1 : 1 + len(best)] = np.maximum(best, 0)
             out.append(made)

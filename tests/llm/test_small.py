@@ -356,6 +356,13 @@ def test_toxicity_counts_pairs_seen_once_and_all_rows_but_the_calibration_ones(s
     assert model.pairs(toxicity._keys(toxicity.PAIR, h[0], toxicity._before(h[0], words)))[:, 1::2].sum() == counted
 
 
+def test_toxicity_finds_the_strongest_distinct_words_of_a_repetitive_text(spark):
+    docs, labels, _ = fixture_labelled(spark, "toxic")
+    model = toxicity.fit(docs, labels)[0].value
+    long, short = model.features(toxicity.pa.array(["awful " * 100 + "nasty rotten", "awful nasty rotten"]))
+    assert (short[1:4] > 0).all() and np.allclose(long[1:], short[1:])
+
+
 def test_language(spark):
     rng = random.Random(2)
     # Languages share letters and differ in their words.
