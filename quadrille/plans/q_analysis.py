@@ -24,7 +24,7 @@ def _r(df, *columns):
 
 @query("jn18_near_pairs", f"SELECT i, j, round_even(km, 6) AS km FROM ({NEAR})", p=i.FEWPOINT)
 def _(t):
-    return _r(sa.near_pairs(t.view(i.FEWPOINT), 1000.0), "km")
+    return _r(sa.near_pairs(t.view(i.SUPPLIERPOINT), 1000.0), "km")
 
 
 _MORAN = f"SELECT round_even((SELECT count(*) FROM p) / sum(w) * sum(w * zi * zj) / ((SELECT var_pop(value) FROM p) * (SELECT count(*) FROM p)), 6) AS moran_i, round_even(-1.0 / ((SELECT count(*) FROM p) - 1), 6) AS expected, (SELECT count(*) FROM p) AS n FROM (SELECT 1 / km / sum(1 / km) OVER (PARTITION BY i) AS w, a.z AS zi, b.z AS zj FROM ({NEAR}) JOIN ({Z}) a ON a.id = i JOIN ({Z}) b ON b.id = j WHERE km > 0)"
@@ -33,24 +33,24 @@ _MORAN = f"SELECT round_even((SELECT count(*) FROM p) / sum(w) * sum(w * zi * zj
 @query("sa01_global_moran", _MORAN, p=i.FEWPOINT)
 @query("sa02_haversine_moran", _MORAN, p=i.FEWPOINT)
 def _(t):
-    p = t.view(i.FEWPOINT)
+    p = t.view(i.SUPPLIERPOINT)
     return _r(sa.moran(p, sa.inverse_distance(sa.near_pairs(p, 1000.0))), "moran_i", "expected")
 
 
 @query("sa02_knn_weights", f"SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY km, j) AS n FROM ({NEAR})) WHERE n <= 8", p=i.FEWPOINT)
 def _(t):
-    return sa.nearest(sa.near_pairs(t.view(i.FEWPOINT), 1000.0), 8).select("i", "j")
+    return sa.nearest(sa.near_pairs(t.view(i.SUPPLIERPOINT), 1000.0), 8).select("i", "j")
 
 
 @query("sa04_local_moran", f"SELECT z.id, round_even(coalesce(z / (SELECT var_pop(value) FROM p) * lag, 0), 6) AS local_i FROM ({Z}) z LEFT JOIN (SELECT i AS id, sum(zb.z / km) / sum(1 / km) AS lag FROM ({NEAR}) JOIN ({Z}) zb ON zb.id = j WHERE km > 0 GROUP BY 1) USING (id)", p=i.FEWPOINT)
 def _(t):
-    p = t.view(i.FEWPOINT)
+    p = t.view(i.SUPPLIERPOINT)
     return _r(sa.local_moran(p, sa.inverse_distance(sa.near_pairs(p, 1000.0))), "local_i")
 
 
 @query("sa05_correlogram", f"SELECT CAST(floor(km / 200) AS INT) AS bin, count(*) AS pairs, round_even(avg(a.z * b.z), 2) AS covariance FROM (SELECT * FROM ({NEAR}) WHERE km < 1000 UNION ALL SELECT id, id, 0.0 FROM p) JOIN ({Z}) a ON a.id = i JOIN ({Z}) b ON b.id = j GROUP BY 1", p=i.FEWPOINT)
 def _(t):
-    return sa.correlogram(t.view(i.FEWPOINT), 1000.0, 5).withColumn("covariance", F.rint(F.col("covariance") * 100) / 100)
+    return sa.correlogram(t.view(i.SUPPLIERPOINT), 1000.0, 5).withColumn("covariance", F.rint(F.col("covariance") * 100) / 100)
 
 
 @query("sa07_cluster_quality", "SELECT label, round_even(avg(sqrt(pow(lon - cx, 2) + pow(lat - cy, 2))), 6) AS spread, count(*) AS size FROM (SELECT *, CAST(id % 6 AS INT) AS label, avg(lon) OVER (PARTITION BY id % 6) AS cx, avg(lat) OVER (PARTITION BY id % 6) AS cy FROM p) GROUP BY 1", p=i.POINT)
@@ -61,7 +61,7 @@ def _(t):
 @query("sp04_buffer_exclusion", f"SELECT id FROM p WHERE id % 5 <> 0 AND id NOT IN (SELECT a.id FROM p a JOIN p b ON a.id % 5 <> 0 AND b.id % 5 = 0 WHERE {HAV} <= 500)", p=i.FEWPOINT)
 @query("sa06_independence", f"SELECT id FROM p WHERE id % 5 <> 0 AND id NOT IN (SELECT a.id FROM p a JOIN p b ON a.id % 5 <> 0 AND b.id % 5 = 0 WHERE {HAV} <= 500)", p=i.FEWPOINT)
 def _(t):
-    p = t.view(i.FEWPOINT)
+    p = t.view(i.SUPPLIERPOINT)
     return sa.buffer_excluded(p.where("id % 5 <> 0"), p.where("id % 5 = 0"), 500.0).select("id")
 
 

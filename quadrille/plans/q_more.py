@@ -213,14 +213,14 @@ def _(t):
 
 @query("km04_local_weights", f"SELECT i AS id, count(*) AS neighbours, round_even(var_pop(v), 6) AS variance FROM (SELECT i, p.value AS v FROM ({qa.NEAR}) JOIN p ON p.id = j) GROUP BY 1 HAVING count(*) > 5", p=i.FEWPOINT)
 def _(t):
-    p = t.view(i.FEWPOINT)
+    p = t.view(i.SUPPLIERPOINT)
     near = sa.near_pairs(p, 1000.0).join(p.select(F.col("id").alias("j"), "value"), "j")
     return _r(near.groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("neighbours"), F.var_pop("value").alias("variance")).where("neighbours > 5"), "variance")
 
 
 @query("sa03_global_normalised_moran", f"SELECT round_even((SELECT count(*) FROM p) * sum(1 / km * a.z * b.z) / (sum(1 / km) * (SELECT sum(z * z) FROM ({qa.Z}))), 6) AS moran_i FROM ({qa.NEAR}) JOIN ({qa.Z}) a ON a.id = i JOIN ({qa.Z}) b ON b.id = j WHERE km > 0", p=i.FEWPOINT)
 def _(t):
-    p = t.view(i.FEWPOINT)
+    p = t.view(i.SUPPLIERPOINT)
     z = p.crossJoin(p.agg(F.avg("value").alias("m"))).select("id", (F.col("value") - F.col("m")).alias("z"))
     w = sa.inverse_distance(sa.near_pairs(p, 1000.0))
     sums = w.join(z.select(F.col("id").alias("i"), F.col("z").alias("zi")), "i").join(z.select(F.col("id").alias("j"), F.col("z").alias("zj")), "j").agg(F.sum(F.col("w") * F.col("zi") * F.col("zj")).alias("num"), F.sum("w").alias("w"))
