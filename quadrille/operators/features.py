@@ -125,41 +125,52 @@ def cell_minmax(features: DataFrame) -> DataFrame:
     return features.withColumn("normalised", F.coalesce(F.try_divide(F.col("feature_value") - low, high - low), F.lit(0.0)))
 
 
-def knn_impute(df: DataFrame, columns: list[str], donors: int = 2000, k: int = 5, lat: str = "lat", lon: str = "lon", spatial: float = 0.5) -> DataFrame:
+def knn_impute(df: DataFrame, columns: list[str], k: int = 5, lat: str = "lat", lon: str = "lon", spatial: float = 0.5, block: int = 1024) -> DataFrame:
     """FE08: missing values as the mean of the k nearest donors by coordinates and shared features, all scaled.
 
-    Donors are at most ``donors`` rows, taken by a hash (a documented bound: every task holds them).
+    All rows are donors. Distinct rows are compared in blocks of about ``block``, and the k best of each block are merged;
+    ties go to the least hash, and a value without donors is its column's mean.
     """
     import numpy as np
     import pyarrow as pa
 
     names = [lat, lon, *columns]
-    row = df.agg(*(x for c in names for x in (F.avg(c).alias(f"{c}|m"), F.stddev_pop(c).alias(f"{c}|s")))).first()
+    df = df.withColumns({c: F.col(c).cast("double") for c in names})
+    row = df.agg(F.count(F.lit(1)).alias("rows"), *(x for c in names for x in (F.avg(c).alias(f"{c}|m"), F.stddev_pop(c).alias(f"{c}|s")))).first()
     mean, scale = np.array([row[f"{c}|m"] or 0.0 for c in names]), np.array([row[f"{c}|s"] or 1.0 for c in names])
-    chosen = df.select(*names).orderBy(F.xxhash64(*names)).limit(donors).collect()
-    z = (np.array([[np.nan if v is None else v for v in r] for r in chosen], float).reshape(-1, len(names)) - mean) / scale
     weights = np.array([spatial / 2] * 2 + [(1 - spatial) / max(1, len(columns))] * len(columns))
-    shared = df.sparkSession.sparkContext.broadcast((z, mean, scale, weights))
-    at = [df.columns.index(c) for c in names]
+    vectors = df.groupBy(F.array(*names).alias("v")).agg(F.count(F.lit(1)).alias("n")).withColumn("h", F.xxhash64("v"))
+    parts = max(1, -(-row["rows"] // block))
+    part = F.pmod(F.xxhash64("h", F.lit(3)), F.lit(parts)).alias("part")
+    donors = vectors.groupBy(part).agg(F.collect_list(F.struct("h", "v", "n")).alias("donors")).repartition(parts, "part").select("donors")  # a task for each block, which AQE doesn't coalesce
+    needy = vectors.where(F.exists("v", lambda x: x.isNull() | F.isnan(x))).groupBy(part).agg(F.collect_list("v").alias("needy")).select("needy")
 
     def run(batches):
-        z, mean, scale, w = shared.value
         for batch in batches:
-            x = np.column_stack([batch.column(i).to_numpy(zero_copy_only=False).astype(float) for i in at]) if batch.num_rows else np.zeros((0, len(at)))
-            x = (x - mean) / scale
-            for i in np.flatnonzero(np.isnan(x).any(axis=1)):
-                both = ~np.isnan(x[i]) & ~np.isnan(z)
-                share = (both * w).sum(axis=1)
-                d = np.where(share > 0, (np.where(both, z - x[i], 0) ** 2 * w).sum(axis=1) / np.where(share > 0, share, 1), np.inf)
-                for c in np.flatnonzero(np.isnan(x[i])):
-                    able = np.flatnonzero(~np.isnan(z[:, c]) & np.isfinite(d))
-                    near = able[np.argsort(d[able], kind="stable")[:k]]
-                    x[i, c] = z[near, c].mean() if len(near) else 0.0
-            x = x * scale + mean
-            columns_out = list(batch.columns)
-            for n, i in enumerate(at):
-                columns_out[i] = pa.array(x[:, n])
-            yield pa.RecordBatch.from_arrays(columns_out, batch.schema.names)
-
-    schema = df.withColumns({c: F.col(c).cast("double") for c in names}).schema
-    return df.withColumns({c: F.col(c).cast("double") for c in names}).mapInArrow(run, schema)
+            for r in range(batch.num_rows):
+                wanted, held = (batch.column(c).slice(r, 1).flatten() for c in (0, 1))
+                vectors_wanted, (h, v, n) = wanted.to_pylist(), held.flatten()
+                h, n, raw = h.to_numpy(), n.to_numpy(), np.array([[np.nan if x is None else x for x in y] for y in v.to_pylist()], float)
+                order = np.argsort(h, kind="stable")
+                h, n, raw = h[order], n[order], raw[order]
+                z, out = (raw - mean) / scale, []
+                for q in vectors_wanted:
+                    x = (np.array([np.nan if y is None else y for y in q], float) - mean) / scale
+                    both = ~np.isnan(x) & ~np.isnan(z)
+                    share = (both * weights).sum(axis=1)
+                    d = np.where(share > 0, (np.where(both, z - x, 0) ** 2 * weights).sum(axis=1) / np.where(share > 0, share, 1), np.inf)
+                    for c in np.flatnonzero(np.isnan(x)):
+                        able = np.flatnonzero(~np.isnan(z[:, c]) & np.isfinite(d))
+                        near = able[np.argsort(d[able], kind="stable")[:k]]
+                        near = np.repeat(near, np.minimum(n[near], k))[:k]
+                        out += [(q, int(c), float(d[i]), int(h[i]), float(raw[i, c])) for i in near]
+                if out:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), (pa.list_(pa.float64()), pa.int32(), pa.float64(), pa.int64(), pa.float64()), strict=True)], ["v", "c", "d", "h", "x"])
+
+    found = needy.crossJoin(donors).mapInArrow(run, "v array<double>, c int, d double, h long, x double")
+    best = F.slice(F.array_sort(F.collect_list(F.struct("d", "h", "x"))), 1, k)
+    filled = found.groupBy("v", "c").agg(best.alias("b")).select("v", "c", (F.aggregate("b", F.lit(0.0), lambda s, x: s + x["x"]) / F.size("b")).alias("x"))
+    filled = filled.groupBy("v").agg(F.map_from_entries(F.collect_list(F.struct("c", "x"))).alias("__filled")).withColumnRenamed("v", "__v")
+    joined = df.join(filled, F.array(*names).eqNullSafe(F.col("__v")), "left")
+    value = {c: F.when(F.col(c).isNull() | F.isnan(c), F.coalesce(F.col("__filled")[n], F.lit(float(mean[n])))).otherwise(F.col(c)) for n, c in enumerate(names)}
+    return joined.select(*(value[c].alias(c) if c in value else F.col(f"`{c}`") for c in df.columns))

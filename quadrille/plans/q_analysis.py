@@ -252,7 +252,7 @@ def _(t):
 @query("fe08_knn_imputation")
 def _(t):
     p = t.view(i.RICHNESS).select("id", F.col("latitude").alias("lat"), F.col("longitude").alias("lon"), *RICH)
-    return fe.knn_impute(p, RICH, donors=500).agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("plants_richness").isNull()).alias("missing"))
+    return _r(fe.knn_impute(p, RICH), *RICH)
 
 
 @query("fe09_cell_minmax", "SELECT grid_id, cell_id, feature_name, feature_value, round_even(coalesce((feature_value - min(feature_value) OVER w) / nullif(max(feature_value) OVER w - min(feature_value) OVER w, 0), 0), 6) AS normalised FROM f WINDOW w AS (PARTITION BY grid_id, cell_id)", f=i.FEATURE)
