@@ -308,61 +308,6 @@ def test_classifiers_on_held_out_rows(spark, kind):
     assert np.mean([(p >= 0.5) == bool(y) for p, y in held]) > 0.95
 
 
-def test_toxicity_tables_grow_and_return_what_they_hold(spark):
-    assert [toxicity.table_bits(n) for n in (0, 1 << 15, 1 << 17, 1 << 30)] == [18, 18, 20, 21]
-    rng = random.Random(3)
-    keys = {rng.randrange(1 << 36): (float(k), 1.0) for k in range(500)}
-    rows = spark.createDataFrame([(k, *v) for k, v in keys.items()], "key long, n0 float, n1 float")
-    absent = [k ^ 1 for k in keys if k ^ 1 not in keys]
-    for bits in (4, 18):
-        table = toxicity._gathered(rows, 36, bits, "n0", "n1")
-        found = table(np.array(list(keys))).T.tolist()
-        held = [tuple(f) == v for f, v in zip(found, keys.values(), strict=True)]
-        assert sum(held) == len({k >> (36 - bits) for k in keys})
-        assert all(h or f == [0, 0] for h, f in zip(held, found, strict=True))
-        assert not table(np.array(absent)).any()
-
-
-def test_toxicity_keeps_all_counts_held_or_joined(spark):
-    # More expressions than a table of 2**21 slots keeps apart; none may be lost or take another's count.
-    rows = spark.range(300_000).selectExpr("xxhash64(id) AS key", "2 + id AS n0", "id % 3 AS n1")
-    held = toxicity.Counts(rows)
-    sample = rows.where("n0 % 7 = 0").collect()
-    got = held(np.array([r.key for r in sample], np.int64).view(np.uint64))
-    assert got.T.tolist() == [[r.n0, r.n1] for r in sample]
-    assert not held(np.arange(1, 1000, dtype=np.uint64)).any()
-    docs, labels, _ = fixture_labelled(spark, "toxic")
-    scores = []
-    for n in (toxicity.HELD, 300, 0):
-        fitted = toxicity.fit(docs, labels, held=n)
-        assert (fitted[2] is None) == (n == toxicity.HELD)
-        scores.append(sorted((r.doc_id, r.p) for r in toxicity.with_toxicity(docs, fitted, out="p", keep=["doc_id"]).collect()))
-    for other in scores[1:]:
-        assert [k for k, _ in other] == [k for k, _ in scores[0]]
-        assert np.allclose([p for _, p in other], [p for _, p in scores[0]], atol=1e-9)
-
-
-def test_toxicity_counts_pairs_seen_once_and_all_rows_but_the_calibration_ones(spark):
-    from pyspark.sql import functions as F
-
-    rows = [(k, f"left{k} right{k}", "en", "s", 0) for k in range(200)]
-    docs, labels = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(k, 1, k % 2) for k in range(200)], "doc_id long, quality int, toxic int")
-    model = toxicity.fit(docs, labels, calibration_rows=10)[0].value
-    # Each text has two pairs, seen once: its start and first word, and its two words.
-    counted = sum(len(x) for x in model.pairs.ones) // 2
-    fifth = labels.where(F.pmod(F.xxhash64("doc_id", F.lit(8)), F.lit(5)) == 0).count()
-    assert 200 - fifth < counted < 200
-    h, words = toxicity._words(*toxicity.tx.string_buffers(toxicity.pa.array([r[1] for r in rows])))
-    assert model.pairs(toxicity._keys(toxicity.PAIR, h[0], toxicity._before(h[0], words)))[:, 1::2].sum() == counted
-
-
-def test_toxicity_finds_the_strongest_distinct_words_of_a_repetitive_text(spark):
-    docs, labels, _ = fixture_labelled(spark, "toxic")
-    model = toxicity.fit(docs, labels)[0].value
-    long, short = model.features(toxicity.pa.array(["awful " * 100 + "nasty rotten", "awful nasty rotten"]))
-    assert (short[1:4] > 0).all() and np.allclose(long[1:], short[1:])
-
-
 def test_language(spark):
     rng = random.Random(2)
     # Languages share letters and differ in their words.
