@@ -7,10 +7,14 @@ URL's tokens fetch the candidate expressions, and only those run.
 
 A token is a run of ASCII letters, digits and non-ASCII characters. A pattern's token can index it only where the
 pattern itself ends the token: the last word of ``/en/1`` may go on, so it can't. A rule without such a token is tried
-on every URL.
+on every URL. What no rule fits gets ``default``, or is blocked by a word; there are no words unless the caller gives them.
+
+At most ``max_rules`` rules are broadcast at a time (a documented bound of memory). More rules are judged in several
+passes over the URLs, each with a part of them, and the longest of the passes' rules decides: the same result.
 
 Defined results: null URLs and URLs without ``://`` have an empty host and path, fit no rule and get ``default``;
-repeated URLs each get their own row; extra columns are kept, and one that has the output's name is replaced.
+very long URLs are read whole; of rules of equal length that fit, the one whose action and then pattern sorts last
+decides; repeated URLs each get their own row; extra columns are kept, and one that has the output's name is replaced.
 """
 
 import re
@@ -24,7 +28,6 @@ from pyspark.sql import types as T
 from quadrille.llm.arrow import with_kernel
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-WORDS = ("spam", "casino", "viagra")
 
 RESULT = T.StructType([T.StructField(n, T.StringType()) for n in ("host", "path", "rule", "verdict", "word")])
 
@@ -80,15 +83,25 @@ def token_counts(urls: DataFrame, column: str, tokens: Iterable[str]) -> dict[st
     return {r[0]: r[1] for r in urls.select(F.explode(found).alias("token")).groupBy("token").count().collect()}
 
 
-def url_filter(urls: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, words: Iterable[str] = WORDS, default: str = "allow", url: str = "url", out: str = "judged", keep=None, max_rules: int = 200_000) -> DataFrame:
-    """``urls`` and a struct ``out``: host, path, rule (the longest that fits), verdict, word (a blocked word it has).
+def url_filter(urls: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, words: Iterable[str] = (), default: str = "allow", url: str = "url", out: str = "judged", keep=None, max_rules: int = 200_000) -> DataFrame:
+    """``urls`` and a struct ``out``: host, path, rule (the longest that fits), verdict, word (a blocked word it has)."""
+    rules, names = sorted(set(rules)), [c for c in (keep if keep is not None else urls.columns) if c != out]
+    parts = [rules[i : i + max_rules] for i in range(0, len(rules), max_rules)] or [[]]
+    found, made = urls, [f"__part{i}" for i in range(len(parts))]
+    for i, part in enumerate(parts):
+        last = i == len(parts) - 1
+        columns = [*names, *made[:i], *([] if last or url in names else [url])]
+        found = _judged(found, part, tuple(words) if not i else (), default, url, made[i], columns, counted=urls)
+    length = lambda p: F.coalesce(F.length(f"{p}.rule"), F.lit(-1))
+    ranked = [F.struct(length(p).alias("n"), F.col(f"{p}.verdict").alias("verdict"), F.col(f"{p}.rule").alias("rule")) for p in made]
+    best, first = F.greatest(*ranked) if len(ranked) > 1 else ranked[0], made[0]
+    verdict = F.when(best["n"] >= 0, best["verdict"]).otherwise(F.when(F.col(f"{first}.word").isNotNull(), "block").otherwise(default))
+    return found.select(*(F.col(f"`{c}`") for c in names), F.struct(F.col(f"{first}.host").alias("host"), F.col(f"{first}.path").alias("path"), best["rule"].alias("rule"), verdict.alias("verdict"), F.col(f"{first}.word").alias("word")).alias(out))
+
 
-    The rules are a parameter of at most ``max_rules``, which bounds what is broadcast.
-    """
-    if len(rules) > max_rules:
-        raise ValueError(f"{len(rules)} rules; at most {max_rules} are broadcast. Judge with parts of the rules one after another and keep the longest.")
-    counts = token_counts(urls, url, {t for _, p in rules for t in literal_tokens(p)})
-    shared = urls.sparkSession.sparkContext.broadcast((tuple(rules), tuple(words), counts, default))
+def _judged(urls: DataFrame, rules: Sequence[tuple[str, str]], words: Sequence[str], default: str, url: str, out: str, keep: list[str], *, counted: DataFrame) -> DataFrame:
+    counts = token_counts(counted, url, {t for _, p in rules for t in literal_tokens(p)})
+    shared = urls.sparkSession.sparkContext.broadcast((tuple(rules), words, counts, default))
 
     def start():
         index = Index(*shared.value)
@@ -115,6 +128,6 @@ fits AS (
   FROM split JOIN rules ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY n)
 SELECT page_id, host, path, rule,
-  coalesce(action, CASE WHEN regexp_matches(host || path, '(^|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])({"|".join(WORDS)})($|[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])') THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(action, 'allow') AS verdict
 FROM split LEFT JOIN fits USING (n)
 """
