@@ -7,11 +7,13 @@ a bin's sources and clusters are bitmaps, and each node of the tree has the bitm
 search for the successor passes over whole ranges of bins that conflict and goes on until the tightest that doesn't.
 
 Documents are dealt by a hash of their row into shards of about ``shard_rows``; each shard is packed by itself, so no
-task grows with the corpus and a hot source or cluster is spread over all shards. A bin belongs to one shard, so its
-constraints hold exactly.
+task grows with the corpus and a hot source or cluster is spread over all shards. Rows that are the same in everything
+are counted before they are dealt, and each copy's number is part of its hash, so that they are spread as well. A bin
+belongs to one shard, so its constraints hold exactly.
 
 Defined results: documents that are null or have no tokens are returned with bin null; null sources and null clusters
-conflict with nothing; repeated rows are packed one by one (their cluster keeps them apart); ties go by id, then hash.
+conflict with nothing; repeated rows are packed one by one (their cluster keeps them apart); very long texts are counted whole and cut into full
+pieces; ties go by id, then hash; extra columns are ignored, whatever their names.
 """
 
 from bisect import insort
@@ -121,15 +123,27 @@ def _pack_shard(table: pa.Table, capacity: int) -> pa.Table:
 def pack(docs: DataFrame, *, capacity: int = 2048, tokens: str = "n_tokens", doc_id: str = "doc_id", source: str = "source", cluster: str = "cluster", shard_rows: int = 4096) -> DataFrame:
     """One row for each piece: doc_id, piece, first_token, n_tokens, bin, slot (its place in the bin), residual of the bin."""
     rows = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(tokens).cast("long"), F.lit(0)).alias("n"), F.xxhash64(F.col(source)).alias("source_hash"), F.col(source).alias("source"), F.col(cluster).cast("long").alias("cluster"))
-    rows = stored(rows.select("doc_id", "n", F.when(F.col("source").isNotNull(), F.col("source_hash")).alias("source"), "cluster"), "lengths")
-    shards = max(1, -(-rows.where("n > 0").count() // shard_rows))
-    dealt = F.xxhash64("doc_id", "n", "source", "cluster")
-    work = rows.where("n > 0").select("*", dealt.alias("row")).select("*", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)).alias("shard"))
+    rows = rows.select("doc_id", "n", F.when(F.col("source").isNotNull(), F.col("source_hash")).alias("source"), "cluster")
+    rows = stored(rows.groupBy("doc_id", "n", "source", "cluster").agg(F.count(F.lit(1)).alias("copies")), "lengths")
+    shards = max(1, -(-(rows.where("n > 0").agg(F.sum("copies")).first()[0] or 0) // shard_rows))
+    dealt = F.xxhash64("doc_id", "n", "source", "cluster", "copy")
+    work = _copies(rows.where("n > 0")).select("*", dealt.alias("row")).select("*", F.pmod(F.xxhash64("row", F.lit(7)), F.lit(shards)).alias("shard"))
     packed = work.groupBy("shard").applyInArrow(lambda t: _pack_shard(t, capacity), SCHEMA)
-    nothing = rows.where("n <= 0").select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("bin"), F.lit(0).alias("slot"), F.lit(None).cast("long").alias("residual"))
+    nothing = _copies(rows.where("n <= 0")).select("doc_id", F.lit(0).alias("piece"), F.lit(0).cast("long").alias("first_token"), F.lit(0).cast("long").alias("n_tokens"), F.lit(None).cast("string").alias("bin"), F.lit(0).alias("slot"), F.lit(None).cast("long").alias("residual"))
     return packed.unionByName(nothing)
 
 
+def _copies(rows: DataFrame, block: int = 4096) -> DataFrame:
+    """A row for each of ``copies``, with its number as ``copy``; rows of more than ``block`` copies are written out by several tasks."""
+    numbered = lambda df, first, n: df.withColumn("copy", F.explode(F.sequence(first, first + n - 1))).drop("copies", "block")
+    one = F.lit(1).cast("long")
+    few = numbered(rows.where(F.col("copies") <= block), one, F.col("copies"))
+    blocks = rows.where(F.col("copies") > block).withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("copies") - 1) / F.lit(block)))))
+    spread = blocks.repartition("doc_id", "cluster", "block")
+    first = F.col("block") * block + 1
+    return few.unionByName(numbered(spread, first, F.least(F.lit(block).cast("long"), F.col("copies") - first + 1)))
+
+
 def _measure(column) -> pa.Array:
     data, off = tx.string_buffers(column)
     known = column.is_valid().to_numpy(zero_copy_only=False)
