@@ -274,10 +274,35 @@ def test_url_rules(spark):
     for u in urls:
         rule, action = plain(u)
         assert got[u].rule == rule and (not rule or got[u].verdict == action), u
-    assert got["https://casino-x.net/"].verdict == "block" and got[None].host == ""
+    assert got["https://casino-x.net/"].verdict == "allow" and got[None].host == ""
+    worded = url_filter.url_filter(spark.createDataFrame([(u,) for u in urls], "url string"), words=["casino", "org"])
+    words = {r.url: r.judged for r in worded.collect()}
+    assert words["https://casino-x.net/"].verdict == "block" and words["https://casino-x.net/"].word == "casino"
+    assert words["http://org"].rule is None or words["http://org"].verdict == "allow"  # a rule decides before a word
     assert url_filter.literal_tokens("example.org/en/1") == {"example", "org", "en"}
 
 
+def test_url_rules_in_several_passes_and_clashing_columns(spark):
+    rng = random.Random(8)
+    hosts = [f"{a}.{b}" for a in ("x", "yy", "zed") for b in ("com", "net", "org")] + ["com", "net"]
+    rules = [(rng.choice(["allow", "block"]), f"{h}/{'/'.join(rng.choices('pqr', k=n))}") for h in hosts for n in range(3)]
+    rules += [("allow", "x.com/p"), ("block", "x.com/p")]
+    urls = [f"http://{rng.choice(['', 'WWW.', 'a.b.'])}{h}/{'/'.join(rng.choices('pqr', k=3))}" for h in hosts for _ in range(20)]
+    urls += [urls[0], "http://x.com/p" + "q" * 100_000, None, "://", "http://"]
+    df = spark.createDataFrame([(k, u, "mine", "rule") for k, u in enumerate(urls)], "page_id long, url string, __part0 string, judged string")
+    whole, parts = (url_filter.url_filter(df.drop("__part0"), rules=rules, max_rules=n).collect() for n in (1000, 7))
+    assert {r.page_id: r.judged for r in whole} == {r.page_id: r.judged for r in parts} and len(whole) == len(urls)
+    assert whole[0].asDict().keys() == {"page_id", "url", "judged"}
+
+    def plain(url):
+        host, path = url_filter.split_url(url)
+        fits = [(len(p), a, p) for a, p in set(rules) for h, q in [p.split("/", 1)] if (host == h or host.endswith("." + h)) and path.startswith("/" + q)]
+        return max(fits)[1:] if fits else ("allow", None)
+
+    for r in whole:
+        assert (r.judged.verdict, r.judged.rule) == plain(r.url)
+
+
 def fixture_labelled(spark, kind):
     rng = random.Random(9)
     rows, labels = [], []
@@ -322,6 +347,111 @@ def test_language(spark):
     assert all(got[k].language == "und" for k in (900, 901, 902))
 
 
+def test_language_scores_by_plain_compression_and_in_several_passes(spark):
+    rng = random.Random(12)
+    words = {lang: ["".join(rng.choice("abcdefghij") for _ in range(rng.randint(4, 9))) for _ in range(80)] for lang in ("aa", "bb", "cc", "dd", "ee")}
+    texts = [" ".join(rng.choice(words[rng.choice(sorted(words)) if k % 3 else "cc"]) for _ in range(rng.randint(1, 300))) for k in range(60)]
+    texts += [None, "", "12 !", "cc", "é" * 3000, texts[0], " ".join(rng.choice(words["dd"]) for _ in range(30_000))]
+    content = {lang: " ".join(rng.choices(own, k=400)).encode() for lang, own in words.items()}
+    docs = spark.createDataFrame([(k, t, "x", "y") for k, t in enumerate(texts)], "doc_id long, text string, detected string, __body string")
+    got = language.with_language(docs.drop("__body"), content).collect()
+    assert got[0].asDict().keys() == {"doc_id", "text", "detected"}
+    parts = language.with_language(docs.drop("__body"), content, max_languages=2, keep=["doc_id"]).collect()
+    assert [(r.doc_id, r.detected.language, r.detected.accepted) for r in got] == [(r.doc_id, r.detected.language, r.detected.accepted) for r in parts]
+    assert np.allclose([r.detected.score for r in got], [r.detected.score for r in parts])
+    # Plainly: one compressor after another over blocks, the least sum wins, a narrow margin is not accepted.
+    classify = language.Classifier(content)
+    for r in got:
+        body = (r.text or "").lower().encode()
+        if not any(c.isalpha() for c in r.text or ""):
+            assert r.detected == ("und", 0.0, False)
+            continue
+        for kind in (classify.fast, classify.exact):
+            sizes = sorted((sum(len(c.compress(body[i : i + 1024])) for i in range(0, len(body), 1024)), lang) for lang, c in kind)
+            (best, lang), (second, _) = sizes[:2]
+            if second - best >= 0.04 * best:
+                break
+        assert r.detected.language == lang and r.detected.accepted == (second - best >= 0.005 * best)
+        assert r.detected.score == pytest.approx(1 / sum(2 ** (-60 * (size - best) / best) for size, _ in sizes))
+    assert got[0].detected[:2] == got[65].detected[:2]  # repeated texts
+
+
+def test_language_dictionaries_draw_from_all_places(spark):
+    long = "".join(f"{k:07d} " for k in range(20_000))
+    docs = spark.createDataFrame([(1, long, "aa"), (2, "short", "bb"), (3, "", "cc"), (4, None, "cc"), (5, "none", None)], "doc_id long, text string, lang string")
+    found = language.dictionaries(docs, dictionary_bytes=4096)
+    assert set(found) == {"aa", "bb"} and found["bb"] == b"short\n" and len(found["aa"]) == 4096
+    assert max(map(int, re.findall(rb"\d{7}", found["aa"]))) > 15_000 > 5_000 > min(map(int, re.findall(rb"\d{7}", found["aa"])))
+
+
+def test_quality_scores_are_plain_dot_products(spark):
+    rng = random.Random(6)
+    weights, bias = np.array([rng.uniform(-1, 1) for _ in range(1 << quality.BITS)], np.float32), 0.25
+    texts = ["One two, two THREE!! four", "a", None, "", " \n", "Ünïcode ünïcode %%% x9", sentence(rng, 4000), "rare " * 50]
+    docs = spark.createDataFrame([(k, t, "c") for k, t in enumerate(texts)], "doc_id long, text string, quality_score string")
+    got = quality.with_quality(docs, (weights, bias)).collect()
+    one = lambda s: int(quality.tx.SpanHash(np.frombuffer(s, np.uint8))(np.array([0]), np.array([len(s)]))[0])
+    for r in got:
+        text = re.sub("[A-Z]", lambda m: m[0].lower(), r.text or "").encode()
+        found = [m[0] for m in re.finditer(rb"[0-9a-z\x80-\xff]+|[^0-9a-z\x80-\xff\x20\t-\r]+", text)]
+        h = [np.array([one(t)], np.uint64) for t in found]
+        keys = [int(x[0]) for x in h] + [int(quality._REPEAT if a[0] == b[0] else quality.tx.combine(a, b)[0]) for a, b in itertools.pairwise(h)]
+        z = bias + quality.SCALE * sum(float(weights[k >> 64 - quality.BITS]) for k in keys) / max(1, len(keys))
+        assert r.quality_score == pytest.approx(1 / (1 + np.exp(-z)), rel=1e-6)
+
+
+def test_ftrl_updates_are_those_of_a_plain_loop():
+    rng = random.Random(3)
+    rows = [(np.array([rng.randrange(50) for _ in range(rng.randint(1, 12))], np.int32), rng.randrange(2)) for _ in range(40)]
+    got, bias = quality.ftrl(rows, epochs=2)
+    z, n, size = {}, {}, 1 << quality.BITS
+
+    def weight(k):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= 0.02 else -(v - np.sign(v) * 0.02) / ((1.0 + n.get(k, 0.0) ** 0.5) / 0.3 + 0.1)
+
+    for _ in range(2):
+        for features, y in rows:
+            x = {int(k): quality.SCALE * list(features).count(k) / len(features) for k in features} | {size: 1.0}
+            w = {k: weight(k) for k in x}
+            p = 1 / (1 + np.exp(-sum(w[k] * v for k, v in x.items())))
+            for k, v in x.items():
+                g = (p - y) * v
+                z[k] = z.get(k, 0.0) + g - ((n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5) / 0.3 * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    assert bias == pytest.approx(weight(size), abs=1e-9)
+    assert all(got[k] == pytest.approx(weight(k), abs=1e-5) for k in range(50)) and not got[50:].any()
+
+
+def test_top_k_of_equal_vectors_and_without_boxes(spark):
+    rng = np.random.default_rng(5)
+    # A third of the rows are equal: they are one leaf, which is dealt on by a hash.
+    vectors = [(k, [0.25] * 4 if k % 3 == 0 else [float(x) for x in rng.normal(size=4)]) for k in range(900)]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    whole = {k: np.floor(256 * np.array(v)) for k, v in vectors}
+    want = {(q, n + 1, k, -s) for q in range(0, 900, 50) for n, (s, k) in enumerate(sorted((-int(whole[q] @ v), k) for k, v in whole.items() if k != q)[:5])}
+    for boxes in (1000, 0):
+        got = topk.top_k(df, shard_rows=60, block_rows=3, leaf=8, max_boxes=boxes).collect()
+        assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got} == want
+
+
+def test_packing_spreads_rows_that_are_the_same(spark):
+    same = [Row(doc_id=None, n_tokens=60, source=None, cluster=None)] * 3000
+    df = spark.createDataFrame([*same, Row(doc_id=1, n_tokens=0, source="s", cluster=2)], "doc_id long, n_tokens long, source string, cluster long")
+    out = packing.pack(df.withColumn("bin", packing.F.lit("clash")), capacity=100, shard_rows=100).collect()
+    assert len(out) == 3001 and sum(r.n_tokens for r in out) == 180_000
+    shards = {}
+    for r in out:
+        if r.bin:
+            shards[r.bin.split("-")[0]] = shards.get(r.bin.split("-")[0], 0) + 1
+    assert len(shards) > 25 and max(shards.values()) < 200
+    rows = spark.createDataFrame([(7, 5, None, 3, 10_000), (8, 5, None, 3, 1), (9, 5, None, 3, 4096), (10, 5, None, 3, 4097)], "doc_id long, n long, source long, cluster long, copies long")
+    numbers = {}
+    for r in packing._copies(rows).collect():
+        numbers.setdefault(r.doc_id, []).append(r.copy)
+    assert {k: sorted(v) for k, v in numbers.items()} == {k: list(range(1, n + 1)) for k, n in ((7, 10_000), (8, 1), (9, 4096), (10, 4097))}
+
+
 def test_storage(spark):
     df = spark.range(10).toDF("x")
     assert stored(df, "t").count() == 10
