@@ -71,6 +71,11 @@ def cell_degrees(metres: float, latitude: float) -> float:
     return metres / ((METRES_PER_DEGREE + METRES_PER_DEGREE * math.cos(math.radians(latitude))) / 2)
 
 
+def degrees_of(metres: float, latitude) -> Column:
+    """FN07: degrees that ``metres`` are in the mean of both axes at a latitude."""
+    return metres / ((111319.9 + 111319.9 * F.cos(F.radians(latitude))) / 2)
+
+
 def cell_id(resolution, i, j) -> Column:
     """FN08: C{resolution}_{i}_{j}, five digits each."""
     return F.format_string("C%d_%05d_%05d", col(resolution), col(i), col(j))

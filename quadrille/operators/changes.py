@@ -44,7 +44,7 @@ def transitioned(rows: DataFrame, target: Column) -> DataFrame:
 
 
 def propagated(nodes: DataFrame, levels: int = 3) -> DataFrame:
-    """MU09, MU10: a parent's progress is the mean of its children's, from the leaves up, ``levels`` times."""
+    """MU09: a parent's progress is the mean of its children's, from the leaves up, ``levels`` times."""
     out = nodes
     for _ in range(levels - 1):
         means = out.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("node_id")).agg(F.avg("progress").alias("mean"))
@@ -52,6 +52,29 @@ def propagated(nodes: DataFrame, levels: int = 3) -> DataFrame:
     return out
 
 
+def completed_units(nodes: DataFrame, counted: tuple[str, ...] = ("pipeline", "phase"), levels: int = 3) -> DataFrame:
+    """MU10: nodes (node_id, parent_id, level, total_units, completed_units) whose parents follow their children, from the leaves up.
+
+    A parent of a ``counted`` level has as many completed units as completed children; any other has the whole part of
+    its total at the mean of its children's percentages. Completed is who has all units; without units 0 percent.
+    """
+    done = F.col("total_units").isNotNull() & (F.col("total_units") > 0) & (F.col("completed_units") >= F.col("total_units"))
+    percent = F.coalesce(F.try_divide(F.col("completed_units") * 100.0, F.col("total_units")), F.lit(0.0))
+    out = nodes
+    for _ in range(levels - 1):
+        children = out.where("parent_id IS NOT NULL").groupBy(F.col("parent_id").alias("node_id")).agg(F.count_if(done).alias("__done"), F.avg(percent).alias("__mean"))
+        units = F.when(F.col("level").isin(*counted), F.col("__done")).otherwise(F.floor(F.col("total_units") * F.col("__mean") / 100))
+        out = out.join(children, "node_id", "left").withColumn("completed_units", F.when(F.col("__mean").isNull(), F.col("completed_units")).otherwise(units).cast("long")).drop("__done", "__mean")
+    return out.withColumn("percent", percent)
+
+
+def with_statistics(tiles: DataFrame, pixels: DataFrame) -> DataFrame:
+    """MU15: tiles (tile_y, tile_x, ...) with count, mean and greatest value of their pixels (tile_y, tile_x, value), and a status: empty, or done."""
+    found = pixels.groupBy("tile_y", "tile_x").agg(F.count("value").alias("pixels"), F.avg("value").alias("mean"), F.max("value").alias("most"))
+    out = tiles.join(found, ["tile_y", "tile_x"], "left").withColumn("pixels", F.coalesce("pixels", F.lit(0)))
+    return out.withColumn("status", F.when(F.col("pixels") == 0, "empty").otherwise("done"))
+
+
 def finished(tasks: DataFrame, ok: Column) -> DataFrame:
     """MU11: success or failure with one more retry."""
     return tasks.withColumns({"status": F.when(ok, "completed").otherwise("failed"), "retry_count": F.col("retry_count") + F.when(ok, 0).otherwise(1)})

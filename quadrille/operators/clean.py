@@ -4,6 +4,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.basic import clip, round6
+from quadrille.operators.quantiles import quantiles
 
 #: CL02: fixed values of the reference: least, greatest, and standard deviations of the cap.
 CONSTRAINTS = {"plants": (0.0, 20000.0, 4.0), "vertebrates": (0.0, 2000.0, 4.0), "all": (0.0, 25000.0, 5.0)}
@@ -27,11 +28,10 @@ def cleaning_counts(cleaned: DataFrame) -> DataFrame:
 
 def normalisation(df: DataFrame, columns: list[str], method: str = "standard") -> dict[str, tuple[float, float]]:
     """CL03: (offset, scale) by column, on data that isn't missing, in one aggregation."""
-    how = {
-        "standard": lambda c: (F.avg(c), F.stddev_pop(c)),
-        "minmax": lambda c: (F.min(c), F.max(c) - F.min(c)),
-        "robust": lambda c: (F.median(c), F.percentile(c, F.lit(0.75)) - F.percentile(c, F.lit(0.25))),
-    }[method]
+    if method == "robust":
+        found = {c: quantiles(df, c, [0.25, 0.5, 0.75]) or [0.0, 0.0, 0.0] for c in columns}
+        return {c: (q[1], (q[2] - q[0]) or 1.0) for c, q in found.items()}
+    how = {"standard": lambda c: (F.avg(c), F.stddev_pop(c)), "minmax": lambda c: (F.min(c), F.max(c) - F.min(c))}[method]
     row = df.agg(*(x.alias(f"{c}|{k}") for c in columns for k, x in enumerate(how(F.col(c))))).first()
     return {c: (float(row[f"{c}|0"] or 0.0), float(row[f"{c}|1"] or 0.0) or 1.0) for c in columns}
 
@@ -63,8 +63,11 @@ def handled_missing(df: DataFrame, columns: list[str], strategy: str, share: flo
     if strategy == "drop_features":
         row = df.agg(*(F.avg(F.col(c).isNull().cast("int")).alias(c) for c in columns)).first()
         return df.drop(*(c for c in columns if (row[c] or 0) > share))
-    if strategy in ("mean", "median"):
-        row = df.agg(*((F.avg if strategy == "mean" else F.median)(c).alias(c) for c in columns)).first()
+    if strategy == "median":
+        found = {c: quantiles(df, c, [0.5]) for c in columns}
+        return df.fillna({c: q[0] for c, q in found.items() if q})
+    if strategy == "mean":
+        row = df.agg(*(F.avg(c).alias(c) for c in columns)).first()
         return df.fillna({c: row[c] for c in columns if row[c] is not None})
     return df
 
@@ -109,10 +112,10 @@ def bounds_issues(minx: Column, miny: Column, maxx: Column, maxy: Column, tolera
 
 
 def anomalies(df: DataFrame, value: str = "value") -> DataFrame:
-    """VA04, VA05: uniform, discrete, and values outside 1.5 IQR of the quartiles."""
+    """VA05: uniform, discrete, and values outside 1.5 IQR of the quartiles."""
     v = F.col(value)
-    q = df.agg(F.percentile(v, F.array(F.lit(0.25), F.lit(0.75))).alias("q"), F.min(v).alias("a"), F.max(v).alias("b")).first()
-    low, high = (q.q[0] - 1.5 * (q.q[1] - q.q[0]), q.q[1] + 1.5 * (q.q[1] - q.q[0])) if q.q else (0.0, 0.0)
+    q = quantiles(df, value, [0.25, 0.75]) or [0.0, 0.0]
+    low, high = q[0] - 1.5 * (q[1] - q[0]), q[1] + 1.5 * (q[1] - q[0])
     return df.agg(F.count(v).alias("count"), F.count_if((v < low) | (v > high)).alias("tukey_outliers"), (F.countDistinct(v) <= 1).alias("uniform"), F.coalesce(F.max(F.abs(v - F.rint(v))) == 0, F.lit(False)).alias("discrete"), F.coalesce(F.stddev_pop(v) > 2 * F.avg(v), F.lit(False)).alias("spread"))
 
 
@@ -124,7 +127,7 @@ def missing_profile(df: DataFrame, columns: list[str], id_column: str = "id") ->
 
 
 def quality_checks(df: DataFrame, columns: list[str], largest_missing: float = 0.1) -> DataFrame:
-    """VA09, VA10: (check, value, passed)."""
+    """VA09: (check, value, passed)."""
     sums = df.agg(F.count(F.lit(1)).alias("rows"), F.sum(sum((F.col(c).isNull().cast("int") for c in columns), F.lit(0))).alias("missing"))
     share = F.coalesce(F.try_divide(F.col("missing") * 1.0, F.col("rows") * len(columns)), F.lit(0.0))
     rows = F.array(F.struct(F.lit("rows").alias("check"), F.col("rows").cast("double").alias("value"), (F.col("rows") > 0).alias("passed")), F.struct(F.lit("missing").alias("check"), round6(share).alias("value"), (share <= largest_missing).alias("passed")))
@@ -150,7 +153,7 @@ def migration_complete(pixels: DataFrame) -> DataFrame:
 
 
 def coverage_check(boxes: DataFrame, minx: float, miny: float, maxx: float, maxy: float) -> DataFrame:
-    """VA06, VA07: each box's share of a target box, and whether it is at least 0.99."""
+    """VA06: each box's share of a target box, and whether it is at least 0.99."""
     w, h = F.least("maxx", F.lit(maxx)) - F.greatest("minx", F.lit(minx)), F.least("maxy", F.lit(maxy)) - F.greatest("miny", F.lit(miny))
     share = F.greatest(w, F.lit(0.0)) * F.greatest(h, F.lit(0.0)) / ((maxx - minx) * (maxy - miny))
     return boxes.withColumn("share", round6(share)).withColumn("covers", share >= 0.99)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from quadrille.functions.basic import clip
 from quadrille.functions.distance import shannon, simpson
+from quadrille.operators.quantiles import quantiles
 
 TROPIC = 23.43645
 
@@ -43,7 +44,7 @@ def spatial_features(df: DataFrame, lat: str = "latitude", lon: str = "longitude
 def bin_edges(df: DataFrame, column: str, bins: int, method: str = "quantile") -> list[float]:
     """FE03: quantile edges without duplicates, or uniform ones."""
     if method == "quantile":
-        found = df.agg(F.percentile(column, F.array(*(F.lit(k / bins) for k in range(bins + 1)))).alias("q")).first().q or []
+        found = quantiles(df, column, [k / bins for k in range(bins + 1)]) or []
         return sorted(set(found))
     row = df.agg(F.min(column).alias("a"), F.max(column).alias("b")).first()
     return [row.a + (row.b - row.a) * k / bins for k in range(bins + 1)] if row.a is not None else []
@@ -57,20 +58,76 @@ def binned(column: str, edges: list[float]) -> Column:
     return out
 
 
-def ecological_features(df: DataFrame) -> DataFrame:
-    """FE04: products and variation of the columns whose names match."""
-    found = lambda *words: [c for c in df.columns if any(w in c.lower() for w in words)]
-    temperature, rain, plants = found("temp", "bio01"), found("precip", "bio12"), found("ndvi", "vegetation")
-    out: dict[str, Column] = {}
-    if temperature and rain:
-        out["temp_precip_interaction"] = F.col(temperature[0]) * F.col(rain[0])
+#: FE04: parts of column names by kind; fixed values of the reference.
+ECOLOGICAL = {
+    "climate": ("temp", "temperature", "bio_1", "mean_temp", "precip", "precipitation", "bio_12", "annual_precip", "bio_4", "bio_15", "temp_seasonality", "precip_seasonality"),
+    "vegetation": ("ndvi", "evi", "lai", "vegetation", "greenness"),
+    "terrain": ("elevation", "slope", "aspect", "terrain", "altitude"),
+}
+
+
+def ecological_columns(columns: list[str]) -> dict[str, list[str]]:
+    """FE04: the columns of each kind, by what their names have in them."""
+    return {kind: [c for c in columns if any(w in c.lower() for w in words)] for kind, words in ECOLOGICAL.items()}
+
+
+def ecological_features(df: DataFrame, lat: str = "latitude") -> DataFrame:
+    """FE04: temperature x precipitation of each pair of columns, variation of vegetation indices (sample deviation over mean), ruggedness of slope and aspect; placeholders where no column matches."""
+    found = ecological_columns(df.columns)
+    has = lambda word: [c for c in found["climate"] if word in c.lower()]
+    out: dict[str, Column] = {f"{a}_x_{b}_interaction": F.col(a) * F.col(b) for a in has("temp") for b in has("precip") if len(found["climate"]) > 1}
+    plants = found["vegetation"]
     if len(plants) > 1:
-        mean = sum((F.col(c) for c in plants), F.lit(0.0)) / len(plants)
-        var = sum(((F.col(c) - mean) ** 2 for c in plants), F.lit(0.0)) / (len(plants) - 1)
-        out["vegetation_cv"] = F.sqrt(var) / (mean + 1e-8)
+        # Missing indices take no part, as in a mean over those that are there.
+        n = sum((F.col(c).isNotNull().cast("int") for c in plants), F.lit(0))
+        mean = F.try_divide(sum((F.coalesce(F.col(c), F.lit(0.0)) for c in plants), F.lit(0.0)), n)
+        squares = sum((F.coalesce((F.col(c) - mean) ** 2, F.lit(0.0)) for c in plants), F.lit(0.0))
+        out["vegetation_seasonality"] = F.sqrt(F.try_divide(squares, n - 1)) / (mean + 1e-8)
+    if {"slope", "aspect"} <= set(df.columns):
+        out["terrain_complexity"] = F.sqrt(F.col("slope") ** 2 + (F.col("aspect") / 180) ** 2)
+    if not any(found.values()):
+        slant = {"ecological_placeholder_1": F.sin, "ecological_placeholder_2": F.cos}
+        out = {n: 0.1 * f(F.radians(lat)) if lat in df.columns else F.lit(0.0) for n, f in slant.items()}
+        out |= {"ecological_placeholder_3": F.lit(0.0), "ndvi_placeholder": F.lit(0.0)}
     return df.withColumns(out) if out else df
 
 
+class FeatureBuilder:
+    """EX07: features that are fitted in one aggregation and added as expressions.
+
+    ``statistics`` are aggregates by name, ``features`` makes columns from what they came to. ``bands`` (EX07's hook for
+    rasters of several bands) applies the same features to each of some columns, with the column's name in front.
+    """
+
+    def __init__(self, name: str, statistics: dict[str, Column], features, needs: tuple[str, ...] = ()):
+        self.name, self.statistics, self.features, self.needs, self.fitted = name, statistics, features, needs, None
+
+    def fit(self, df: DataFrame) -> "FeatureBuilder":
+        missing = [c for c in self.needs if c not in df.columns]
+        if missing:
+            raise ValueError(f"{self.name} needs {', '.join(missing)}")
+        self.fitted = df.agg(*(c.alias(n) for n, c in self.statistics.items())).first().asDict() if self.statistics else {}
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        if self.fitted is None:
+            raise ValueError(f"{self.name} isn't fitted")
+        return df.withColumns(self.features(self.fitted))
+
+    def fit_transform(self, df: DataFrame) -> DataFrame:
+        return self.fit(df).transform(df)
+
+    @property
+    def names(self) -> list[str]:
+        return list(self.features(self.fitted)) if self.fitted is not None else []
+
+
+def banded(columns: list[str], statistics, features) -> FeatureBuilder:
+    """EX07: a builder for several bands: ``statistics(column)`` and ``features(column, values)`` of each, under ``<column>_<name>``."""
+    made = {f"{c}_{n}": x for c in columns for n, x in statistics(c).items()}
+    return FeatureBuilder("bands", made, lambda found: {f"{c}_{n}": x for c in columns for n, x in features(c, {k: found[f"{c}_{k}"] for k in statistics(c)}).items()}, tuple(columns))
+
+
 def climate_proxies(lat: str = "latitude") -> dict[str, Column]:
     """FE07: fixed ladder of the reference by absolute latitude."""
     a = F.abs(F.col(lat))

@@ -6,6 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quadrille.operators.quantiles import quantiles
+
 
 def ridge(df: DataFrame, features: list[str], target: str, alpha: float = 1.0) -> tuple[np.ndarray, float]:
     """MR01: coefficients and intercept of ridge regression, from one aggregation (intercept not penalised)."""
@@ -117,11 +119,35 @@ def permutation_importance(df: DataFrame, features: list[str], target: str, mode
 
 def partial_dependence(df: DataFrame, feature: str, features: list[str], model: tuple[np.ndarray, float], points: int = 10) -> DataFrame:
     """MR07: mean prediction with the feature held at points between its 5th and 95th percentiles."""
-    low, high = df.agg(F.percentile(feature, F.array(F.lit(0.05), F.lit(0.95))).alias("q")).first().q
+    low, high = quantiles(df, feature, [0.05, 0.95])
     at = F.array(*(F.lit(low + (high - low) * k / (points - 1)) for k in range(points)))
     return df.withColumn(feature, F.explode(at)).groupBy(feature).agg(F.avg(predicted(features, model)).alias("prediction"))
 
 
+def residual_diagnostics(df: DataFrame, y: str, prediction: str) -> DataFrame:
+    """MR05: residuals' mean and deviation, and a Breusch-Pagan statistic: r2 of squared residuals on predictions times n, with its p-value; Shapiro's test is left out."""
+    r = F.col(y) - F.col(prediction)
+    rows = df.select(r.alias("r"), (r * r).alias("rr"), F.col(prediction).alias("q"))
+    out = rows.agg(F.avg("r").alias("residual_mean"), F.stddev_pop("r").alias("residual_std"), (F.corr("rr", "q") ** 2 * F.count("r")).alias("bp_statistic"))
+    return out
+
+
+def nested_workflow(df: DataFrame, sets: list[list[str]], target: str, alpha: float = 0.0, level: float = 0.05) -> list[dict]:
+    """MR08: ridge models of growing feature sets: fit, criteria, the likelihood-ratio test against the set before, and whether its hypothesis (the new features help) is supported."""
+    out: list[dict] = []
+    before = None
+    for names in sets:
+        w, b = ridge(df, names, target, alpha)
+        line = sum((F.col(c) * float(x) for c, x in zip(names, w, strict=True)), F.lit(float(b)))
+        s = df.agg(F.sum((F.col(target) - line) ** 2).alias("rss"), F.count(target).alias("n"), (F.var_pop(target) * F.count(target)).alias("tss")).first()
+        now = (log_likelihood(s.rss, s.n), len(names) + 2)
+        aic, bic = information_criteria(*now, s.n)
+        statistic, p = likelihood_ratio(before, now) if before else (None, None)
+        out.append({"model": "+".join(names), "r2": 1 - s.rss / s.tss, "aic": aic, "bic": bic, "statistic": statistic, "p": p, "supported": None if p is None else p < level})
+        before = now
+    return out
+
+
 def best_models(results: DataFrame) -> DataFrame:
     """AG40: the best model by each metric, ties to the first name; and whether r2 varies by more than 0.1."""
     means = results.groupBy("model").agg(F.avg("r2").alias("r2"), F.avg("rmse").alias("rmse"), F.stddev_pop("r2").alias("r2_std"))

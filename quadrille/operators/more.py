@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quadrille.functions.basic import round6
-from quadrille.functions.distance import partial_bray_curtis, shared_features
 
 
 def alignment_issues(rasters: DataFrame) -> DataFrame:
@@ -20,11 +19,19 @@ def alignment_issues(rasters: DataFrame) -> DataFrame:
 
 
 def target_shape(boxes: DataFrame, pixel: float) -> DataFrame:
-    """FN16, RE05: columns and rows of the boxes' intersection, truncated."""
+    """FN16: columns and rows of the boxes' intersection, truncated."""
     w, h = F.min("maxx") - F.max("minx"), F.min("maxy") - F.max("miny")
     return boxes.agg((w / pixel).cast("int").alias("width"), (h / pixel).cast("int").alias("height"))
 
 
+def output_shape(rasters: DataFrame, target: float) -> DataFrame:
+    """RE05: ``rasters`` (minx, miny, maxx, maxy, resolution) and the height and width of the result, rounded up, whether it is finer, and the scale."""
+    if target <= 0:
+        raise ValueError("the target resolution must be positive")
+    size = lambda a, b: F.ceil((F.col(b) - F.col(a)) / target).cast("int")
+    return rasters.withColumns({"height": size("miny", "maxy"), "width": size("minx", "maxx"), "is_upsampling": F.lit(target) < F.col("resolution"), "scale_factor": F.col("resolution") / target})
+
+
 def clipped_cells(cells: DataFrame, bounds: tuple[float, float, float, float]) -> DataFrame:
     """FN12: cells cut to the bounds; the id of a cell that was cut ends in _clipped."""
     x0, y0 = F.greatest("minx", F.lit(bounds[0])), F.greatest("miny", F.lit(bounds[1]))
@@ -59,43 +66,9 @@ def neighbourhood_means(points: DataFrame, degrees: float, least: int = 3) -> Da
     return bins.groupBy("bx", "by").agg(F.count(F.lit(1)).alias("n"), F.avg("value").alias("mean")).where(F.col("n") >= least)
 
 
-def pairwise(samples: DataFrame, limit: float, least: int = 2) -> DataFrame:
-    """KM13, KM14: pairs (i < j) with enough shared features and a distance of at most ``limit``.
-
-    Pairs are met in blocks of rows, so no task holds more than two blocks. Every pair of the table is compared: use it
-    for bounded samples.
-    """
-    n = 16
-    block = F.pmod(F.xxhash64("id"), F.lit(n))
-    a = samples.select(F.col("id").alias("i"), F.col("x"), block.alias("bi")).withColumn("bj", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    b = samples.select(F.col("id").alias("j"), F.col("x").alias("y"), block.alias("bj")).withColumn("bi", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    pairs = a.join(b, ["bi", "bj"]).where((F.col("i") < F.col("j")) & (shared_features("x", "y") >= least))
-    return pairs.select("i", "j", partial_bray_curtis("x", "y", least).alias("distance")).where(F.col("distance") <= limit)
-
-
-def silhouette(samples: DataFrame, least: int = 2) -> DataFrame:
-    """KM12: mean silhouette of labelled samples (id, x, label), with partial Bray-Curtis; undefined distances are 1."""
-    a = samples.select(F.col("id").alias("i"), "x", F.col("label").alias("li"))
-    b = samples.select(F.col("id").alias("j"), F.col("x").alias("y"), F.col("label").alias("lj"))
-    d = F.coalesce(partial_bray_curtis("x", "y", least), F.lit(1.0))
-    means = a.join(b, F.col("i") != F.col("j")).groupBy("i", "li", "lj").agg(F.avg(d).alias("d"))
-    rows = means.groupBy("i", "li").agg(F.min(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("a"), F.min(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
-    s = F.when(F.col("a").isNull() | F.col("b").isNull(), 0.0).otherwise(F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)))
-    return rows.agg(F.avg(s).alias("silhouette"))
-
-
-def beta_preservation(samples: DataFrame) -> DataFrame:
-    """MT02: (between - within) / (between + within) of mean distances, at least 0."""
-    a = samples.select(F.col("id").alias("i"), "x", F.col("label").alias("li"))
-    b = samples.select(F.col("id").alias("j"), F.col("x").alias("y"), F.col("label").alias("lj"))
-    pairs = a.join(b, F.col("i") < F.col("j")).withColumn("d", partial_bray_curtis("x", "y"))
-    out = pairs.agg(F.avg(F.when(F.col("li") == F.col("lj"), F.col("d"))).alias("w"), F.avg(F.when(F.col("li") != F.col("lj"), F.col("d"))).alias("b"))
-    return out.select(F.greatest(F.coalesce(F.try_divide(F.col("b") - F.col("w"), F.col("b") + F.col("w")), F.lit(0.0)), F.lit(0.0)).alias("preservation"))
-
-
-def gradient(cells: DataFrame) -> DataFrame:
-    """MT03: central differences along each row of a grid (row_idx, col_idx, value), one-sided at its ends."""
-    w = Window.partitionBy("row_idx").orderBy("col_idx")
+def gradient(cells: DataFrame, along: str = "row_idx", at: str = "col_idx") -> DataFrame:
+    """WN10, MT03: central differences along each row of a grid (row_idx, col_idx, value), one-sided at its ends."""
+    w = Window.partitionBy(along).orderBy(at)
     before, after = F.lag("value").over(w), F.lead("value").over(w)
     v = F.col("value")
     slope = F.when(before.isNotNull() & after.isNotNull(), (after - before) / 2).when(after.isNotNull(), after - v).when(before.isNotNull(), v - before).otherwise(0.0)
@@ -114,9 +87,9 @@ def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
     return out.agg((1 - F.abs(F.corr(f"rank_{a}", f"rank_{b}"))).alias("preserved"))
 
 
-def passthrough(source: Column, target: Column, tolerance: float = 1e-6) -> Column:
-    """PRJ20."""
-    return F.abs(source - target) <= tolerance
+def passthrough(source: Column, target: Column, tolerance: float = 1e-6, strict: bool = False) -> Column:
+    """PRJ10, PRJ20: whether a dataset has the target's resolution; the resampler takes the tolerance itself, the loader (``strict``) doesn't."""
+    return F.abs(source - target) < tolerance if strict else F.abs(source - target) <= tolerance
 
 
 def outer_variables(frames: dict[str, DataFrame]) -> DataFrame:
@@ -138,6 +111,27 @@ def species_cells(ranges: DataFrame, cells: DataFrame, size: float) -> DataFrame
     return pairs.where(area > 0).select("species", "cell", round6(area * 111.32**2).alias("area_km2"), round6(area / cell * 100).alias("coverage_percent"))
 
 
+def as_of(events: DataFrame, marks: DataFrame, width: int = 1024) -> DataFrame:
+    """JN21: events (at, ...) with ``mark``, that of the last of ``marks`` (at, mark) not after them; NULL if there is none.
+
+    Rows are dealt into buckets of ``width`` units, buckets into groups of ``width``, and only the groups are in one
+    order: what a bucket lacks is carried over from the last bucket, or group, that has a mark.
+    """
+    rest = [c for c in events.columns if c != "at"]
+    none = F.lit(None)
+    rows = events.select("at", *rest, none.cast(marks.schema["mark"].dataType).alias("mark"), F.lit(True).alias("__asks"))
+    rows = rows.unionByName(marks.select("at", *(none.cast(events.schema[c].dataType).alias(c) for c in rest), "mark", F.lit(False).alias("__asks")))
+    rows = rows.withColumns({"__b": F.floor(F.col("at") / width), "__g": F.floor(F.col("at") / (width * width))})
+    before = lambda by, w: F.last("top", True).over(w.orderBy(by).rowsBetween(Window.unboundedPreceding, -1))
+    buckets = rows.groupBy("__g", "__b").agg(F.max_by(F.when(~F.col("__asks"), F.col("mark")), F.when(~F.col("__asks"), F.col("at"))).alias("top"))
+    groups = buckets.groupBy("__g").agg(F.max_by("top", F.when(F.col("top").isNotNull(), F.col("__b"))).alias("top"))
+    groups = groups.select("__g", before("__g", Window.partitionBy()).alias("__far"))
+    buckets = buckets.select("__g", "__b", before("__b", Window.partitionBy("__g")).alias("__near"))
+    here = F.last("mark", True).over(Window.partitionBy("__b").orderBy("at", "__asks").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    out = rows.withColumn("__here", here).where("__asks").join(buckets, ["__g", "__b"]).join(groups, "__g")
+    return out.select("at", *rest, F.coalesce("__here", "__near", "__far").alias("mark"))
+
+
 def touched(cache: DataFrame, log: DataFrame) -> DataFrame:
     """MU03: access counts with those of an append-only access log; reading writes nothing."""
     return cache.join(log.groupBy("key").agg(F.count(F.lit(1)).alias("reads"), F.max("ts").alias("last")), "key", "left").withColumn("access_count", F.col("access_count") + F.coalesce("reads", F.lit(0)))

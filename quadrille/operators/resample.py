@@ -8,7 +8,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quadrille.functions.basic import col
+from quadrille.operators.quantiles import quantiles
 
 
 def data_value(nodata: float | None, value: str = "value") -> Column:
@@ -164,10 +164,24 @@ def resample(pixels: DataFrame, method: str, ratio: float, source: tuple[int, in
     return block_aggregate(pixels, max(1, int(ratio)), *source, method, nodata)
 
 
+def resample_chunks(pixels: DataFrame, method: str, ratio: int, source: tuple[int, int], rows: int) -> DataFrame:
+    """RE03: ``resample`` of bands of ``rows`` source rows, a multiple of ``ratio``, each by itself and put back in its place: the same cells as of the whole."""
+    if rows % ratio:
+        raise ValueError("a band must be whole target rows")
+    out = None
+    for first in range(0, source[0], rows):
+        height = min(rows, source[0] - first)
+        band = pixels.where((F.col("row_idx") >= first) & (F.col("row_idx") < first + height)).withColumn("row_idx", (F.col("row_idx") - first).cast("int"))
+        one = resample(band, method, ratio, (height, source[1])).withColumn("target_row", (F.col("target_row") + first // ratio).cast("int"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def percentile_profile(df: DataFrame, value: str = "value") -> DataFrame:
     """AG36: exact linear percentiles."""
     marks = (1, 5, 25, 50, 75, 95, 99)
-    return df.agg(F.percentile(col(value), F.array(*(F.lit(p / 100) for p in marks))).alias("p")).select(*(F.col("p")[k].alias(f"p{m}") for k, m in enumerate(marks)))
+    found = quantiles(df, value, [p / 100 for p in marks]) or [None] * len(marks)
+    return df.sparkSession.createDataFrame([tuple(found)], ", ".join(f"p{m} double" for m in marks))
 
 
 def overlap_upscale(source: DataFrame, target: DataFrame, size: float, method: str = "mean") -> DataFrame:

@@ -53,9 +53,15 @@ def local_moran(points: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def nearest(pairs: DataFrame, k: int) -> DataFrame:
-    """SA02: of each i the k nearest j as weights of 1; ties to the least j."""
-    best = F.slice(F.array_sort(F.collect_list(F.struct("km", "j"))), 1, k)
-    return pairs.groupBy("i").agg(best.alias("b")).select("i", F.explode("b").alias("b")).select("i", F.col("b.j").alias("j"), F.lit(1.0).alias("w"))
+    """SA02: of each i the k nearest j as weights of 1; ties to the least j.
+
+    A point's neighbours are first cut to k in each of a few parts, so that no list grows with a dense place.
+    """
+    from pyspark.sql import Window
+
+    first = lambda df, *by: df.withColumn("__n", F.row_number().over(Window.partitionBy(*by).orderBy("km", "j"))).where(F.col("__n") <= k).drop("__n")
+    parted = first(pairs.withColumn("__part", F.pmod(F.xxhash64("j"), F.lit(16))), "i", "__part").drop("__part")
+    return first(parted, "i").select("i", "j", F.lit(1.0).alias("w"))
 
 
 def inverse_distance(pairs: DataFrame) -> DataFrame:
@@ -88,10 +94,17 @@ def buffer_excluded(train: DataFrame, test: DataFrame, km: float) -> DataFrame:
 def nearest_reference(samples: DataFrame, references: DataFrame, distance) -> DataFrame:
     """JN17: the reference (ref, y) with the least distance to each sample (id, x); ties to the least ref, -1 where no distance is defined.
 
-    ``references`` is a model's few rows (centres, neurons): at most some thousands, so it is broadcast.
+    ``references`` is dealt into blocks of a few thousand; each is broadcast in its turn, so that a sample meets all of
+    them and no more are held at once.
     """
-    pairs = samples.crossJoin(F.broadcast(references.limit(100_000))).withColumn("d", distance("x", "y"))
-    best = F.min(F.when(F.col("d").isNotNull(), F.struct("d", "ref")))
+    block, rows = 4096, references.count()
+    best, found = F.min(F.when(F.col("d").isNotNull(), F.struct("d", "ref"))), None
+    blocks = max(1, -(-rows // block))
+    for b in range(blocks):
+        some = references.where(F.pmod(F.xxhash64("ref"), F.lit(blocks)) == b) if blocks > 1 else references
+        one = samples.crossJoin(F.broadcast(some)).withColumn("d", distance("x", "y")).groupBy("id").agg(best.alias("b"))
+        found = one if found is None else found.unionByName(one)
+    pairs = found.select("id", F.col("b.d").alias("d"), F.col("b.ref").alias("ref"))
     return pairs.groupBy("id").agg(best.alias("b")).select("id", F.coalesce(F.col("b.ref"), F.lit(-1)).alias("ref"), F.col("b.d").alias("distance"))
 
 

@@ -39,12 +39,54 @@ class Registry:
         return [c.name for c in self.kinds.get(kind, {}).values() if (format is None or format in c.formats) and (capability is None or capability in c.capabilities) and (resolution is None or c.resolutions[0] <= resolution <= c.resolutions[1])]
 
 
+    def decorator(self, kind: str) -> Callable:
+        """EX02: ``@registry.decorator("model")("name", formats=...)``: a registering decorator of one kind; a name that is taken is an error."""
+
+        def named(name: str, **what):
+            if name in self.kinds.get(kind, {}):
+                raise ValueError(f"{kind} {name} is registered already")
+            return self.register(kind, name, **what)
+
+        return named
+
+    def listed(self) -> list[tuple[str, str, str, float, float]]:
+        """EX02: (kind, name, formats and capabilities, least and greatest resolution)."""
+        return sorted((kind, c.name, ",".join(sorted(c.formats | c.capabilities)), *c.resolutions) for kind, by in self.kinds.items() for c in by.values())
+
+
+#: EX02: the kinds that have decorators of their own.
+KINDS = ("raster_source", "resampler", "tile_processor", "model", "features", "cv", "imputer")
+
+
 def output_exists(spark: SparkSession, path: str) -> bool:
     """EX13: whether a stage's output is complete."""
     p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+#: EX03: analyzers by method name; the module is imported when one is made.
+ANALYZERS = {"kmeans": ("quadrille.operators.cluster", "kmeans"), "som": ("quadrille.operators.cluster", "train_som"), "geo_som": ("quadrille.operators.cluster", "train_geo_som"), "legacy_som": ("quadrille.operators.cluster", "train_legacy_som")}
+
+
+def analyzer(method: str) -> Callable:
+    """EX03."""
+    from importlib import import_module
+
+    if method not in ANALYZERS:
+        raise ValueError(f"no analyzer {method!r}; there are {', '.join(sorted(ANALYZERS))}")
+    module, name = ANALYZERS[method]
+    return getattr(import_module(module), name)
+
+
+def fresh(spark: SparkSession, path: str, now: float, days: float | None = None) -> bool:
+    """EX13: whether a stage may be skipped: its output is complete and, with ``days``, no older than that at ``now`` (seconds)."""
+    if not output_exists(spark, path):
+        return False
+    p = spark._jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + "/_SUCCESS")
+    written = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p).getModificationTime() / 1000
+    return days is None or now - written <= days * 86400
+
+
 def default_registry() -> Registry:
     from quadrille.operators import cluster, features, models, resample, splits
 

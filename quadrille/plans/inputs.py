@@ -18,8 +18,6 @@ METRIC = "SELECT event_id, CAST(user_id % 20 AS BIGINT) AS experiment_id, concat
 NODE = "SELECT concat('r', CAST(r_regionkey AS STRING)) AS node_id, CAST(NULL AS STRING) AS parent_id, r_name AS name, 0.0 AS progress FROM {region} UNION ALL SELECT concat('n', CAST(n_nationkey AS STRING)), concat('r', CAST(n_regionkey AS STRING)), n_name, 0.0 FROM {nation} UNION ALL SELECT concat('c', CAST(c_custkey AS STRING)), concat('n', CAST(c_nationkey AS STRING)), c_name, CAST(c_custkey % 101 AS DOUBLE) FROM {customer}"
 POINT = "SELECT c_custkey AS id, CAST(c_custkey % 360 - 180 AS DOUBLE) AS lon, CAST((c_custkey * 7) % 180 - 90 AS DOUBLE) AS lat, c_acctbal AS value FROM {customer}"
 SUPPLIERPOINT = "SELECT s_suppkey AS id, CAST((s_suppkey * 37) % 360 - 180 AS DOUBLE) AS lon, CAST((s_suppkey * 7) % 180 - 90 AS DOUBLE) AS lat, s_acctbal AS value FROM {supplier}"
-#: What the SQL of the same queries reads: all suppliers only up to 300.
-FEWPOINT = "SELECT s_suppkey AS id, CAST((s_suppkey * 37) % 360 - 180 AS DOUBLE) AS lon, CAST((s_suppkey * 7) % 180 - 90 AS DOUBLE) AS lat, s_acctbal AS value FROM {supplier} WHERE s_suppkey <= 300"
 #: Four features, some missing, not negative.
 SAMPLE = "SELECT c_custkey AS id, CASE WHEN (c_custkey * 31) % 5 = 0 THEN NULL ELSE CAST(c_custkey % 17 AS DOUBLE) END AS f0, CASE WHEN (c_custkey * 31 + 1) % 5 = 0 THEN NULL ELSE CAST(c_custkey % 11 AS DOUBLE) END AS f1, CASE WHEN (c_custkey * 31 + 2) % 5 = 0 THEN NULL ELSE CAST(c_custkey % 7 AS DOUBLE) END AS f2, CASE WHEN (c_custkey * 31 + 3) % 5 = 0 THEN NULL ELSE CAST(c_nationkey AS DOUBLE) END AS f3 FROM {customer}"
 RICHNESS = "SELECT c_custkey AS id, CAST((c_custkey * 7) % 180 - 90 AS DOUBLE) AS latitude, CAST(c_custkey % 360 - 180 AS DOUBLE) AS longitude, CASE WHEN c_custkey % 10 = 3 THEN NULL ELSE CAST(c_custkey % 53 AS DOUBLE) END AS plants_richness, CAST(c_custkey % 31 AS DOUBLE) AS terrestrial_richness, CAST(c_nationkey AS DOUBLE) AS marine_richness FROM {customer}"

@@ -22,7 +22,7 @@ def _r(df, *columns):
     return df.withColumns({c: round6(c) for c in columns})
 
 
-@query("jn18_near_pairs", f"SELECT i, j, round_even(km, 6) AS km FROM ({NEAR})", p=i.FEWPOINT)
+@query("jn18_near_pairs", f"SELECT i, j, round_even(km, 6) AS km FROM ({NEAR})", p=i.SUPPLIERPOINT)
 def _(t):
     return _r(sa.near_pairs(t.view(i.SUPPLIERPOINT), 1000.0), "km")
 
@@ -30,25 +30,24 @@ def _(t):
 _MORAN = f"SELECT round_even((SELECT count(*) FROM p) / sum(w) * sum(w * zi * zj) / ((SELECT var_pop(value) FROM p) * (SELECT count(*) FROM p)), 6) AS moran_i, round_even(-1.0 / ((SELECT count(*) FROM p) - 1), 6) AS expected, (SELECT count(*) FROM p) AS n FROM (SELECT 1 / km / sum(1 / km) OVER (PARTITION BY i) AS w, a.z AS zi, b.z AS zj FROM ({NEAR}) JOIN ({Z}) a ON a.id = i JOIN ({Z}) b ON b.id = j WHERE km > 0)"
 
 
-@query("sa01_global_moran", _MORAN, p=i.FEWPOINT)
-@query("sa02_haversine_moran", _MORAN, p=i.FEWPOINT)
+@query("sa02_haversine_moran", _MORAN, p=i.SUPPLIERPOINT)
 def _(t):
     p = t.view(i.SUPPLIERPOINT)
     return _r(sa.moran(p, sa.inverse_distance(sa.near_pairs(p, 1000.0))), "moran_i", "expected")
 
 
-@query("sa02_knn_weights", f"SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY km, j) AS n FROM ({NEAR})) WHERE n <= 8", p=i.FEWPOINT)
+@query("sa02_knn_weights", f"SELECT i, j FROM (SELECT i, j, row_number() OVER (PARTITION BY i ORDER BY km, j) AS n FROM ({NEAR})) WHERE n <= 8", p=i.SUPPLIERPOINT)
 def _(t):
     return sa.nearest(sa.near_pairs(t.view(i.SUPPLIERPOINT), 1000.0), 8).select("i", "j")
 
 
-@query("sa04_local_moran", f"SELECT z.id, round_even(coalesce(z / (SELECT var_pop(value) FROM p) * lag, 0), 6) AS local_i FROM ({Z}) z LEFT JOIN (SELECT i AS id, sum(zb.z / km) / sum(1 / km) AS lag FROM ({NEAR}) JOIN ({Z}) zb ON zb.id = j WHERE km > 0 GROUP BY 1) USING (id)", p=i.FEWPOINT)
+@query("sa04_local_moran", f"SELECT z.id, round_even(coalesce(z / (SELECT var_pop(value) FROM p) * lag, 0), 6) AS local_i FROM ({Z}) z LEFT JOIN (SELECT i AS id, sum(zb.z / km) / sum(1 / km) AS lag FROM ({NEAR}) JOIN ({Z}) zb ON zb.id = j WHERE km > 0 GROUP BY 1) USING (id)", p=i.SUPPLIERPOINT)
 def _(t):
     p = t.view(i.SUPPLIERPOINT)
     return _r(sa.local_moran(p, sa.inverse_distance(sa.near_pairs(p, 1000.0))), "local_i")
 
 
-@query("sa05_correlogram", f"SELECT CAST(floor(km / 200) AS INT) AS bin, count(*) AS pairs, round_even(avg(a.z * b.z), 2) AS covariance FROM (SELECT * FROM ({NEAR}) WHERE km < 1000 UNION ALL SELECT id, id, 0.0 FROM p) JOIN ({Z}) a ON a.id = i JOIN ({Z}) b ON b.id = j GROUP BY 1", p=i.FEWPOINT)
+@query("sa05_correlogram", f"SELECT CAST(floor(km / 200) AS INT) AS bin, count(*) AS pairs, round_even(avg(a.z * b.z), 2) AS covariance FROM (SELECT * FROM ({NEAR}) WHERE km < 1000 UNION ALL SELECT id, id, 0.0 FROM p) JOIN ({Z}) a ON a.id = i JOIN ({Z}) b ON b.id = j GROUP BY 1", p=i.SUPPLIERPOINT)
 def _(t):
     return sa.correlogram(t.view(i.SUPPLIERPOINT), 1000.0, 5).withColumn("covariance", F.rint(F.col("covariance") * 100) / 100)
 
@@ -58,8 +57,8 @@ def _(t):
     return _r(sa.cluster_quality(t.view(i.POINT).withColumn("label", (F.col("id") % 6).cast("int"))), "spread")
 
 
-@query("sp04_buffer_exclusion", f"SELECT id FROM p WHERE id % 5 <> 0 AND id NOT IN (SELECT a.id FROM p a JOIN p b ON a.id % 5 <> 0 AND b.id % 5 = 0 WHERE {HAV} <= 500)", p=i.FEWPOINT)
-@query("sa06_independence", f"SELECT id FROM p WHERE id % 5 <> 0 AND id NOT IN (SELECT a.id FROM p a JOIN p b ON a.id % 5 <> 0 AND b.id % 5 = 0 WHERE {HAV} <= 500)", p=i.FEWPOINT)
+@query("sp04_buffer_exclusion", f"SELECT id FROM p WHERE id % 5 <> 0 AND id NOT IN (SELECT a.id FROM p a JOIN p b ON a.id % 5 <> 0 AND b.id % 5 = 0 WHERE {HAV} <= 500)", p=i.SUPPLIERPOINT)
+@query("sa06_independence", f"SELECT id FROM p WHERE id % 5 <> 0 AND id NOT IN (SELECT a.id FROM p a JOIN p b ON a.id % 5 <> 0 AND b.id % 5 = 0 WHERE {HAV} <= 500)", p=i.SUPPLIERPOINT)
 def _(t):
     p = t.view(i.SUPPLIERPOINT)
     return sa.buffer_excluded(p.where("id % 5 <> 0"), p.where("id % 5 = 0"), 500.0).select("id")
@@ -91,7 +90,6 @@ _ASSIGN = f"SELECT id, f0, f1, f2, f3, CASE WHEN v >= 2 THEN k ELSE -1 END AS la
 
 
 @query("km01_prefilter_strata", f"SELECT id, CASE WHEN v >= 3 THEN 'high' ELSE 'medium' END AS stratum FROM (SELECT id, {_NV} AS v FROM s) WHERE v >= 2", s=i.SAMPLE)
-@query("km02_quality_strata", f"SELECT id, CASE WHEN v >= 3 THEN 'high' ELSE 'medium' END AS stratum FROM (SELECT id, {_NV} AS v FROM s) WHERE v >= 2", s=i.SAMPLE)
 def _(t):
     return k.prefiltered(_samples(t)).select("id", "stratum")
 
@@ -178,7 +176,6 @@ def _(t):
 
 
 @query("sp02_checkerboard", "SELECT id, CAST((2 * least(greatest(floor((lat + 90) / 30), 0), 5) + least(greatest(floor((lon + 180) / 60), 0), 5)) % 5 AS INT) AS fold FROM p", p=i.POINT)
-@query("sp06_lattice_folds", "SELECT id, CAST((2 * least(greatest(floor((lat + 90) / 30), 0), 5) + least(greatest(floor((lon + 180) / 60), 0), 5)) % 5 AS INT) AS fold FROM p", p=i.POINT)
 def _(t):
     return sp.checkerboard(t.view(i.POINT), (-180.0, -90.0, 180.0, 90.0), 6, 5).select("id", "fold")
 
@@ -231,12 +228,6 @@ def _(t):
     return r.select("id", fe.binned("latitude", fe.bin_edges(r, "latitude", 4)).alias("bin"))
 
 
-@query("fe04_ecological_features", "SELECT id, latitude * longitude AS temp_precip_interaction FROM r", r=i.RICHNESS)
-def _(t):
-    r = t.view(i.RICHNESS).select("id", F.col("latitude").alias("temp"), F.col("longitude").alias("precip"))
-    return fe.ecological_features(r).select("id", "temp_precip_interaction")
-
-
 @query("fe06_formula_columns", "SELECT id, latitude AS latitude, longitude AS longitude, latitude * longitude AS interaction FROM r", r=i.RICHNESS)
 def _(t):
     _, terms = fe.parse_formula("plants_richness ~ latitude * longitude")
@@ -340,6 +331,3 @@ def _(t):
     return mr.best_models(t.view(RESULT))
 
 
-@query("so04_top_features", "SELECT p_type, sum(p_retailprice) AS score FROM part GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 5")
-def _(t):
-    return t.part.groupBy("p_type").agg(F.sum("p_retailprice").alias("score")).orderBy(F.desc("score"), "p_type").limit(5)

@@ -94,13 +94,11 @@ def _(t):
 
 
 @query("va05_anomalies", "SELECT count(value) AS count, (SELECT count(*) FROM p, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM p) WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS tukey_outliers, count(DISTINCT value) <= 1 AS uniform, max(abs(value - round_even(value, 0))) = 0 AS discrete, stddev_pop(value) > 2 * avg(value) AS spread FROM p", p=RAW)
-@query("va04_value_ranges", "SELECT count(value) AS count, (SELECT count(*) FROM p, (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM p) WHERE value < a - 1.5 * (b - a) OR value > b + 1.5 * (b - a)) AS tukey_outliers, count(DISTINCT value) <= 1 AS uniform, max(abs(value - round_even(value, 0))) = 0 AS discrete, stddev_pop(value) > 2 * avg(value) AS spread FROM p", p=RAW)
 def _(t):
     return c.anomalies(t.view(RAW))
 
 
 @query("va06_coverage", "SELECT grid_id, round_even(w * h / 400.0, 6) AS share, w * h / 400.0 >= 0.99 AS covers FROM (SELECT grid_id, greatest(least(maxx, 0) - greatest(minx, -20), 0) AS w, greatest(least(maxy, 25) - greatest(miny, 5), 0) AS h FROM g)", g=i.GRID)
-@query("va07_consistency", "SELECT grid_id, round_even(w * h / 400.0, 6) AS share, w * h / 400.0 >= 0.99 AS covers FROM (SELECT grid_id, greatest(least(maxx, 0) - greatest(minx, -20), 0) AS w, greatest(least(maxy, 25) - greatest(miny, 5), 0) AS h FROM g)", g=i.GRID)
 def _(t):
     return c.coverage_check(t.view(i.GRID), -20.0, 5.0, 0.0, 25.0).select("grid_id", "share", "covers")
 
@@ -111,7 +109,6 @@ def _(t):
 
 
 @query("va09_quality_checks", "SELECT 'rows' AS \"check\", CAST(count(*) AS DOUBLE) AS value, count(*) > 0 AS passed FROM s UNION ALL SELECT 'missing', round_even((4 * count(*) - count(f0) - count(f1) - count(f2) - count(f3)) / (4.0 * count(*)), 6), (4 * count(*) - count(f0) - count(f1) - count(f2) - count(f3)) / (4.0 * count(*)) <= 0.1 FROM s", s=i.SAMPLE)
-@query("va10_validation_framework", "SELECT 'rows' AS \"check\", CAST(count(*) AS DOUBLE) AS value, count(*) > 0 AS passed FROM s UNION ALL SELECT 'missing', round_even((4 * count(*) - count(f0) - count(f1) - count(f2) - count(f3)) / (4.0 * count(*)), 6), (4 * count(*) - count(f0) - count(f1) - count(f2) - count(f3)) / (4.0 * count(*)) <= 0.1 FROM s", s=i.SAMPLE)
 def _(t):
     return c.quality_checks(t.view(i.SAMPLE), FEATURES)
 
@@ -173,7 +170,6 @@ def _(t):
 
 
 @query("mu09_parent_progress", "SELECT node_id, round_even(CASE substr(node_id, 1, 1) WHEN 'c' THEN progress WHEN 'n' THEN coalesce((SELECT avg(progress) FROM n c WHERE c.parent_id = n.node_id), progress) ELSE (SELECT avg(coalesce((SELECT avg(progress) FROM n c WHERE c.parent_id = m.node_id), m.progress)) FROM n m WHERE m.parent_id = n.node_id) END, 6) AS progress FROM n", n=i.NODE)
-@query("mu10_progress_propagation", "SELECT node_id, round_even(CASE substr(node_id, 1, 1) WHEN 'c' THEN progress WHEN 'n' THEN coalesce((SELECT avg(progress) FROM n c WHERE c.parent_id = n.node_id), progress) ELSE (SELECT avg(coalesce((SELECT avg(progress) FROM n c WHERE c.parent_id = m.node_id), m.progress)) FROM n m WHERE m.parent_id = n.node_id) END, 6) AS progress FROM n", n=i.NODE)
 def _(t):
     return _r(ch.propagated(t.view(i.NODE)), "progress").select("node_id", "progress")
 

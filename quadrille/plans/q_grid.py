@@ -118,15 +118,15 @@ def _(t):
     return t.part.select("p_partkey", g.cache_key("p_brand", F.col("p_size") / 7.0, "p_type", "p_name").alias("k"))
 
 
-_VEC = "SELECT a.vec_id AS id, a.embedding[1:8] AS x, b.embedding[1:8] AS y FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id"
+_VEC = "SELECT a.vec_id AS id, a.embedding AS x, b.embedding AS y FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id"
 
 
 def _vectors(t):
-    e = t.embeddings.select("vec_id", F.slice(F.col("embedding").cast("array<double>"), 1, 8).alias("x"))
+    e = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
     return e.join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("x").alias("y")), "vec_id").withColumnRenamed("vec_id", "id")
 
 
-@query("fn24_array_distances", f"SELECT id, round_even(sqrt(list_sum([pow(x[k]::DOUBLE - y[k]::DOUBLE, 2) for k in range(1, 9)])), 6) AS euclidean, round_even(list_sum([abs(x[k]::DOUBLE - y[k]::DOUBLE) for k in range(1, 9)]), 6) AS manhattan FROM ({_VEC})")
+@query("fn24_array_distances", f"SELECT id, round_even(sqrt(list_sum([pow(x[k]::DOUBLE - y[k]::DOUBLE, 2) for k in range(1, len(x) + 1)])), 6) AS euclidean, round_even(list_sum([abs(x[k]::DOUBLE - y[k]::DOUBLE) for k in range(1, len(x) + 1)]), 6) AS manhattan FROM ({_VEC})")
 def _(t):
     return _vectors(t).select("id", round6(d.euclidean("x", "y")).alias("euclidean"), round6(d.manhattan("x", "y")).alias("manhattan"))
 

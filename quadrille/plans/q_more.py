@@ -1,6 +1,5 @@
 """Queries of the remaining operators."""
 
-import numpy as np
 from pyspark.sql import functions as F
 
 from quadrille.functions import distance as d
@@ -8,14 +7,12 @@ from quadrille.functions import geo as g
 from quadrille.functions.basic import round6
 from quadrille.operators import cluster as k
 from quadrille.operators import merge as m
-from quadrille.operators import models as mr
 from quadrille.operators import more
 from quadrille.operators import resample as r
 from quadrille.operators import spatial as sa
 from quadrille.operators import views as v
 from quadrille.plans import inputs as i
 from quadrille.plans import q_analysis as qa
-from quadrille.plans.q_clean import RAW  # noqa: F401
 from quadrille.plans.q_grid import BOX, TARGET, sample_pairs
 from quadrille.plans.q_merge import AT
 from quadrille.plans.registry import query
@@ -37,13 +34,6 @@ def _(t):
     return _r(more.neighbourhood_means(t.view(i.POINT), 5.0, 2), "mean")
 
 
-@query("cl02_constraints", "SELECT 'plants' AS kind, 0.0 AS least, 20000.0 AS most, 4.0 AS k UNION ALL SELECT 'vertebrates', 0.0, 2000.0, 4.0 UNION ALL SELECT 'all', 0.0, 25000.0, 5.0")
-def _(t):
-    from quadrille.operators.clean import CONSTRAINTS
-
-    return t.spark.createDataFrame([(n, *c) for n, c in CONSTRAINTS.items()], "kind string, least double, most double, k double")
-
-
 @query("fe05_composite_builder", "SELECT id, abs(latitude) AS abs_latitude, round_even(30 - 0.5 * abs(latitude), 6) AS avg_temp, coalesce(plants_richness, 0) + terrestrial_richness + marine_richness AS total_richness FROM r", r=i.RICHNESS)
 def _(t):
     from quadrille.operators import features as fe
@@ -55,11 +45,6 @@ def _(t):
     return _r(df.select("id", "abs_latitude", "avg_temp", "total_richness"), "avg_temp")
 
 
-@query("fn07_cell_degrees", "SELECT s_suppkey, round_even(10000 / ((111319.9 + 111319.9 * cos(radians(45.0))) / 2), 6) AS degrees FROM supplier")
-def _(t):
-    return t.supplier.select("s_suppkey", round6(F.lit(g.cell_degrees(10000, 45.0))).alias("degrees"))
-
-
 @query("fn12_clip_cells", "SELECT 'g' || grid_id || CASE WHEN minx < -25 OR miny < 3 OR maxx > 8 OR maxy > 30 THEN '_clipped' ELSE '' END AS cell_id, greatest(minx, -25) AS minx, greatest(miny, 3) AS miny, least(maxx, 8) AS maxx, least(maxy, 30) AS maxy FROM g WHERE greatest(minx, -25) < least(maxx, 8) AND greatest(miny, 3) < least(maxy, 30)", g=i.GRID)
 def _(t):
     cells = t.view(i.GRID).select(F.concat(F.lit("g"), F.col("grid_id").cast("string")).alias("cell_id"), "minx", "miny", "maxx", "maxy")
@@ -75,7 +60,6 @@ def _(t):
 
 
 @query("fn16_target_shape", "SELECT CAST(trunc((min(maxx) - max(minx)) / 0.3) AS INT) AS width, CAST(trunc((min(maxy) - max(miny)) / 0.3) AS INT) AS height FROM g WHERE grid_id < 3", g=i.GRID)
-@query("re05_output_shape", "SELECT CAST(trunc((min(maxx) - max(minx)) / 0.3) AS INT) AS width, CAST(trunc((min(maxy) - max(miny)) / 0.3) AS INT) AS height FROM g WHERE grid_id < 3", g=i.GRID)
 def _(t):
     return more.target_shape(t.view(i.GRID).where("grid_id < 3"), 0.3)
 
@@ -108,7 +92,6 @@ def _(t):
 
 
 @query("fn30_mercator", "SELECT id, round_even(radians(lon) * 6378137, 3) AS x, round_even(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 3) AS y FROM p WHERE abs(lat) < 85", p=i.POINT)
-@query("va02_transform", "SELECT id, round_even(radians(lon) * 6378137, 3) AS x, round_even(ln(tan(pi() / 4 + radians(lat) / 2)) * 6378137, 3) AS y FROM p WHERE abs(lat) < 85", p=i.POINT)
 def _(t):
     x, y = g.mercator("lon", "lat")
     return t.view(i.POINT).where(F.abs("lat") < 85).select("id", (F.rint(x * 1e3) / 1e3).alias("x"), (F.rint(y * 1e3) / 1e3).alias("y"))
@@ -136,52 +119,6 @@ def _(t):
     return more.outer_variables({"a": p.where("id % 2 = 0"), "b": p.where("id % 3 = 0")})
 
 
-@query("jn21_as_of_join", "SELECT e.event_id, (SELECT max(o_orderkey) FROM orders WHERE o_orderkey <= e.event_id AND o_orderkey % 8 = 0) AS last_order FROM events e")
-def _(t):
-    marks = t.orders.where("o_orderkey % 8 = 0").select(F.col("o_orderkey").alias("at"), F.col("o_orderkey").alias("mark"), F.lit(None).cast("long").alias("event_id"))
-    rows = t.events.select(F.col("event_id").alias("at"), F.lit(None).cast("long").alias("mark"), "event_id").unionByName(marks)
-    # As-of by buckets: the last mark of each bucket is carried on, then the rest is within the bucket.
-    from pyspark.sql import Window
-
-    rows = rows.withColumn("b", F.floor(F.col("at") / 1024))
-    carried = rows.groupBy("b").agg(F.max("mark").alias("top")).withColumn("carried", F.last("top", True).over(Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)))
-    near = F.last("mark", True).over(Window.partitionBy("b").orderBy("at", F.col("mark").isNull()).rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return rows.withColumn("near", near).join(carried.select("b", "carried"), "b").where("event_id IS NOT NULL").select("event_id", F.coalesce("near", "carried").alias("last_order"))
-
-
-_FEW = "SELECT * FROM s WHERE id <= 80"
-_D = "SELECT a.id AS i, b.id AS j, " + " + ".join(f"CASE WHEN a.f{n} IS NULL OR b.f{n} IS NULL THEN 0 ELSE 1 END" for n in range(4)) + " AS n, " + " + ".join(f"coalesce(abs(a.f{n} - b.f{n}), 0)" for n in range(4)) + " AS num, " + " + ".join(f"coalesce(a.f{n} + b.f{n}, 0)" for n in range(4)) + f" AS den FROM ({_FEW}) a, ({_FEW}) b"
-_DIST = "CASE WHEN den > 0 THEN num / den ELSE 0 END"
-
-
-def _few(t):
-    return t.view(i.SAMPLE).where("id <= 80").select("id", F.array("f0", "f1", "f2", "f3").alias("x"))
-
-
-@query("km13_sparse_pairs", f"SELECT i, j, round_even({_DIST}, 6) AS distance FROM ({_D}) WHERE i < j AND n >= 2 AND {_DIST} <= 0.3", s=i.SAMPLE)
-def _(t):
-    return _r(more.pairwise(_few(t), 0.3), "distance")
-
-
-@query("km14_distance_matrix", f"SELECT i, j, round_even({_DIST}, 6) AS distance FROM ({_D}) WHERE i < j AND n >= 2", s=i.SAMPLE)
-def _(t):
-    return _r(more.pairwise(_few(t), 1.0), "distance")
-
-
-_LABELS = f"SELECT i, i % 3 AS li, j % 3 AS lj, CASE WHEN n >= 2 THEN {_DIST} END AS d, j FROM ({_D})"
-
-
-@query("km12_silhouette", f"SELECT round_even(avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)), 6) AS silhouette FROM (SELECT i, min(d) FILTER (li = lj) AS a, min(d) FILTER (li <> lj) AS b FROM (SELECT i, li, lj, avg(coalesce(d, 1)) AS d FROM ({_LABELS}) WHERE i <> j GROUP BY 1, 2, 3) GROUP BY 1)", s=i.SAMPLE)
-def _(t):
-    return _r(more.silhouette(_few(t).withColumn("label", F.col("id") % 3)), "silhouette")
-
-
-@query("mt02_beta_preservation", f"SELECT round_even(greatest((b - w) / (b + w), 0), 6) AS preservation FROM (SELECT avg(d) FILTER (li = lj) AS w, avg(d) FILTER (li <> lj) AS b FROM ({_LABELS}) WHERE i < j)", s=i.SAMPLE)
-def _(t):
-    return _r(more.beta_preservation(_few(t).withColumn("label", F.col("id") % 3)), "preservation")
-
-
-@query("mt03_gradient", "SELECT row_idx, col_idx, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (b - a) / 2 WHEN b IS NOT NULL THEN b - value WHEN a IS NOT NULL THEN value - a ELSE 0 END AS gradient FROM (SELECT *, lag(value) OVER (PARTITION BY row_idx ORDER BY col_idx) AS a, lead(value) OVER (PARTITION BY row_idx ORDER BY col_idx) AS b FROM p)", p=i.PIXEL)
 @query("wn10_lead_lag_frames", "SELECT row_idx, col_idx, CASE WHEN a IS NOT NULL AND b IS NOT NULL THEN (b - a) / 2 WHEN b IS NOT NULL THEN b - value WHEN a IS NOT NULL THEN value - a ELSE 0 END AS gradient FROM (SELECT *, lag(value) OVER (PARTITION BY row_idx ORDER BY col_idx) AS a, lead(value) OVER (PARTITION BY row_idx ORDER BY col_idx) AS b FROM p)", p=i.PIXEL)
 def _(t):
     return more.gradient(t.view(i.PIXEL)).select("row_idx", "col_idx", "gradient")
@@ -192,12 +129,6 @@ def _(t):
     return _r(more.spearman(t.view(i.POINT), "lat", "value"), "preserved")
 
 
-@query("km05_initial_centres")
-def _(t):
-    rows = k.initial_centres(qa._samples(t), 4)
-    return t.spark.createDataFrame([(n, row.tolist()) for n, row in enumerate(rows)], "centre int, x array<double>")
-
-
 @query("km07_hierarchical_fit")
 def _(t):
     rows = k.prefiltered(qa._samples(t), 1)
@@ -205,20 +136,14 @@ def _(t):
     return k.assign(rows, centres, least=1).groupBy("stratum", "label").agg(F.count(F.lit(1)).alias("size"))
 
 
-@query("km11_best_k")
-def _(t):
-    inertias = {n: k.kmeans(qa._samples(t), n, iterations=2)[2] for n in (2, 3, 4, 5)}
-    return t.spark.createDataFrame([(n, round(x, 6), n == k.best_k(inertias)) for n, x in inertias.items()], "k int, inertia double, best boolean")
-
-
-@query("km04_local_weights", f"SELECT i AS id, count(*) AS neighbours, round_even(var_pop(v), 6) AS variance FROM (SELECT i, p.value AS v FROM ({qa.NEAR}) JOIN p ON p.id = j) GROUP BY 1 HAVING count(*) > 5", p=i.FEWPOINT)
+@query("km04_local_weights", f"SELECT i AS id, count(*) AS neighbours, round_even(var_pop(v), 6) AS variance FROM (SELECT i, p.value AS v FROM ({qa.NEAR}) JOIN p ON p.id = j) GROUP BY 1 HAVING count(*) > 5", p=i.SUPPLIERPOINT)
 def _(t):
     p = t.view(i.SUPPLIERPOINT)
     near = sa.near_pairs(p, 1000.0).join(p.select(F.col("id").alias("j"), "value"), "j")
     return _r(near.groupBy(F.col("i").alias("id")).agg(F.count(F.lit(1)).alias("neighbours"), F.var_pop("value").alias("variance")).where("neighbours > 5"), "variance")
 
 
-@query("sa03_global_normalised_moran", f"SELECT round_even((SELECT count(*) FROM p) * sum(1 / km * a.z * b.z) / (sum(1 / km) * (SELECT sum(z * z) FROM ({qa.Z}))), 6) AS moran_i FROM ({qa.NEAR}) JOIN ({qa.Z}) a ON a.id = i JOIN ({qa.Z}) b ON b.id = j WHERE km > 0", p=i.FEWPOINT)
+@query("sa03_global_normalised_moran", f"SELECT round_even((SELECT count(*) FROM p) * sum(1 / km * a.z * b.z) / (sum(1 / km) * (SELECT sum(z * z) FROM ({qa.Z}))), 6) AS moran_i FROM ({qa.NEAR}) JOIN ({qa.Z}) a ON a.id = i JOIN ({qa.Z}) b ON b.id = j WHERE km > 0", p=i.SUPPLIERPOINT)
 def _(t):
     p = t.view(i.SUPPLIERPOINT)
     z = p.crossJoin(p.agg(F.avg("value").alias("m"))).select("id", (F.col("value") - F.col("m")).alias("z"))
@@ -227,28 +152,11 @@ def _(t):
     return sums.crossJoin(z.agg(F.sum(F.col("z") * F.col("z")).alias("ss"), F.count("z").alias("n"))).select(round6(F.col("n") * F.col("num") / (F.col("w") * F.col("ss"))).alias("moran_i"))
 
 
-@query("sm01_initial_neurons")
-@query("sm09_u_matrix")
-@query("sm13_feature_importance")
-def _(t):
-    neurons = k.initial_centres(qa._samples(t), 9)
-    u = k.u_matrix(np.resize(neurons, (9, 4)), (3, 3)).ravel()
-    return t.spark.createDataFrame([(n, float(x)) for n, x in enumerate(u)], "neuron int, u double")
-
-
 @query("sm06_grid_position", f"SELECT id, label // 3 AS row, label % 3 AS column_ FROM (SELECT id, CAST(label AS INT) AS label FROM ({qa._ASSIGN})) WHERE label >= 0", s=i.SAMPLE)
 def _(t):
     return k.assign(qa._samples(t), qa.CENTRES).where("label >= 0").select("id", F.floor(F.col("label") / 3).cast("int").alias("row"), (F.col("label") % 3).alias("column_"))
 
 
-@query("sm04_learning_schedule")
-@query("sm07_batch_som")
-@query("wn11_training_history")
-def _(t):
-    _, errors = k.train_som(qa._samples(t), (2, 2), epochs=4)
-    return t.spark.createDataFrame([(n, e) for n, e in enumerate(errors)], "epoch int, error double")
-
-
 @query("sm11_grid_size", "SELECT 1 AS one, CAST(least(50, greatest(5, trunc(sqrt(trunc(sqrt(count(*))))))) AS INT) AS size FROM customer")
 def _(t):
     return t.spark.createDataFrame([(1, k.grid_size(t.customer.count()))], "one int, size int")
@@ -270,41 +178,12 @@ def _(t):
     return labelled.withColumn("split", F.when(F.col("label") % 5 == 0, "test").when(F.col("label") % 5 == 1, "validation").otherwise("train")).groupBy("split").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("mr05_information_criteria")
-@query("mr08_nested_workflow")
-def _(t):
-    rows, out, made = t.view(qa.XY), [], []
-    for names in (["a"], ["a", "b"]):
-        model = mr.ridge(rows, names, "y", 1.0)
-        line = sum((F.col(c) * float(w) for c, w in zip(names, model[0], strict=True)), F.lit(float(model[1])))
-        s = rows.agg(F.sum((F.col("y") - line) ** 2).alias("rss"), F.count(F.lit(1)).alias("n")).first()
-        made.append((mr.log_likelihood(s.rss, s.n), len(names) + 2))
-        out.append(("+".join(names), *mr.information_criteria(*made[-1], s.n)))
-    return t.spark.createDataFrame(out, "model string, aic double, bic double")
-
-
-@query("mr09_model_persistence", "SELECT 'saved' AS state, 1 AS features")
-def _(t):
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.regression import LinearRegression, LinearRegressionModel
-
-    rows = VectorAssembler(inputCols=["a"], outputCol="features").transform(t.view(qa.XY))
-    path = scratch(t.spark, "model")
-    LinearRegression(labelCol="y", regParam=0.1, elasticNetParam=0.0).fit(rows).save(path)
-    return t.spark.createDataFrame([("saved", LinearRegressionModel.load(path).numFeatures)], "state string, features int")
-
-
 @query("mu03_cache_reads", "SELECT p_partkey AS key, CAST(p_partkey % 9 + coalesce(n, 0) AS BIGINT) AS access_count FROM part LEFT JOIN (SELECT user_id AS key, count(*) AS n FROM events GROUP BY 1) l ON l.key = p_partkey")
 def _(t):
     cache = t.part.select(F.col("p_partkey").alias("key"), (F.col("p_partkey") % 9).alias("access_count"))
     return more.touched(cache, t.events.select(F.col("user_id").alias("key"), "ts")).select("key", "access_count")
 
 
-@query("mu15_tile_statistics_update", "SELECT row_idx, col_idx, CASE WHEN value > 500 THEN 'dense' ELSE 'sparse' END AS state FROM p", p=i.PIXEL)
-def _(t):
-    return t.view(i.PIXEL).select("row_idx", "col_idx", F.when(F.col("value") > 500, "dense").otherwise("sparse").alias("state"))
-
-
 @query("prj05_disjoint_prune", "SELECT grid_id FROM g WHERE NOT (maxx < -5 OR minx > 3 OR maxy < 0 OR miny > 6)", g=i.GRID)
 @query("prj18_cells_in_bounds", "SELECT grid_id FROM g WHERE NOT (maxx < -5 OR minx > 3 OR maxy < 0 OR miny > 6)", g=i.GRID)
 def _(t):
@@ -318,7 +197,6 @@ def _(t):
 
 
 @query("prj10_tolerance_filter", "SELECT grid_id, name FROM g WHERE abs(resolution - 2001) <= 1", g=i.GRID)
-@query("prj20_passthrough_decision", "SELECT grid_id, name FROM g WHERE abs(resolution - 2001) <= 1", g=i.GRID)
 def _(t):
     return t.view(i.GRID).where(more.passthrough(F.col("resolution"), F.lit(2001), 1)).select("grid_id", "name")
 
@@ -329,7 +207,6 @@ def _(t):
 
 
 @query("prj15_record_filter", "SELECT event_id FROM events WHERE value > 50 ORDER BY event_id LIMIT 25")
-@query("snk15_subset_export", "SELECT event_id FROM events WHERE value > 50 ORDER BY event_id LIMIT 25")
 def _(t):
     return t.events.where("value > 50").orderBy("event_id").limit(25).select("event_id")
 
@@ -341,20 +218,7 @@ def _(t):
     return t.view(i.JOB).where("status = 'running'").select("job_id", seconds_between("created_at", F.lit("2024-06-01").cast("timestamp")).alias("elapsed"))
 
 
-@query("re01_dispatch", "SELECT 'mean' AS method, count(*) AS cells FROM (SELECT DISTINCT row_idx // 4, col_idx // 4 FROM p) UNION ALL SELECT 'sum', count(*) FROM (SELECT DISTINCT row_idx // 4, col_idx // 4 FROM p) UNION ALL SELECT 'nearest', 256 UNION ALL SELECT 'majority', count(*) FROM (SELECT DISTINCT row_idx // 4, col_idx // 4 FROM p)", p=i.PIXEL)
-@query("re03_partitioned_resample", "SELECT 'mean' AS method, count(*) AS cells FROM (SELECT DISTINCT row_idx // 4, col_idx // 4 FROM p) UNION ALL SELECT 'sum', count(*) FROM (SELECT DISTINCT row_idx // 4, col_idx // 4 FROM p) UNION ALL SELECT 'nearest', 256 UNION ALL SELECT 'majority', count(*) FROM (SELECT DISTINCT row_idx // 4, col_idx // 4 FROM p)", p=i.PIXEL)
-def _(t):
-    out = None
-    for method in ("mean", "sum", "nearest", "majority"):
-        one = r.resample(t.view(i.PIXEL), method, 4.0, (64, 64)).agg(F.count(F.lit(1)).alias("cells")).select(F.lit(method).alias("method"), "cells")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-@query("re04_resample_and_store", "SELECT CAST(row_idx // 4 AS INT) AS target_row, CAST(col_idx // 4 AS INT) AS target_col, round_even(avg(value), 6) AS value FROM p GROUP BY 1, 2", p=i.PIXEL)
-@query("re10_cached_result", "SELECT CAST(row_idx // 4 AS INT) AS target_row, CAST(col_idx // 4 AS INT) AS target_col, round_even(avg(value), 6) AS value FROM p GROUP BY 1, 2", p=i.PIXEL)
 @query("snk05_parquet_round_trip", "SELECT CAST(row_idx // 4 AS INT) AS target_row, CAST(col_idx // 4 AS INT) AS target_col, round_even(avg(value), 6) AS value FROM p GROUP BY 1, 2", p=i.PIXEL)
-@query("snk07_streaming_parquet", "SELECT CAST(row_idx // 4 AS INT) AS target_row, CAST(col_idx // 4 AS INT) AS target_col, round_even(avg(value), 6) AS value FROM p GROUP BY 1, 2", p=i.PIXEL)
 def _(t):
     path = scratch(t.spark, "resampled")
     io.write_parquet(_r(r.resample(t.view(i.PIXEL), "mean", 4.0, (64, 64)), "value"), path, rows_per_file=100, row_group_bytes=1 << 20)
@@ -371,43 +235,22 @@ _CSV = "SELECT s_suppkey, s_name, s_acctbal FROM supplier"
 
 
 @query("snk04_csv_round_trip", _CSV)
-@query("snk06_streaming_csv", _CSV)
-@query("src04_csv_scan", _CSV)
 def _(t):
     path = scratch(t.spark, "rows") + ".csv"
     io.write_csv(t.supplier.select("s_suppkey", "s_name", "s_acctbal"), path, gzip=True)
     return io.read_table(t.spark, path, "s_suppkey long, s_name string, s_acctbal double")
 
 
-@query("snk08_metadata_sidecar", "SELECT count(*) AS rows FROM supplier")
-@query("snk12_climate_metadata", "SELECT count(*) AS rows FROM supplier")
-def _(t):
-    path = scratch(t.spark, "metadata")
-    io.write_sidecar(t.supplier, path, {"format": "parquet"})
-    return t.spark.read.schema("rows long, metadata string").json(path).select("rows")
-
-
 _STORE = "SELECT row_idx, col_idx, -32.0 + (col_idx + 0.5) AS x, 32.0 - (row_idx + 0.5) AS y, value FROM p"
 
 
 @query("snk03_pixel_store", _STORE, p=i.PIXEL)
-@query("va12_storage_accuracy", _STORE, p=i.PIXEL)
 def _(t):
     path = scratch(t.spark, "pixels")
     io.write_parquet(m.with_coordinates(t.view(i.PIXEL), **AT), path)
     return t.spark.read.parquet(path).select("row_idx", "col_idx", "x", "y", "value")
 
 
-@query("snk13_result_store", "SELECT experiment_id, count(*) AS rows FROM m GROUP BY 1", m=i.METRIC)
-@query("snk14_analysis_store", "SELECT experiment_id, count(*) AS rows FROM m GROUP BY 1", m=i.METRIC)
-@query("src03_partitioned_scan", "SELECT experiment_id, count(*) AS rows FROM m GROUP BY 1", m=i.METRIC)
-def _(t):
-    path = scratch(t.spark, "results")
-    io.write_parquet(t.view(i.METRIC).repartition("experiment_id"), path, partition_by=["experiment_id"])
-    return t.spark.read.parquet(path).groupBy(F.col("experiment_id").cast("long").alias("experiment_id")).agg(F.count(F.lit(1)).alias("rows"))
-
-
-@query("snk17_log_batches", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 @query("str1_bounded_stream", "SELECT event_type, count(*) AS n FROM events GROUP BY 1")
 def _(t):
     from quadrille.streaming.events import event_stream, run_available
@@ -460,15 +303,6 @@ def _(t):
     return t.view(i.PIXEL).select(F.floor(F.col("row_idx") / 4).alias("r"), F.floor(F.col("col_idx") / 4).alias("c")).dropDuplicates()
 
 
-@query("ex03_analyzer_factory")
-@query("ex02_registration")
-def _(t):
-    from quadrille.plans.components import default_registry
-
-    registry = default_registry()
-    return t.spark.createDataFrame(sorted((kind, name) for kind, names in registry.kinds.items() for name in names), "kind string, name string")
-
-
 @query("ex05_custom_aggregate", "SELECT row_idx // 16 AS tile, max(value) - min(value) AS span FROM p GROUP BY 1", p=i.PIXEL)
 def _(t):
     import pandas as pd
@@ -485,11 +319,3 @@ def _(t):
     return grids.windows(t.spark, 64, 64, 20).select("row_off", "col_off")
 
 
-@query("ex13_skip_when_fresh", "SELECT true AS fresh, false AS missing")
-def _(t):
-    from quadrille.plans.components import output_exists
-
-    path = scratch(t.spark, "stage")
-    missing = output_exists(t.spark, path)
-    io.write_parquet(t.region, path)
-    return t.spark.createDataFrame([(output_exists(t.spark, path), missing)], "fresh boolean, missing boolean")

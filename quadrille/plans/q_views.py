@@ -91,10 +91,10 @@ def _(t):
     return _r(v.memory_by_stage(t.view(i.METRIC)), "avg", "stddev", "seconds")
 
 
-@query("ag13_memory_summary", "SELECT e.experiment_id, count(DISTINCT stage) AS stages, max(value) AS peak, round_even(avg(value), 6) AS average, round_even(coalesce(max(value), 0) / 16.0 * 100, 6) AS peak_percent FROM (SELECT experiment_id FROM e WHERE experiment_id <= 40) e LEFT JOIN m ON e.experiment_id = m.experiment_id AND level = 'view' GROUP BY 1", e=i.EXPERIMENT, m=i.METRIC)
-@query("jn09_filter_in_join", "SELECT e.experiment_id, count(DISTINCT stage) AS stages, max(value) AS peak, round_even(avg(value), 6) AS average, round_even(coalesce(max(value), 0) / 16.0 * 100, 6) AS peak_percent FROM (SELECT experiment_id FROM e WHERE experiment_id <= 40) e LEFT JOIN m ON e.experiment_id = m.experiment_id AND level = 'view' GROUP BY 1", e=i.EXPERIMENT, m=i.METRIC)
+@query("ag13_memory_summary", "SELECT e.experiment_id, count(DISTINCT stage) AS stages, max(value) AS peak, round_even(avg(value), 6) AS average, round_even(coalesce(max(value), 0) / 16.0 * 100, 6) AS peak_percent FROM e LEFT JOIN m ON e.experiment_id = m.experiment_id AND level = 'view' GROUP BY 1", e=i.EXPERIMENT, m=i.METRIC)
+@query("jn09_filter_in_join", "SELECT e.experiment_id, count(DISTINCT stage) AS stages, max(value) AS peak, round_even(avg(value), 6) AS average, round_even(coalesce(max(value), 0) / 16.0 * 100, 6) AS peak_percent FROM e LEFT JOIN m ON e.experiment_id = m.experiment_id AND level = 'view' GROUP BY 1", e=i.EXPERIMENT, m=i.METRIC)
 def _(t):
-    e = t.view(i.EXPERIMENT).select("experiment_id").where("experiment_id <= 40")
+    e = t.view(i.EXPERIMENT).select("experiment_id")
     return _r(v.memory_summary(e, t.view(i.METRIC)), "average", "peak_percent")
 
 
@@ -186,11 +186,19 @@ def _(t):
     return t.part.join(t.lineitem.where("l_quantity > 45"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").select("p_partkey")
 
 
-@query("jn05_species_export", "SELECT s.species_name, s.cell_id, g.name, s.intersection_area_km2 FROM s JOIN g USING (grid_id) WHERE s.category = 'BUILDING' ORDER BY 1, 2, 3, 4 LIMIT 500", s=i.SPECIES, g=i.GRID)
+def _species(t):
+    rows = t.view(i.SPECIES).where("category = 'BUILDING'").join(t.view(i.GRID).select("grid_id", "name"), "grid_id")
+    return rows.select("species_name", "cell_id", "name", "intersection_area_km2")
+
+
+@query("jn05_species_export", "SELECT s.species_name, s.cell_id, g.name, s.intersection_area_km2 FROM s JOIN g USING (grid_id) WHERE s.category = 'BUILDING'", s=i.SPECIES, g=i.GRID)
+def _(t):
+    return _species(t)
+
+
 @query("snk10_species_csv_rows", "SELECT s.species_name, s.cell_id, g.name, s.intersection_area_km2 FROM s JOIN g USING (grid_id) WHERE s.category = 'BUILDING' ORDER BY 1, 2, 3, 4 LIMIT 500", s=i.SPECIES, g=i.GRID)
 def _(t):
-    rows = t.view(i.SPECIES).where("category = 'BUILDING'").join(t.view(i.GRID).select("grid_id", "name"), "grid_id")
-    return rows.select("species_name", "cell_id", "name", "intersection_area_km2").orderBy("species_name", "cell_id", "name", "intersection_area_km2").limit(500)
+    return _species(t).orderBy("species_name", "cell_id", "name", "intersection_area_km2").limit(500)
 
 
 @query("jn06_richness_with_grids", "SELECT g.name, g.resolution, cell_id, count(DISTINCT species_name) AS species FROM s JOIN g USING (grid_id) GROUP BY ALL", s=i.SPECIES, g=i.GRID)

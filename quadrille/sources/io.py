@@ -71,8 +71,30 @@ def write_parquet(df: DataFrame, path: str, *, partition_by: Sequence[str] = (),
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
 
 
+def export_chunks(chunks, path: str, kind: str = "csv", **options) -> int:
+    """SNK06, SNK07: DataFrames written one after another into one folder; how many there were. If one fails, the whole export goes."""
+    n = 0
+    try:
+        for n, df in enumerate(chunks, 1):
+            df.write.mode("overwrite" if n == 1 else "append").option("header", True).options(**options).format(kind).save(path)
+            spark = df.sparkSession
+    except Exception:
+        if n:
+            _deleted(df.sparkSession, path)
+        raise
+    if n:
+        _deleted(spark, f"{path}/_SUCCESS")
+        spark.range(1).select(F.lit(n).alias("chunks")).coalesce(1).write.mode("overwrite").json(f"{path.rstrip('/')}.done")
+    return n
+
+
+def _deleted(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def write_sidecar(df: DataFrame, path: str, extra: Mapping | None = None) -> None:
-    """SNK08, SNK12: one JSON line with the number of rows, columns and types."""
+    """SNK08: one JSON line with the number of rows, columns and types."""
     body = json.dumps({"columns": dict(df.dtypes), **(extra or {})}, sort_keys=True)
     df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(body).alias("metadata")).coalesce(1).write.mode("overwrite").json(path)
 
@@ -82,10 +104,32 @@ CLIMATE_SCALES = {"bio01": 0.1, "bio04": 0.01, "bio12": 1.0}
 
 
 def climate_bands(df: DataFrame) -> DataFrame:
-    """SRC11, SNK12: scaled bands as floats."""
+    """SRC11: scaled bands as floats."""
     return df.withColumns({c: (F.col(c) * s).cast("float") for c, s in CLIMATE_SCALES.items() if c in df.columns})
 
 
+def climate_table(df: DataFrame) -> DataFrame:
+    """SNK12: (x, y, bands...): coordinates as doubles, climate bands as floats, all else as it is. Missing coordinate columns are an error."""
+    missing = [c for c in ("x", "y") if c not in df.columns]
+    if missing:
+        raise ValueError(f"no column {', '.join(missing)}")
+    kinds = {"x": "double", "y": "double"} | {c: "float" for c in df.columns if c in CLIMATE_SCALES}
+    return df.withColumns({c: F.expr(f"try_cast(`{c}` AS {kind})") for c, kind in kinds.items()})
+
+
+def write_climate(df: DataFrame, path: str) -> dict:
+    """SNK12: writes ``climate_table(df)`` with a sidecar ``path``.metadata; what it checked. Coordinates outside the globe are an error and nothing is written."""
+    out = climate_table(df)
+    r = out.agg(F.count(F.lit(1)).alias("rows"), F.count_if(F.col("x").isNull() | F.col("y").isNull()).alias("missing"), F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1")).first()
+    if r.x0 is not None and (r.x0 < -180 or r.x1 > 180):
+        raise ValueError("longitudes outside -180 to 180")
+    if r.y0 is not None and (r.y0 < -90 or r.y1 > 90):
+        raise ValueError("latitudes outside -90 to 90")
+    write_parquet(out, path)
+    write_sidecar(out, f"{path.rstrip('/')}.metadata", {"missing_coordinates": r.missing})
+    return {"rows": r.rows, "missing": r.missing}
+
+
 def reservoir(df: DataFrame, n: int, key: str, seed: int = 42) -> DataFrame:
     """PRJ16: n rows, the same each time: the least hashes."""
     return df.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)

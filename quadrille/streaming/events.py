@@ -47,3 +47,26 @@ def run_available(df: DataFrame, path: str, checkpoint: str, mode: str = "append
 def each_batch(df: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """SNK17: batches of a streaming frame to a function."""
     df.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def log_sink(df: DataFrame, path: str, checkpoint: str, *, capacity: int = 10_000, fallback: str | None = None, order: tuple[str, ...] = ("ts", "event_id")) -> None:
+    """SNK17: batches of a streaming frame appended to ``path``, a bounded queue: of a batch the first ``capacity`` rows by ``order``.
+
+    What a batch has beyond them is dropped, as the sink is defined, and counted in ``path``.dropped (batch, kept,
+    dropped). A batch that can't be written to ``path`` goes to ``fallback`` as JSON lines, if that is given. A batch
+    that runs again writes its own folder again.
+    """
+
+    def sink(batch: DataFrame, number: int) -> None:
+        total = batch.count()
+        kept = batch.orderBy(*order).limit(capacity) if total > capacity else batch
+        try:
+            kept.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        except Exception:
+            if fallback is None:
+                raise
+            kept.write.mode("overwrite").json(f"{fallback}/batch={number}")
+        counts = batch.sparkSession.createDataFrame([(min(total, capacity), max(0, total - capacity))], "kept long, dropped long")
+        counts.coalesce(1).write.mode("overwrite").parquet(f"{path}.dropped/batch={number}")
+
+    each_batch(df, sink, checkpoint)
