@@ -12,13 +12,14 @@ differ in anything are distinct. Without it all rows count, as in the SQL of the
 
 Defined results: null texts stay null, with no lines; empty texts have one empty line; blank lines are never removed;
 rows with a null source count as one site of their own; repeated documents each keep a row; a column of the input that
-has the name of an output is replaced. A text whose lines all go becomes empty.
+has the name of an output is replaced. A text whose lines all go becomes empty. Very long texts are read whole, in time
+that grows with their length. An empty table gives an empty result; a line on as many sites as the threshold goes.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quadrille.llm.storage import bounded, stored
+from quadrille.llm.storage import bounded, drop_stored, stored
 
 _TRIM = " \t\r\x0b\x0c"
 
@@ -41,7 +42,9 @@ def boilerplate(lines: DataFrame, *, sites: int, band: float = 0.25, lg_k: int =
     guessed = stored(sketches.select("k1", "k2", F.hll_sketch_estimate("sketch").alias("spread")), "spread")
     near = guessed.where((F.col("spread") >= sites * (1 - band)) & (F.col("spread") <= sites * (1 + band)))
     exact = lines.join(bounded(near.select("k1", "k2")), ["k1", "k2"], "left_semi").distinct().groupBy("k1", "k2").agg(F.count("site").alias("spread"))
-    return guessed.where(F.col("spread") > sites * (1 + band)).unionByName(exact.where(F.col("spread") >= sites))
+    out = stored(guessed.where(F.col("spread") > sites * (1 + band)).unionByName(exact.where(F.col("spread") >= sites)), "boilerplate")
+    drop_stored(several, guessed)
+    return out
 
 
 def _once(docs: DataFrame, *, text: str, source: str) -> DataFrame:
@@ -62,11 +65,13 @@ def dedup_lines(docs: DataFrame, *, sites: int = 8, once: bool = False, text: st
     placed = _once(docs, text=text, source=source) if once else docs.withColumn("__site", _site(source))
     lines = placed.select(row.alias("row"), F.col("__site").alias("site"), F.posexplode(split).alias("at", "line"))
     lines = lines.where(F.length(F.btrim("line", F.lit(_TRIM))) > 0).select("row", "site", "at", *(k.alias(n) for k, n in zip(_key(F.col("line")), ("k1", "k2"), strict=True)))
-    found = stored(boilerplate(lines.select("k1", "k2", "site"), sites=sites).select("k1", "k2"), "boilerplate")
+    found = boilerplate(lines.select("k1", "k2", "site"), sites=sites).select("k1", "k2")
     hits = lines.join(bounded(found), ["k1", "k2"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("removed"))
-    joined = docs.select(*names).withColumn("__row", row).join(hits.select(F.col("row").alias("__row"), F.col("removed").alias("__removed")), "__row", "left")
-    kept = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join(F.filter(split, lambda line, at: ~F.array_contains("__removed", at)), "\n"))
-    counts = F.struct(F.coalesce(F.size(split), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"))
+    # Places that stay are a difference of sets, so that a text of many lines that loses many takes no longer than its length.
+    joined = docs.select(*(F.col(f"`{c}`") for c in names)).withColumns({"__row": row, "__split": split}).join(hits.select(F.col("row").alias("__row"), F.col("removed").alias("__removed")), "__row", "left")
+    places = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("__removed"))
+    kept = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(places, lambda at: F.get("__split", at)), "\n"))
+    counts = F.struct(F.coalesce(F.size("__split"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"))
     return joined.withColumn("__counts", F.when(F.col(text).isNull(), F.struct(F.lit(0).cast("long").alias("n_lines"), F.lit(0).cast("long").alias("n_removed"))).otherwise(counts)).withColumn("__kept", kept).select(*(F.col("__kept").alias(c) if c == text else F.col(f"`{c}`") for c in names), F.col("__counts").alias(out))
 
 
@@ -79,7 +84,7 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BODY = "trim(line, ' ' || chr(9) || chr(13) || chr(11) || chr(12))"
 ORACLE = f"""
 WITH d AS (SELECT row_number() OVER () AS n, doc_id, text, source FROM documents),
-l AS (SELECT n, coalesce(source, '') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d WHERE text IS NOT NULL),
+l AS (SELECT n, coalesce('s' || source, 'none') AS site, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM d WHERE text IS NOT NULL),
 b AS (SELECT {_BODY} AS body FROM l WHERE {_BODY} <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 8),
 k AS (SELECT n, count(*) AS n_lines, count(body) AS n_removed, coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE body IS NULL), '') AS kept
       FROM l LEFT JOIN b ON {_BODY} = body GROUP BY n)

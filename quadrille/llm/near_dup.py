@@ -192,13 +192,15 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     docs = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
     signed = with_kernel(docs, "text", "s", SIGNED, lambda: lambda c: _sign(c, size), ["id"])
     signed = stored(signed.select("id", "s.*"), "signed")
-    usable = signed.where("n > 0 AND id IS NOT NULL")
-    parts = int(signed.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sizes = stored(signed.select("id", "n", "s1", "s2"), "sizes")
+    usable = sizes.where("n > 0 AND id IS NOT NULL")
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     # Nodes are distinct sets, by their least doc_id.
     nodes = stored(usable.groupBy("s1", "s2", "n").agg(F.min("id").alias("id")), "nodes")
-    reps = usable.join(nodes.select("s1", "s2", "id"), ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"]).select("id", "signature")
+    reps = signed.where("n > 0 AND id IS NOT NULL").join(nodes.select("s1", "s2", "id"), ["s1", "s2", "id"], "left_semi").dropDuplicates(["id", "s1", "s2"]).select("id", "signature")
     reps = stored(reps, "reps")
+    drop_stored(signed)
     banded = reps.select("id", F.posexplode(F.slice("signature", 1, BANDS)).alias("band", "key")).select(F.xxhash64("band", "key").alias("k"), "band", "id")
     buckets = banded.groupBy("k").agg(F.min("id").alias("least"), F.max("id").alias("most")).where("least <> most").select("k", "least")
     members = stored(banded.join(buckets, "k"), "members")
@@ -225,10 +227,10 @@ def near_duplicates(docs: DataFrame, *, size: int = 5, percent: int = 80, miss:
     ties = usable.join(bounded(repeated), "id", "left_semi").join(nodes.select("s1", "s2", F.col("id").alias("rep")), ["s1", "s2"])
     edges = labels.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(more).unionByName(ties.select(F.col("rep").alias("a"), F.col("id").alias("b")))
     final = stored(components(edges), "components")
-    drop_stored(labels, links, more, placed)
+    drop_stored(labels, links, more, placed, reps)
 
     nodes = nodes.join(final, "id", "left").select("s1", "s2", "n", F.coalesce("component", "id").alias("component"))
-    found = signed.select("id", "n", "s1", "s2").join(nodes, ["s1", "s2", "n"], "left")
+    found = sizes.join(nodes, ["s1", "s2", "n"], "left")
     component = F.when(F.col("id").isNull(), F.lit(None)).otherwise(F.coalesce("component", "id"))
     return found.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 

@@ -2,13 +2,14 @@
 
 Tokens are runs of ASCII letters, digits and non-ASCII characters, and runs of other characters but white space, in
 ASCII lower case. Features are hashed single tokens and pairs of neighbours, each with its share of the text's tokens
-times ``SCALE``; a score is the logistic function of a sparse dot product with a fixed-size weight table.
+times ``SCALE`` (a pair of equal tokens is one feature, whatever the token: repetition); a score is the logistic function of a sparse dot product with a fixed-size weight table.
 
 The model is fitted on at most about ``sample_rows`` labelled rows, taken by a hash of doc_id (a documented bound: one
 task trains on them). Everything else covers all rows.
 
 Defined results: null and empty texts, and texts without tokens, get the score of the bias alone; without usable labels
-the score is 0.5; a doc_id with several labels counts with the largest; repeated documents each get a row.
+the score is 0.5; a doc_id with several labels counts with the largest; repeated documents each get a row; equal texts
+get equal scores; very long texts are read whole; extra columns are kept, and one that has the output's name is replaced.
 """
 
 import numpy as np

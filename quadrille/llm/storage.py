@@ -1,5 +1,6 @@
 """Shared storage for intermediate tables, and joins whose small side is broadcast only behind a check of its size."""
 
+import atexit
 import re
 import tempfile
 import uuid
@@ -19,9 +20,32 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_ending: set[str] = set()
+
+
+def _tables(spark: SparkSession) -> str:
+    """The application's folder for stored tables; it goes when the driver's Python ends, with all that a lazy result still read."""
+    folder = f"{shared_dir(spark)}/tables/{spark.sparkContext.applicationId}"
+    if folder not in _ending:
+        _ending.add(folder)
+        atexit.register(_emptied, spark.sparkContext._jvm, folder)
+    return folder
+
+
+def _emptied(jvm, folder: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(jvm.org.apache.hadoop.conf.Configuration()).delete(path, True)
+    except Exception:  # noqa: BLE001  the JVM may be gone; nothing else depends on it
+        return
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """``df``, written to the shared folder and read again: it cuts lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/tables/{name}-{uuid.uuid4().hex}"
+    """``df``, written to the shared folder and read again: it cuts lineage and survives lost executors.
+
+    The table stays until ``drop_stored``, or until the driver's Python ends.
+    """
+    path = f"{_tables(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.stored_path = path

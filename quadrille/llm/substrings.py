@@ -207,7 +207,7 @@ def _merged(row: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nd
     fresh = np.ones(len(row), bool)
     fresh[1:] = (row[1:] != row[:-1]) | (start[1:] > reach[:-1])
     first = np.flatnonzero(fresh)
-    return row[first], start[first], reach[np.append(first[1:], len(row)) - 1]
+    return row[first], start[first], reach[np.append(first[1:], len(row)) - 1] if len(row) else stop
 
 
 def _scan(length: int, merge: bool, limit: int = 1 << 19):
@@ -290,12 +290,15 @@ def _covered(bodies: DataFrame, length: int, variants: int, parts: int, step: in
         return found
     half = -(-step // 2)
     cut = stored(hot.select("b", "s", "m", "run", "c", "body").mapInArrow(_halves(length, half), "pb long, ps long, p0 int, run int, m int, c long, b long, s long, body binary"), "halves")
-    again = stored(cut.join(stored(_grouped(cut), "buckets"), "b"), "halves")
+    buckets = stored(_grouped(cut), "buckets")
+    again = stored(cut.join(buckets, "b"), "halves")
+    drop_stored(cut, buckets)
     whole = again.where("v = 1").select("b", "s", F.lit(0).alias("start"), (F.col("run") + length - 1).cast("int").alias("stop"), F.xxhash64("b", "s").alias("repeat")).distinct()
     distinct = again.where("v > 1").groupBy("b", "s", "m", "run", "body", "v").agg(F.sum("c").alias("c"))
-    below = whole.unionByName(_covered(stored(distinct, "bodies"), length, variants, parts, half, merge))
+    deeper = stored(distinct, "bodies")
+    below = whole.unionByName(_covered(deeper, length, variants, parts, half, merge))
+    drop_stored(deeper)
     up = again.select("b", "s", "pb", "ps", "p0").join(below, ["b", "s"]).select(F.col("pb").alias("b"), F.col("ps").alias("s"), (F.col("p0") + F.col("start")).alias("start"), (F.col("p0") + F.col("stop")).alias("stop"), "repeat").distinct()
-    drop_stored(cut)
     return found.unionByName(up)
 
 
@@ -311,7 +314,7 @@ def repeat_spans(docs: DataFrame, *, length: int = 400, variants: int = 1024, do
     cut = stored(source.mapInArrow(_cut(length), PIECE), "pieces")
     buckets = stored(_grouped(cut.select("b", "s", F.lit(1).alias("c"))), "buckets")
     shared = stored(cut.join(buckets, "b"), "shared")
-    drop_stored(cut)
+    drop_stored(cut, buckets)
 
     whole = shared.where("v = 1").select("id", "h", F.col("p0").alias("start"), (F.col("p1") + length).alias("stop"), F.xxhash64("b", "s").alias("repeat"))
     # Of each different piece in the other buckets one occurrence is read.
@@ -338,7 +341,9 @@ def repeat_spans(docs: DataFrame, *, length: int = 400, variants: int = 1024, do
     same = source["id"].eqNullSafe(wanted["wid"]) & (source["h"] == wanted["wh"])
     once = source.join(wanted, same).select("text", "pieces")
     bodies = stored(once.mapInArrow(read, "b long, s long, v long, c long, m int, run int, body binary"), "bodies")
+    drop_stored(chosen)
     cover = _covered(bodies, length, variants, parts, length - GRAM + 1, merge)
+    drop_stored(bodies)
     found = several.select("id", "h", "p0", "b", "s").join(cover, ["b", "s"]).select("id", "h", (F.col("p0") + F.col("start")).alias("start"), (F.col("p0") + F.col("stop")).alias("stop"), "repeat")
     return whole.unionByName(found)
 
