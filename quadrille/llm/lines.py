@@ -68,7 +68,8 @@ def dedup_lines(docs: DataFrame, *, sites: int = 8, once: bool = False, text: st
     found = boilerplate(lines.select("k1", "k2", "site"), sites=sites).select("k1", "k2")
     hits = lines.join(bounded(found), ["k1", "k2"], "left_semi").groupBy("row").agg(F.collect_set("at").alias("removed"))
     # Places that stay are a difference of sets, so that a text of many lines that loses many takes no longer than its length.
-    joined = docs.select(*(F.col(f"`{c}`") for c in names)).withColumns({"__row": row, "__split": split}).join(hits.select(F.col("row").alias("__row"), F.col("removed").alias("__removed")), "__row", "left")
+    joined = docs.select(*(F.col(f"`{c}`") for c in names)).withColumn("__row", row).join(hits.select(F.col("row").alias("__row"), F.col("removed").alias("__removed")), "__row", "left")
+    joined = joined.withColumn("__split", split)  # after the join: lines needn't be shuffled beside the text
     places = F.array_except(F.sequence(F.lit(0), F.size("__split") - 1), F.col("__removed"))
     kept = F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.array_join(F.transform(places, lambda at: F.get("__split", at)), "\n"))
     counts = F.struct(F.coalesce(F.size("__split"), F.lit(0)).cast("long").alias("n_lines"), F.coalesce(F.size("__removed"), F.lit(0)).cast("long").alias("n_removed"))
