@@ -75,6 +75,39 @@ def with_statistics(tiles: DataFrame, pixels: DataFrame) -> DataFrame:
     return out.withColumn("status", F.when(F.col("pixels") == 0, "empty").otherwise("done"))
 
 
+def without_test_rows(rows: DataFrame, now: Column, hours: int = 1, prefix: str = "TEST_", names: tuple[str, ...] = ("name", "job_name", "species_name", "experiment_name", "description", "variable")) -> DataFrame:
+    """MU14: ``rows`` but for test data: one of its name columns begins with ``prefix`` and, where there is a created_at, it is from the last ``hours``."""
+    marked = [F.coalesce(F.col(c).startswith(prefix), F.lit(False)) for c in names if c in rows.columns]
+    if not marked:
+        return rows
+    test = marked[0]
+    for m in marked[1:]:
+        test = test | m
+    if "created_at" in rows.columns:
+        test = test & F.coalesce(F.col("created_at") > now - F.make_dt_interval(F.lit(0), F.lit(hours)), F.lit(False))
+    return rows.where(~test)
+
+
+#: EX14: fixed values of the reference: seconds to wait by failures so far, attempts, words of errors that pass, and of those whose stage may be left out.
+RETRY_DELAYS, MAX_RETRIES = (5, 30, 60), 3
+PASSING, QUALITY = ("memory", "connection", "timeout", "temporary"), ("quality", "validation")
+
+
+def recovery_plan(failures: DataFrame, optional: tuple[str, ...] = (), most: int = MAX_RETRIES) -> DataFrame:
+    """EX14: failures (stage, message, at) with attempt, strategy (retry, skip or abort) and seconds to wait before a retry.
+
+    Errors that pass are retried at any attempt; quality errors leave out a stage that is optional; any other is retried
+    until the stage has failed ``most`` times before.
+    """
+    from pyspark.sql import Window
+
+    has = lambda words: F.coalesce(F.lower("message").rlike("|".join(words)), F.lit(False))
+    attempt = F.row_number().over(Window.partitionBy("stage").orderBy("at"))
+    strategy = F.when(has(PASSING), "retry").when(has(QUALITY) & F.col("stage").isin(*optional), "skip").when(F.col("attempt") > most, "abort").otherwise("retry")
+    delay = F.element_at(F.array(*map(F.lit, RETRY_DELAYS)), F.least(F.col("attempt") + 1, F.lit(len(RETRY_DELAYS))).cast("int"))
+    return failures.withColumn("attempt", attempt).withColumn("strategy", strategy).withColumn("delay", F.when(F.col("strategy") == "retry", delay))
+
+
 def finished(tasks: DataFrame, ok: Column) -> DataFrame:
     """MU11: success or failure with one more retry."""
     return tasks.withColumns({"status": F.when(ok, "completed").otherwise("failed"), "retry_count": F.col("retry_count") + F.when(ok, 0).otherwise(1)})

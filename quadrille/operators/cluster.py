@@ -50,17 +50,31 @@ def bray_curtis(x: np.ndarray, y: np.ndarray, least: int, weights: np.ndarray |
     return np.where(shared >= least, np.where(den > 0, num / np.where(den > 0, den, 1), 0), np.inf)
 
 
-def assign(samples: DataFrame, centres: np.ndarray, least: int = 2, weights: np.ndarray | None = None, features: str = "x") -> DataFrame:
-    """KM08, SM02: ``samples`` with label (least index wins ties, -1 without any), distance, and the second nearest label."""
-    shared = samples.sparkSession.sparkContext.broadcast((centres, weights))
+def _haversine(lon: np.ndarray, lat: np.ndarray, places: np.ndarray) -> np.ndarray:
+    x, y, u, v = np.radians(lon)[:, None], np.radians(lat)[:, None], *np.radians(places).T[:, None, :]
+    h = np.sin((v - y) / 2) ** 2 + np.cos(y) * np.cos(v) * np.sin((u - x) / 2) ** 2
+    return 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
+
+
+def assign(samples: DataFrame, centres: np.ndarray, least: int = 2, weights: np.ndarray | None = None, features: str = "x", places: np.ndarray | None = None, spatial: float = 0.3) -> DataFrame:
+    """KM08, SM02: ``samples`` with label (least index wins ties, -1 without any), distance, and the second nearest label.
+
+    With ``places`` (lon, lat) of the centres, samples have lon and lat too and ``spatial`` of the distance is the great
+    circle's in 20,000 km, where the features have a distance at all.
+    """
+    shared = samples.sparkSession.sparkContext.broadcast((centres, weights, places))
     schema = T.StructType([*samples.schema.fields, T.StructField("label", T.IntegerType()), T.StructField("distance", T.DoubleType()), T.StructField("second", T.IntegerType())])
     at, names = samples.columns.index(features), [f.name for f in schema]
+    lon, lat = (samples.columns.index(c) for c in ("lon", "lat")) if places is not None else (0, 0)
 
     def run(batches):
-        model, w = shared.value
+        model, w, where = shared.value
         for batch in batches:
             x = _matrix(batch.column(at), model.shape[1]) if batch.num_rows else np.zeros((0, model.shape[1]))
             d = bray_curtis(x, model, least, w)
+            if where is not None:
+                km = _haversine(*(batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (lon, lat)), where)
+                d = np.where(np.isfinite(d), (1 - spatial) * d + spatial * km / 20_000, np.inf)
             order = np.argsort(d, axis=1, kind="stable")[:, :2]
             near = d[np.arange(len(d)), order[:, 0]]
             found = np.isfinite(near)

@@ -141,6 +141,68 @@ def output_shape(bounds: tuple[float, float, float, float], resolution: float) -
     return math.ceil((bounds[3] - bounds[1]) / resolution), math.ceil((bounds[2] - bounds[0]) / resolution)
 
 
+def _kernel(t: Column, method: str) -> Column:
+    """AG29: the weight at a distance of ``t`` target pixels (source pixels where the target is finer)."""
+    x = F.abs(t)
+    if method == "cubic":
+        return F.when(x <= 1, 1.5 * x**3 - 2.5 * x**2 + 1).when(x < 2, -0.5 * x**3 + 2.5 * x**2 - 4 * x + 2).otherwise(0.0)
+    if method == "cubicspline":
+        return F.when(x < 1, (4 - 6 * x**2 + 3 * x**3) / 6).when(x < 2, (2 - x) ** 3 / 6).otherwise(0.0)
+    if method == "lanczos":
+        return F.when(x < 1e-9, 1.0).when(x < 3, 3 * F.sin(math.pi * x) * F.sin(math.pi * x / 3) / (math.pi * x) ** 2).otherwise(0.0)
+    raise ValueError(f"no kernel {method!r}")
+
+
+def warped(pixels: DataFrame, source: tuple[int, int], target: tuple[int, int], method: str = "cubic") -> DataFrame:
+    """AG29: (target_row, target_col, value) by a cubic, cubic B-spline or Lanczos (three lobes) kernel over pixel centres.
+
+    Where the target is coarser the kernel is as many times wider. Pixels that are missing or outside take no part, and
+    the weights of the others are shared out; NULL where they come to nothing.
+    """
+    lobes = 3 if method == "lanczos" else 2
+    out = pixels.where(F.col("value").isNotNull() & ~F.isnan("value")).select("row_idx", "col_idx", "value")
+    for c, n, m in (("row", source[0], target[0]), ("col", source[1], target[1])):
+        ratio = n / m
+        wide = max(ratio, 1.0)
+        centre = F.col(f"{c}_idx") + 0.5
+        first, last = F.ceil((centre - lobes * wide) / ratio - 0.5), F.floor((centre + lobes * wide) / ratio - 0.5)
+        places = F.sequence(F.greatest(first, F.lit(0)).cast("int"), F.least(last, F.lit(m - 1)).cast("int"))
+        out = out.withColumn(f"target_{c}", F.explode(places)).withColumn(f"__{c}", _kernel((centre - (F.col(f"target_{c}") + 0.5) * ratio) / wide, method))
+    w = F.col("__row") * F.col("__col")
+    return out.where(w != 0).groupBy("target_row", "target_col").agg((F.sum(w * F.col("value")) / F.when(F.abs(F.sum(w)) > 1e-9, F.sum(w))).alias("value"))
+
+
+#: RE06: fixed values of the reference: scales (target over source) at which a method is suitable, how well it interpolates, and confidence by scale.
+SUITABLE = {"nearest": (0.0, math.inf), "bilinear": (0.1, math.inf), "bicubic": (0.1, math.inf), "lanczos": (0.5, math.inf), "average": (0.0, 1.0), "mode": (0.0, 1.0)}
+ACCURACY = {"nearest": 0.6, "bilinear": 0.8, "bicubic": 0.9}
+SPATIAL = ((0.8, 1.2, 1.0), (0.5, 2.0, 0.8), (0.1, 5.0, 0.6))
+CASTS = {"same": 1.0, "safe": 0.9, "unsafe": 0.7}
+
+
+def method_report(requests: DataFrame) -> DataFrame:
+    """RE06: requests (scale_y, scale_x, method, categorical, cast) with whether the method suits, the one to take instead, confidence, loss and risk of aliasing.
+
+    A method suits where both scales are above its least (any, for the least 0) and up to its greatest one; methods
+    without limits always do.
+    """
+    both = lambda f: f(F.col("scale_y")) & f(F.col("scale_x"))
+    suits, accuracy = F.lit(True), F.lit(0.7)
+    for name, (low, high) in SUITABLE.items():
+        fits = both(lambda s, low=low, high=high: (s > low if low else F.lit(True)) & (s <= high if high < math.inf else F.lit(True)))
+        suits = F.when(F.col("method") == name, fits).otherwise(suits)
+    for name, value in ACCURACY.items():
+        accuracy = F.when(F.col("method") == name, value).otherwise(accuracy)
+    scale = (F.col("scale_x") + F.col("scale_y")) / 2
+    spatial, data = F.lit(0.3), F.lit(0.7)
+    for low, high, value in reversed(SPATIAL):
+        spatial = F.when(scale.between(low, high), value).otherwise(spatial)
+    for name, value in CASTS.items():
+        data = F.when(F.col("cast") == name, value).otherwise(data)
+    best = F.when(F.col("categorical"), "nearest").when(scale > 2, "bicubic").when(scale < 0.5, "average").otherwise("bilinear")
+    risk = F.when((scale < 0.5) & ~F.col("method").isin("average", "mode"), 0.7).otherwise(0.1)
+    return requests.withColumns({"suitable": suits, "recommended": best, "confidence": F.cbrt(spatial * data * F.when(suits, 1.0).otherwise(0.6)), "information_loss": F.when(scale < 1, 1 - scale).otherwise(0.1), "aliasing_risk": risk, "accuracy": accuracy})
+
+
 def strategy_for(kind: str) -> str:
     """RE07."""
     return {"richness": "sum", "continuous": "average", "categorical": "majority"}.get(kind, "nearest")

@@ -101,7 +101,6 @@ def _(t):
 
 
 @query("km08_assign", f"SELECT id, CAST(label AS INT) AS label, round_even(distance, 6) AS distance FROM ({_ASSIGN})", s=i.SAMPLE)
-@query("sm02_best_matching_unit", f"SELECT id, CAST(label AS INT) AS label, round_even(distance, 6) AS distance FROM ({_ASSIGN})", s=i.SAMPLE)
 def _(t):
     return _r(k.assign(_samples(t), CENTRES).select("id", "label", "distance"), "distance")
 

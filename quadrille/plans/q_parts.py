@@ -480,6 +480,59 @@ def _(t):
     return LinearRegressionModel.load(path).transform(rows).select("id", (F.rint(F.col("prediction") * 1e4) / 1e4).alias("prediction"))
 
 
+_PLACES = ((-100.0, 40.0), (0.0, 0.0), (120.0, -30.0))
+_AT = " WHEN ".join(f"{n} THEN 2 * 6371.0 * asin(sqrt(least(pow(sin(radians({b} - lat) / 2), 2) + cos(radians(lat)) * cos(radians({b})) * pow(sin(radians({a} - lon) / 2), 2), 1.0)))" for n, (a, b) in enumerate(_PLACES))
+
+
+@query("sm02_best_matching_unit", f"SELECT id, CAST(CASE WHEN v >= 2 THEN k ELSE -1 END AS INT) AS label, CASE WHEN v >= 2 THEN round_even(d, 6) END AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, k) AS n FROM (SELECT id, k, 0.7 * ({qa._NUM}) / ({qa._DEN}) + 0.3 * (CASE k WHEN {_AT} END) / 20000 AS d, {qa._NV} AS v FROM s JOIN p USING (id), {qa._C})) WHERE n = 1", s=i.SAMPLE, p=i.POINT)
+def _(t):
+    rows = qa._samples(t).join(t.view(i.POINT).select("id", "lon", "lat"), "id")
+    return _r(k.assign(rows, qa.CENTRES, places=np.array(_PLACES)).select("id", "label", "distance"), "distance")
+
+
+_T = "abs({0}_idx + 0.5 - (target_{0} + 0.5) * 4) / 4"
+_KERNELS = {
+    "cubic": "CASE WHEN {0} <= 1 THEN 1.5 * pow({0}, 3) - 2.5 * pow({0}, 2) + 1 WHEN {0} < 2 THEN -0.5 * pow({0}, 3) + 2.5 * pow({0}, 2) - 4 * {0} + 2 ELSE 0 END",
+    "cubicspline": "CASE WHEN {0} < 1 THEN (4 - 6 * pow({0}, 2) + 3 * pow({0}, 3)) / 6 WHEN {0} < 2 THEN pow(2 - {0}, 3) / 6 ELSE 0 END",
+    "lanczos": "CASE WHEN {0} < 1e-9 THEN 1 WHEN {0} < 3 THEN 3 * sin(pi() * {0}) * sin(pi() * {0} / 3) / pow(pi() * {0}, 2) ELSE 0 END",
+}
+_WARP = "SELECT '{0}' AS method, target_row, target_col, round_even(sum(a * b * value) / sum(a * b), 6) AS value FROM (SELECT CAST(r AS INT) AS target_row, CAST(c AS INT) AS target_col, value, {1} AS a, {2} AS b FROM (SELECT *, r AS target_row, c AS target_col FROM p, range(16) x(r), range(16) y(c))) WHERE a <> 0 AND b <> 0 GROUP BY ALL"
+
+
+@query("ag29_warp_kernels", " UNION ALL ".join(_WARP.format(n, x.format(_T.format("row")), x.format(_T.format("col"))) for n, x in _KERNELS.items()), p=i.PIXEL)
+def _(t):
+    out = None
+    for method in _KERNELS:
+        one = r.warped(t.view(i.PIXEL), (64, 64), (16, 16), method).withColumn("method", F.lit(method))
+        out = one if out is None else out.unionByName(one)
+    return _r(out, "value")
+
+
+_REQUEST = "SELECT s_suppkey AS id, CAST(1 + s_suppkey % 13 AS DOUBLE) / 4 AS scale_y, CAST(1 + s_suppkey % 7 AS DOUBLE) / 8 AS scale_x, CASE s_suppkey % 6 WHEN 0 THEN 'nearest' WHEN 1 THEN 'bilinear' WHEN 2 THEN 'bicubic' WHEN 3 THEN 'lanczos' WHEN 4 THEN 'average' ELSE 'sum' END AS method, s_suppkey % 5 = 0 AS categorical, CASE s_suppkey % 3 WHEN 0 THEN 'same' WHEN 1 THEN 'safe' ELSE 'unsafe' END AS cast FROM {supplier}"
+_SUITS = "CASE method WHEN 'bilinear' THEN scale_y > 0.1 AND scale_x > 0.1 WHEN 'bicubic' THEN scale_y > 0.1 AND scale_x > 0.1 WHEN 'lanczos' THEN scale_y > 0.5 AND scale_x > 0.5 WHEN 'average' THEN scale_y <= 1 AND scale_x <= 1 ELSE true END"
+
+
+@query("re06_method_report", f"SELECT id, {_SUITS} AS suitable, CASE WHEN categorical THEN 'nearest' WHEN s > 2 THEN 'bicubic' WHEN s < 0.5 THEN 'average' ELSE 'bilinear' END AS recommended, round_even(pow(CASE WHEN s BETWEEN 0.8 AND 1.2 THEN 1.0 WHEN s BETWEEN 0.5 AND 2 THEN 0.8 WHEN s BETWEEN 0.1 AND 5 THEN 0.6 ELSE 0.3 END * CASE \"cast\" WHEN 'same' THEN 1.0 WHEN 'safe' THEN 0.9 ELSE 0.7 END * CASE WHEN {_SUITS} THEN 1.0 ELSE 0.6 END, 1 / 3.0), 6) AS confidence, CASE WHEN s < 1 THEN 1 - s ELSE 0.1 END AS information_loss, CASE WHEN s < 0.5 AND method <> 'average' THEN 0.7 ELSE 0.1 END AS aliasing_risk, CASE method WHEN 'nearest' THEN 0.6 WHEN 'bilinear' THEN 0.8 WHEN 'bicubic' THEN 0.9 ELSE 0.7 END AS accuracy FROM (SELECT *, (scale_x + scale_y) / 2 AS s FROM r)", r=_REQUEST.replace("AS cast", 'AS "cast"'))
+def _(t):
+    return _r(r.method_report(t.view(_REQUEST)), "confidence").drop("scale_y", "scale_x", "method", "categorical", "cast")
+
+
+_TESTS = "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 4 = 0 THEN concat('TEST_', CAST(o_orderkey AS STRING)) WHEN o_orderkey % 4 = 1 THEN 'run' ELSE NULL END AS name, o_orderdate AS created_at FROM {orders}"
+
+
+@query("mu14_test_rows", "SELECT id FROM x WHERE NOT (coalesce(name, '') LIKE 'TEST\\_%' ESCAPE '\\' AND created_at > TIMESTAMP '1995-01-01 12:00:00' - INTERVAL 48 HOUR)", x=_TESTS)
+def _(t):
+    return ch.without_test_rows(t.view(_TESTS), F.lit("1995-01-01 12:00:00").cast("timestamp"), 48).select("id")
+
+
+_FAILURES = "SELECT event_id AS at, concat('stage', CAST(user_id % 9 AS STRING)) AS stage, CASE event_id % 4 WHEN 0 THEN 'Connection lost' WHEN 1 THEN 'validation failed' WHEN 2 THEN 'broken' ELSE NULL END AS message FROM {events}"
+
+
+@query("ex14_recovery_plan", "SELECT \"at\", stage, n AS attempt, strategy, CASE WHEN strategy = 'retry' THEN CASE n WHEN 1 THEN 30 ELSE 60 END END AS delay FROM (SELECT *, CASE WHEN message = 'Connection lost' THEN 'retry' WHEN message = 'validation failed' AND stage IN ('stage3', 'stage4') THEN 'skip' WHEN n > 3 THEN 'abort' ELSE 'retry' END AS strategy FROM (SELECT *, row_number() OVER (PARTITION BY stage ORDER BY \"at\") AS n FROM f))", f=_FAILURES.replace("AS at", 'AS "at"'))
+def _(t):
+    return ch.recovery_plan(t.view(_FAILURES), ("stage3", "stage4")).drop("message")
+
+
 # Components.
 
 
