@@ -228,18 +228,23 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
                 leaves[mine] = _leaf_of(_vectors(batch.column("v").take(pa.array(mine)), len(mine)), splits[dim])
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaves)], ["id", "v", "dim", "leaf"])
 
-    leaves = stored(rows.mapInArrow(placed, "id long, v array<double>, dim long, leaf long"), "vectors")
-    parts = leaves.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).alias("parts"))
-    many = bounded(stored(parts.where("parts > 1"), "large"))
-    dealt = leaves.join(many, ["dim", "leaf"], "left").withColumn("shard", F.col("leaf") + F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0).cast("long")) * (1 << 32)).drop("leaf", "parts")
+    whole_tables = all(total <= shard_rows for total in totals.values())  # a length's vectors are one shard: nothing to deal
+    leaves = None if whole_tables else stored(rows.mapInArrow(placed, "id long, v array<double>, dim long, leaf long"), "vectors")
+    if whole_tables:
+        dealt = rows.withColumn("shard", F.lit(0).cast("long"))
+    else:
+        parts = leaves.groupBy("dim", "leaf").agg(F.ceil(F.count(F.lit(1)) / F.lit(shard_rows)).alias("parts"))
+        many = bounded(stored(parts.where("parts > 1"), "large"))
+        dealt = leaves.join(many, ["dim", "leaf"], "left").withColumn("shard", F.col("leaf") + F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0).cast("long")) * (1 << 32)).drop("leaf", "parts")
     schema = "dim long, shard long, id long, v array<double>, at long, low array<double>, high array<double>"
     trees = stored(dealt.select("dim", "shard", "id", "v").groupBy("dim", "shard").applyInArrow(lambda t: _arranged(t, leaf), schema), "trees")
-    drop_stored(leaves)
+    if leaves is not None:
+        drop_stored(leaves)
 
     heads = trees.where("at = 0").select("dim", "shard").collect()
     shards = {dim: np.array(sorted(r.shard for r in heads if r.dim == dim), np.int64) for dim in {r.dim for r in heads}}
     boxes = {}
-    if len(heads) <= max_boxes:
+    if len(shards) < len(heads) <= max_boxes:
         found = {(r.dim, r.shard): (r.low, r.high) for r in trees.where("at = 0").select("dim", "shard", "low", "high").collect()}
         boxes = {dim: tuple(np.array([found[dim, s][side] for s in own]) for side in (0, 1)) for dim, own in shards.items()}
     sent = vectors.sparkSession.sparkContext.broadcast((boxes, shards))
@@ -261,11 +266,16 @@ def top_k(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
 
     seeded = stored(routed(queries.withColumns({"floor": F.lit(None).cast("long"), "seed": F.lit(None).cast("long")}), True), "seeded")
     first = stored(searched(seeded), "first")
+    if len(shards) == len(heads):  # no other shard to ask
+        return _best(first, k)
     floors = first.groupBy("query_id").agg(F.count("score").alias("n"), F.min("score").alias("least")).where(F.col("n") >= k).select(F.col("query_id").alias("id"), "least")
     asked = seeded.join(floors, "id", "left").select("dim", "id", "v", F.col("least").alias("floor"), "seed")
     rest = stored(routed(asked, False), "routed")
-    found = first.unionByName(searched(rest))
-    # Each shard gives at most k rows for a query, all but the seeded ones above the propagated bound.
+    return _best(first.unionByName(searched(rest)), k)
+
+
+def _best(found: DataFrame, k: int) -> DataFrame:
+    """The best k of all shards; each shard gives at most k rows for a query, all but the seeded ones above the propagated bound."""
     packed = found.select("query_id", F.struct((-F.col("score")).alias("s"), F.col("vec_id").alias("vec_id"), F.col("score").alias("score")).alias("r"))
     best = packed.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list("r")), 1, k).alias("r"))
     return best.select("query_id", F.posexplode("r").alias("at", "r")).select("query_id", (F.col("at") + 1).alias("rank"), F.col("r.vec_id").alias("vec_id"), F.col("r.score").alias("score"))
