@@ -37,8 +37,8 @@ def _matrix(column, width: int) -> np.ndarray:
     return flat.reshape(-1, width)
 
 
-def bray_curtis(x: np.ndarray, y: np.ndarray, least: int, weights: np.ndarray | None = None) -> np.ndarray:
-    """Partial distances, samples x centres; infinite with fewer than ``least`` shared features."""
+def bray_curtis(x: np.ndarray, y: np.ndarray, least: int, weights: np.ndarray | None = None, zero: float = 0.0) -> np.ndarray:
+    """Partial distances, samples x centres; infinite with fewer than ``least`` shared features, ``zero`` where all of them are 0 (maps have no distance there)."""
     w = np.ones(x.shape[1]) if weights is None else weights
     num, den, shared = (np.zeros((len(x), len(y))) for _ in range(3))
     for k in range(x.shape[1]):
@@ -47,7 +47,7 @@ def bray_curtis(x: np.ndarray, y: np.ndarray, least: int, weights: np.ndarray |
         num += np.where(both, w[k] * np.abs(a - b), 0)
         den += np.where(both, w[k] * (a + b), 0)
         shared += both
-    return np.where(shared >= least, np.where(den > 0, num / np.where(den > 0, den, 1), 0), np.inf)
+    return np.where(shared >= least, np.where(den > 0, num / np.where(den > 0, den, 1), zero), np.inf)
 
 
 def _haversine(lon: np.ndarray, lat: np.ndarray, places: np.ndarray) -> np.ndarray:
@@ -56,7 +56,7 @@ def _haversine(lon: np.ndarray, lat: np.ndarray, places: np.ndarray) -> np.ndarr
     return 2 * 6371.0 * np.arcsin(np.sqrt(np.clip(h, 0, 1)))
 
 
-def assign(samples: DataFrame, centres: np.ndarray, least: int = 2, weights: np.ndarray | None = None, features: str = "x", places: np.ndarray | None = None, spatial: float = 0.3) -> DataFrame:
+def assign(samples: DataFrame, centres: np.ndarray, least: int = 2, weights: np.ndarray | None = None, features: str = "x", places: np.ndarray | None = None, spatial: float = 0.3, zero: float = 0.0) -> DataFrame:
     """KM08, SM02: ``samples`` with label (least index wins ties, -1 without any), distance, and the second nearest label.
 
     With ``places`` (lon, lat) of the centres, samples have lon and lat too and ``spatial`` of the distance is the great
@@ -71,7 +71,7 @@ def assign(samples: DataFrame, centres: np.ndarray, least: int = 2, weights: np.
         model, w, where = shared.value
         for batch in batches:
             x = _matrix(batch.column(at), model.shape[1]) if batch.num_rows else np.zeros((0, model.shape[1]))
-            d = bray_curtis(x, model, least, w)
+            d = bray_curtis(x, model, least, w, zero)
             if where is not None:
                 km = _haversine(*(batch.column(c).to_numpy(zero_copy_only=False).astype(float) for c in (lon, lat)), where)
                 d = np.where(np.isfinite(d), (1 - spatial) * d + spatial * km / 20_000, np.inf)
@@ -192,7 +192,7 @@ def unit_sums(samples: DataFrame, neurons: np.ndarray, least: int = 2, features:
     """SM03, SM05: sums and counts of each feature by best unit, samples by unit, and the quantisation error, in one pass."""
     width = neurons.shape[1]
     sums, counts, hits, error, n = np.zeros(neurons.shape), np.zeros(neurons.shape), np.zeros(len(neurons)), 0.0, 0
-    rows = assign(samples, neurons, least, features=features).where("label >= 0").groupBy("label")
+    rows = assign(samples, neurons, least, features=features, zero=np.inf).where("label >= 0").groupBy("label")
     parts = [f(F.array(*(g(F.get(features, F.lit(k))) for k in range(width)))) for f, g in ((lambda x: x.alias("s"), F.sum), (lambda x: x.alias("n"), F.count))]
     for r in rows.agg(*parts, F.count(F.lit(1)).alias("hits"), F.sum("distance").alias("d")).collect():
         sums[r.label], counts[r.label], hits[r.label] = [v or 0.0 for v in r.s], r.n, r.hits

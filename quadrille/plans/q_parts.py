@@ -487,7 +487,7 @@ _AT = " WHEN ".join(f"{n} THEN 2 * 6371.0 * asin(sqrt(least(pow(sin(radians({b}
 @query("sm02_best_matching_unit", f"SELECT id, CAST(CASE WHEN v >= 2 THEN k ELSE -1 END AS INT) AS label, CASE WHEN v >= 2 THEN round_even(d, 6) END AS distance FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, k) AS n FROM (SELECT id, k, 0.7 * ({qa._NUM}) / ({qa._DEN}) + 0.3 * (CASE k WHEN {_AT} END) / 20000 AS d, {qa._NV} AS v FROM s JOIN p USING (id), {qa._C})) WHERE n = 1", s=i.SAMPLE, p=i.POINT)
 def _(t):
     rows = qa._samples(t).join(t.view(i.POINT).select("id", "lon", "lat"), "id")
-    return _r(k.assign(rows, qa.CENTRES, places=np.array(_PLACES)).select("id", "label", "distance"), "distance")
+    return _r(k.assign(rows, qa.CENTRES, places=np.array(_PLACES), zero=np.inf).select("id", "label", "distance"), "distance")
 
 
 _T = "abs({0}_idx + 0.5 - (target_{0} + 0.5) * 4) / 4"

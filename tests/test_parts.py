@@ -130,6 +130,10 @@ def test_variable_rate_training(samples):
     assert np.allclose(one, start + 0.25 * (num / den - start))
     assert cluster.train_geo_som(df, (2, 2), epochs=30, coherence=lambda n: 0.9)[2] == "coherence"
     assert cluster.importance(neurons).sum() == pytest.approx(1)
+    # Maps have no distance between a sample and a unit that are both 0; clusters have one of 0.
+    nothing = df.limit(1).select("id", F.array(F.lit(0.0), F.lit(0.0)).alias("x"))
+    zeros = np.zeros((2, 2))
+    assert cluster.unit_sums(nothing, zeros)[2].sum() == 0 and cluster.assign(nothing, zeros).first().distance == 0.0
 
 
 def test_legacy_maps(samples):
