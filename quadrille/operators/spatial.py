@@ -91,6 +91,12 @@ def buffer_excluded(train: DataFrame, test: DataFrame, km: float) -> DataFrame:
     return train.join(close, "id", "left_anti")
 
 
+def independence(train: DataFrame, test: DataFrame, km: float) -> DataFrame:
+    """SA06: whether every training point is at least ``km`` from every test point: (independent, closer, least), the pairs that are closer and the least distance of them."""
+    close = near_pairs(train, km, test).where(F.col("km") < km)
+    return close.agg((F.count(F.lit(1)) == 0).alias("independent"), F.count(F.lit(1)).alias("closer"), F.min("km").alias("least"))
+
+
 def nearest_reference(samples: DataFrame, references: DataFrame, distance) -> DataFrame:
     """JN17: the reference (ref, y) with the least distance to each sample (id, x); ties to the least ref, -1 where no distance is defined.
 

@@ -58,7 +58,6 @@ def _(t):
 
 
 @query("sp04_buffer_exclusion", f"SELECT id FROM p WHERE id % 5 <> 0 AND id NOT IN (SELECT a.id FROM p a JOIN p b ON a.id % 5 <> 0 AND b.id % 5 = 0 WHERE {HAV} <= 500)", p=i.SUPPLIERPOINT)
-@query("sa06_independence", f"SELECT id FROM p WHERE id % 5 <> 0 AND id NOT IN (SELECT a.id FROM p a JOIN p b ON a.id % 5 <> 0 AND b.id % 5 = 0 WHERE {HAV} <= 500)", p=i.SUPPLIERPOINT)
 def _(t):
     p = t.view(i.SUPPLIERPOINT)
     return sa.buffer_excluded(p.where("id % 5 <> 0"), p.where("id % 5 = 0"), 500.0).select("id")

@@ -94,7 +94,6 @@ def _(t):
 
 
 @query("fn17_grid_index", "SELECT row_idx * 64 + col_idx AS cell_index, 'cell_' || (row_idx * 64 + col_idx) AS cell_id, value FROM p", p=i.PIXEL)
-@query("snk09_experiment_rows", "SELECT row_idx * 64 + col_idx AS cell_index, 'cell_' || (row_idx * 64 + col_idx) AS cell_id, value FROM p", p=i.PIXEL)
 def _(t):
     index = F.col("row_idx") * 64 + F.col("col_idx")
     return t.view(i.PIXEL).select(index.alias("cell_index"), F.concat(F.lit("cell_"), index.cast("string")).alias("cell_id"), "value")
@@ -184,10 +183,19 @@ def _(t):
 _MAP = "SELECT row_idx, col_idx, value, CAST(a AS INT) AS target_row, CAST(b AS INT) AS target_col, (least(row_idx + 1, (a + 1) * 2.5) - greatest(row_idx, a * 2.5)) * (least(col_idx + 1, (b + 1) * 2.5) - greatest(col_idx, b * 2.5)) AS weight FROM p, range(26) r(a), range(26) s(b) WHERE a * 2.5 < row_idx + 1 AND (a + 1) * 2.5 > row_idx AND b * 2.5 < col_idx + 1 AND (b + 1) * 2.5 > col_idx"
 
 
-@query("ag25_area_weighted", f"SELECT target_row, target_col, round_even(sum(value * weight) / sum(weight), 6) AS value FROM ({_MAP}) GROUP BY 1, 2", p=i.PIXEL_N)
-@query("ag26_average", f"SELECT target_row, target_col, round_even(coalesce(sum(value * weight) / sum(weight), 0), 6) AS value FROM ({_MAP}) GROUP BY 1, 2", p=i.PIXEL_N)
+#: Pixels of which some have -9 for nodata.
+HOLES = f"SELECT row_idx, col_idx, CASE WHEN value = 0 THEN -9.0 ELSE value END AS value FROM ({i.PIXEL_N})"
+_KNOWN = "sum(value * weight) FILTER (value <> -9) / sum(weight) FILTER (value <> -9)"
+
+
+@query("ag25_area_weighted", f"SELECT target_row, target_col, round_even(coalesce({_KNOWN}, -9), 6) AS value FROM ({_MAP}) GROUP BY 1, 2", p=HOLES)
+def _(t):
+    return _r(r.weighted_mean(r.area_mapping(t.view(HOLES), 2.5), -9.0), "value")
+
+
+@query("ag26_average", f"SELECT target_row, target_col, round_even(coalesce({_KNOWN}, 0), 6) AS value FROM ({_MAP}) GROUP BY 1, 2", p=HOLES)
 def _(t):
-    return _r(r.weighted_mean(r.area_mapping(t.view(i.PIXEL_N), 2.5)), "value")
+    return _r(r.weighted_mean(r.area_mapping(t.view(HOLES), 2.5), -9.0, 0.0), "value")
 
 
 @query("jn13_area_mapping", f"SELECT target_row, target_col, count(*) AS sources, round_even(sum(weight), 6) AS weight FROM ({_MAP}) GROUP BY 1, 2", p=i.PIXEL_N)

@@ -12,6 +12,7 @@ from quadrille.operators import merge as m
 from quadrille.operators import models as mr
 from quadrille.operators import more, pairs
 from quadrille.operators import resample as r
+from quadrille.operators import spatial as sa
 from quadrille.operators import splits as sp
 from quadrille.operators import validation as va
 from quadrille.plans import inputs as i
@@ -325,6 +326,27 @@ def _(t):
     return t.spark.read.parquet(f"{out}.dropped").agg(F.sum("kept").alias("kept"), F.sum("dropped").alias("dropped")).crossJoin(written)
 
 
+@query("snk09_experiment_rows", "SELECT 'cell_' || (row_idx * 64 + col_idx) AS cell_id, -32 + (col_idx + 0.5) AS x, 32 - (row_idx + 0.5) AS y, a.value AS accepted, r.value AS returned FROM a FULL JOIN r USING (row_idx, col_idx) WHERE -32 + (col_idx + 0.5) BETWEEN -10 AND 20.5 AND 32 - (row_idx + 0.5) BETWEEN -20.5 AND 8", a=i.PIXEL_A, r=i.PIXEL_R)
+def _(t):
+    path = scratch(t.spark, "experiment") + ".csv"
+    rows = io.experiment_rows({"accepted": t.view(i.PIXEL_A), "returned": t.view(i.PIXEL_R)}, **AT, width=64, bounds=(-10.0, -20.5, 20.5, 8.0))
+    io.write_csv(rows, path, gzip=True)
+    return io.read_table(t.spark, path, "cell_id string, x double, y double, accepted double, returned double")
+
+
+_CLOSE = f"SELECT {qa.HAV} AS km FROM p a JOIN p b ON a.id % 5 <> 0 AND b.id % 5 = 0 WHERE {qa.HAV} < {{0}}"
+
+
+@query("sa06_independence", " UNION ALL ".join(f"SELECT {km} AS distance, count(*) = 0 AS independent, count(*) AS closer, round_even(min(km), 6) AS least FROM ({_CLOSE.format(km)})" for km in (1, 500)), p=i.SUPPLIERPOINT)
+def _(t):
+    p = t.view(i.SUPPLIERPOINT)
+    out = None
+    for km in (1, 500):
+        one = sa.independence(p.where("id % 5 <> 0"), p.where("id % 5 = 0"), float(km)).withColumn("distance", F.lit(km))
+        out = one if out is None else out.unionByName(one)
+    return _r(out, "least")
+
+
 # Updates and progress.
 
 _LEVELS = "SELECT node_id, parent_id, CASE substr(node_id, 1, 1) WHEN 'r' THEN 'phase' WHEN 'n' THEN 'step' ELSE 'task' END AS level, CAST(CASE substr(node_id, 1, 1) WHEN 'r' THEN 5 WHEN 'n' THEN 40 ELSE 100 END AS BIGINT) AS total_units, CAST(progress AS BIGINT) AS completed_units FROM n"

@@ -99,6 +99,21 @@ def write_sidecar(df: DataFrame, path: str, extra: Mapping | None = None) -> Non
     df.agg(F.count(F.lit(1)).alias("rows")).select("rows", F.lit(body).alias("metadata")).coalesce(1).write.mode("overwrite").json(path)
 
 
+def experiment_rows(bands: Mapping[str, DataFrame], *, minx: float, maxy: float, resolution: float, width: int, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """SNK09: cell_id ``cell_<row * width + col>``, x, y of the pixel's centre and a column for each band of pixels (row_idx, col_idx, value), cut to bounds (minx, miny, maxx, maxy), both ends included.
+
+    One union and one aggregation by pixel, however many bands there are.
+    """
+    rows = None
+    for name, df in bands.items():
+        one = df.select("row_idx", "col_idx", F.lit(name).alias("band"), "value")
+        rows = one if rows is None else rows.unionByName(one)
+    wide = rows.groupBy("row_idx", "col_idx").agg(*(F.max(F.when(F.col("band") == n, F.col("value"))).alias(n) for n in bands))
+    cell = F.concat(F.lit("cell_"), (F.col("row_idx") * width + F.col("col_idx")).cast("string"))
+    out = wide.select(cell.alias("cell_id"), (minx + (F.col("col_idx") + 0.5) * resolution).alias("x"), (maxy - (F.col("row_idx") + 0.5) * resolution).alias("y"), *bands)
+    return out if bounds is None else out.where(F.col("x").between(bounds[0], bounds[2]) & F.col("y").between(bounds[1], bounds[3]))
+
+
 #: SRC11: scale factors of the climate bands, fixed values of the reference.
 CLIMATE_SCALES = {"bio01": 0.1, "bio04": 0.01, "bio12": 1.0}
 
