@@ -590,3 +590,65 @@ def _(t):
     now = time.time()
     rows = [("missing", fresh(t.spark, missing, now)), ("written", fresh(t.spark, path, now)), ("written, a day", fresh(t.spark, path, now, 1)), ("old, a day", fresh(t.spark, path, now + 2 * 86400, 1)), ("half written", fresh(t.spark, half, now))]
     return t.spark.createDataFrame(rows, "stage string, skip boolean")
+
+
+@query("ex08_batch_processor", " UNION ALL ".join(f"SELECT {n} AS place, '{name}' AS stage, '{state}' AS state, {rows} AS rows FROM events" for n, (name, state, rows) in enumerate((("raw", "again", "0 * count(*)"), ("raw", "made", "count(*)"), ("large", "made", "count(*) FILTER (value > 50)"), ("raw", "taken up", "count(*)"), ("large", "made", "count(*) FILTER (value > 50)")))))
+def _(t):
+    from quadrille.plans.stages import Stages
+
+    seen, tries = [], []
+    stages = Stages(t.spark, scratch(t.spark, "stages"), progress=lambda *x: seen.append((len(seen), *x)))
+
+    def raw():
+        tries.append(1)
+        if len(tries) == 1:
+            raise OSError("connection lost")
+        return t.events.select("event_id", "value")
+
+    for again in (False, True):
+        rows = stages.run("raw", raw)
+        stages.run("large", lambda rows=rows: rows.where("value > 50"))
+        if not again:
+            stages.clear("large")
+    return t.spark.createDataFrame(seen, "place int, stage string, state string, rows long")
+
+
+@query("ex09_tile_processor", "SELECT row_idx, col_idx, round_even(avg(v), 6) AS value FROM (SELECT p.row_idx, p.col_idx, q.value AS v FROM p JOIN p q ON abs(p.row_idx - q.row_idx) <= 1 AND abs(p.col_idx - q.col_idx) <= 1) GROUP BY 1, 2", p=i.PIXEL)
+def _(t):
+    from quadrille.plans.stages import tiled
+
+    def smoothed(x):
+        padded = np.pad(x, 1, constant_values=np.nan)
+        around = np.stack([padded[a : a + x.shape[0], b : b + x.shape[1]] for a in range(3) for b in range(3)])
+        n = (~np.isnan(around)).sum(axis=0)
+        return np.where(np.isnan(x), np.nan, np.nansum(around, axis=0) / np.maximum(n, 1))
+
+    return _r(tiled(t.view(i.PIXEL), 10, 1, smoothed, (64, 64)), "value")
+
+
+@query("ex10_checkpoints", "SELECT 'kept' AS stage, 1 AS made, count(*) AS rows FROM region UNION ALL SELECT 'damaged', 2, count(*) FROM nation")
+def _(t):
+    from quadrille.plans.stages import Stages
+
+    folder, made = scratch(t.spark, "checkpoints"), {"kept": 0, "damaged": 0}
+
+    def make(name, df):
+        made[name] += 1
+        return df
+
+    for _ in range(2):
+        stages = Stages(t.spark, folder)
+        out = [(n, df.count()) for n, df in (("kept", stages.run("kept", lambda: make("kept", t.region))), ("damaged", stages.run("damaged", lambda: make("damaged", t.nation))))]
+        if made["damaged"] == 1:
+            t.nation.limit(1).write.mode("overwrite").parquet(f"{folder}/damaged")
+    return t.spark.createDataFrame([(n, made[n], rows) for n, rows in out], "stage string, made int, rows long")
+
+
+@query("ex15_cache_eviction", "SELECT * FROM (VALUES ('a', true), ('b', false), ('c', true)) v(key, held)")
+def _(t):
+    cache = stores.ResultCache(t.spark, scratch(t.spark, "lru"))
+    for at, key in enumerate("abc"):
+        cache.put(key, t.region, at)
+    cache.get("a", 5)  # so b is the one read least recently
+    cache.evict(2 * t.region.count(), 6)
+    return t.spark.createDataFrame([(key, cache.get(key, 7) is not None) for key in "abc"], "key string, held boolean")

@@ -348,3 +348,39 @@ def test_components(spark, tmp_path):
     with pytest.raises(ValueError):
         analyzer("none")
     assert analyzer("geo_som") is cluster.train_geo_som and not fresh(spark, f"{tmp_path}/nothing", 0.0)
+
+
+def test_stages_are_tried_again_or_fail(spark, tmp_path):
+    from quadrille.plans.stages import Stages
+
+    seen, tries = [], []
+    stages = Stages(spark, f"{tmp_path}/s", retries=2, progress=lambda *x: seen.append(x[:2]))
+
+    def broken(text):
+        tries.append(text)
+        raise OSError(text)
+
+    for text, times in (("timeout", 3), ("wrong column", 1)):
+        tries.clear()
+        with pytest.raises(OSError, match=text):
+            stages.run("a", lambda text=text: broken(text))
+        assert len(tries) == times
+    assert seen == [("a", "again"), ("a", "again"), ("a", "failed"), ("a", "failed")]
+    assert stages.run("a", lambda: spark.range(3)).count() == 3 and stages.run("a", lambda: broken("not asked")).count() == 3
+    stages.clear("a")
+    assert stages.run("a", lambda: spark.range(4)).count() == 4
+
+
+def test_tiles_fit_together_at_their_edges(spark):
+    from quadrille.plans.stages import tiled
+
+    rng = np.random.default_rng(1)
+    grid = rng.normal(size=(23, 17))
+    p = spark.createDataFrame([(r, c, float(grid[r, c])) for r in range(23) for c in range(17)], "row_idx int, col_idx int, value double")
+
+    def shifted(x):  # each pixel's right neighbour: wrong at a tile's edge without a halo
+        return np.concatenate([x[:, 1:], np.full((len(x), 1), np.nan)], axis=1)
+
+    got = {(r.row_idx, r.col_idx): r.value for r in tiled(p, 5, 1, shifted, (23, 17)).collect()}
+    assert got == {(r, c): grid[r, c + 1] for r in range(23) for c in range(16)}
+    assert tiled(p.limit(0), 5, 1, shifted, (23, 17)).count() == 0
