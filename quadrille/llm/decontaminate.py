@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.llm import text as tx
-from quadrille.llm.arrow import with_kernel
+from quadrille.llm.arrow import shielded, with_kernel
 from quadrille.llm.storage import stored
 
 SPAN = T.StructType([T.StructField(n, T.LongType()) for n in ("first_word", "after_word", "start", "end")])
@@ -94,6 +94,7 @@ class Automaton:
         return out
 
 
+@shielded("text")
 def decontaminate(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, text: str = "text", item_id: str = "item_id", item_text: str = "text", out: str = "decontamination", keep=None, max_chars: int = 16_000_000) -> DataFrame:
     """``docs`` and a struct ``out``: n_words, n_hit (words inside an occurrence of a window), items (ids as strings,
     sorted) and spans (maximal runs of hit words: word numbers, and byte offsets in the UTF-8 text).

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.arrow import with_kernel
+from quadrille.llm.arrow import shielded, with_kernel
 from quadrille.llm.quality import held_out
 from quadrille.llm.storage import bounded
 
@@ -87,6 +87,7 @@ class Classifier:
         return ranked[0][1], 1 / sum(weights), len(ranked) < 2 or ranked[1][0] - best >= self.margin * best
 
 
+@shielded("text")
 def with_language(docs: DataFrame, content: dict[str, bytes], *, text: str = "text", out: str = "detected", keep=None, max_languages: int = 1000, **settings) -> DataFrame:
     """``docs`` and a struct ``out``: language, score, accepted."""
     content = dict(sorted(content.items()))

@@ -19,6 +19,7 @@ that grows with their length. An empty table gives an empty result; a line on as
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quadrille.llm.arrow import shielded
 from quadrille.llm.storage import bounded, drop_stored, stored
 
 _TRIM = " \t\r\x0b\x0c"
@@ -57,6 +58,7 @@ def _once(docs: DataFrame, *, text: str, source: str) -> DataFrame:
     return keyed.join(bounded(copied), ["__t1", "__t2"], "left").withColumn("__site", F.coalesce("__one", "__own")).drop("__t1", "__t2", "__own", "__one")
 
 
+@shielded("text", "source", "doc_id")
 def dedup_lines(docs: DataFrame, *, sites: int = 8, once: bool = False, text: str = "text", source: str = "source", doc_id: str = "doc_id", out: str = "lines") -> DataFrame:
     """``docs`` without its boilerplate lines, and a struct ``out``: n_lines, n_removed."""
     names = [c for c in docs.columns if c != out]

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.llm import text as tx
-from quadrille.llm.arrow import with_kernel
+from quadrille.llm.arrow import shielded, with_kernel
 
 BITS, SCALE = 18, 24.0
 
@@ -123,6 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "quality", doc_id: s
     return np.frombuffer(bytes(model["weights"]), np.float32), model["bias"]
 
 
+@shielded("text")
 def with_quality(docs: DataFrame, model: tuple[np.ndarray, float], *, text: str = "text", out: str = "quality_score", keep=None) -> DataFrame:
     """``docs`` and the probability of label 1 of each whole text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -30,6 +30,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from quadrille.llm import text as tx
+from quadrille.llm.arrow import shielded
 from quadrille.llm.storage import drop_stored, stored
 
 GRAM = 128
@@ -370,6 +371,7 @@ def _without(texts, spans, keep_bytes: bool) -> list[tuple]:
     return out
 
 
+@shielded("doc_id", "text")
 def dedup_substrings(docs: DataFrame, *, length: int = 400, doc_id: str = "doc_id", text: str = "text", out: str = "dedup", keep=None, keep_bytes: bool = True, **settings) -> DataFrame:
     """``docs`` and a struct ``out``: n_bytes, n_removed, n_spans, kept_sha256 and the kept bytes."""
     spans = repeat_spans(docs, length=length, doc_id=doc_id, text=text, merge=True, **settings)

@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quadrille.llm import text as tx
-from quadrille.llm.arrow import with_kernel
+from quadrille.llm.arrow import shielded, with_kernel
 from quadrille.llm.quality import held_out
 from quadrille.llm.storage import bounded, drop_stored, stored
 
@@ -300,6 +300,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", doc_id: str
     return shared, w, tail
 
 
+@shielded("text")
 def with_toxicity(docs: DataFrame, fitted: tuple[Broadcast, np.ndarray, DataFrame | None] | None, *, text: str = "text", out: str = "toxicity", keep=None) -> DataFrame:
     """``docs`` and the probability that each whole text is toxic."""
     if fitted is None:

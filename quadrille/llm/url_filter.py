@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quadrille.llm.arrow import with_kernel
+from quadrille.llm.arrow import shielded, with_kernel
 
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 
@@ -83,6 +83,7 @@ def token_counts(urls: DataFrame, column: str, tokens: Iterable[str]) -> dict[st
     return {r[0]: r[1] for r in urls.select(F.explode(found).alias("token")).groupBy("token").count().collect()}
 
 
+@shielded("url")
 def url_filter(urls: DataFrame, *, rules: Sequence[tuple[str, str]] = RULES, words: Iterable[str] = (), default: str = "allow", url: str = "url", out: str = "judged", keep=None, max_rules: int = 200_000) -> DataFrame:
     """``urls`` and a struct ``out``: host, path, rule (the longest that fits), verdict, word (a blocked word it has)."""
     rules, names = sorted(set(rules)), [c for c in (keep if keep is not None else urls.columns) if c != out]
