@@ -65,3 +65,21 @@ def test_silhouette_meets_different_vectors(spark, seen):
         assert pairs.silhouette(_table(spark, rows)).first()[0] == pytest.approx(np.mean(scores))
     # Vectors with 3 labels each, not samples.
     assert seen[0] <= 3 * len(VECTORS) < 60
+
+
+def _check_summary(spark, seen, limit):
+    for repeats in (False, True):
+        rows = _rows(repeats)
+        want = {}
+        for i, own in _pairs(rows).items():
+            near = [d for _, _, d in own if d is not None and d <= limit]
+            want[i] = [len(near), *((min(near), np.mean(near), max(near)) if near else (None, None, None))]
+        got = {r.id: list(r)[1:] for r in pairs.distance_summary(_table(spark, rows), limit).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i] == [v if v is None else pytest.approx(v) for v in want[i]] for i in want)
+    assert seen[0] <= len(VECTORS) < 60
+    assert pairs.distance_summary(_table(spark, [(1, VECTORS[4], 0)]), limit).count() == 0
+
+
+def test_near_pairs_meet_as_different_vectors(spark, seen):
+    _check_summary(spark, seen, 0.3)
