@@ -83,3 +83,7 @@ def _check_summary(spark, seen, limit):
 
 def test_near_pairs_meet_as_different_vectors(spark, seen):
     _check_summary(spark, seen, 0.3)
+
+
+def test_all_pairs_meet_as_different_vectors(spark, seen):
+    _check_summary(spark, seen, 1.0)
