@@ -87,3 +87,16 @@ def test_near_pairs_meet_as_different_vectors(spark, seen):
 
 def test_all_pairs_meet_as_different_vectors(spark, seen):
     _check_summary(spark, seen, 1.0)
+
+
+def test_beta_preservation_meets_different_vectors(spark, seen):
+    for repeats in (False, True):
+        rows = _rows(repeats)
+        sums = {same: [d for own in _pairs(rows).values() for li, lj, d in own if (li == lj) == same and d is not None] for same in (True, False)}
+        w, b = np.mean(sums[True]), np.mean(sums[False])
+        assert pairs.beta_preservation(_table(spark, rows)).first()[0] == pytest.approx(max((b - w) / (b + w), 0))
+        turned = [(i, x, VECTORS.index(x) // 3) for i, x, _ in rows]
+        sums = {same: [d for own in _pairs(turned).values() for li, lj, d in own if (li == lj) == same and d is not None] for same in (True, False)}
+        w, b = np.mean(sums[True]), np.mean(sums[False])
+        assert pairs.beta_preservation(_table(spark, turned)).first()[0] == pytest.approx(max((b - w) / (b + w), 0))
+    assert seen[0] <= 3 * len(VECTORS) < 60
