@@ -44,13 +44,15 @@ def progress_detail(steps: DataFrame, now: Column) -> DataFrame:
     return steps.withColumns({"percent": share, "duration_seconds": seconds_between("started_at", F.coalesce(F.col("ended_at"), now))})
 
 
-def human_size(size: Column) -> Column:
-    """FN22: bytes, kB, MB, GB as pg_size_pretty says them."""
+def human_size(size: Column, last: str = "TB") -> Column:
+    """FN22: bytes, kB, MB, GB, TB as pg_size_pretty says them; what is larger stays in the unit ``last``."""
     out = None
     for limit, divisor, unit in ((10 * 1024, 1, "bytes"), (10 * 1024**2, 1024, "kB"), (10 * 1024**3, 1024**2, "MB"), (10 * 1024**4, 1024**3, "GB"), (None, 1024**4, "TB")):
         text = F.concat(F.floor(size / divisor + (0 if divisor == 1 else 0.5)).cast("string"), F.lit(f" {unit}"))
-        out = (F.when(size < limit, text) if out is None else out.when(size < limit, text)) if limit else out.otherwise(text)
-    return out
+        if unit == last:
+            return text if out is None else out.otherwise(text)
+        out = F.when(size < limit, text) if out is None else out.when(size < limit, text)
+    raise ValueError(f"no unit {last}")
 
 
 def export_summary(exports: DataFrame, now: Column) -> DataFrame:
