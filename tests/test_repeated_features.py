@@ -100,3 +100,72 @@ def test_beta_preservation_meets_different_vectors(spark, seen):
         w, b = np.mean(sums[True]), np.mean(sums[False])
         assert pairs.beta_preservation(_table(spark, turned)).first()[0] == pytest.approx(max((b - w) / (b + w), 0))
     assert seen[0] <= 3 * len(VECTORS) < 60
+
+
+@pytest.fixture
+def unmasked(monkeypatch):
+    """Fails where a pair looks for what either misses, though few different features are missing."""
+
+    def looks(*_):
+        raise AssertionError("each pair looks at what is missing")
+
+    monkeypatch.setattr(pairs, "bray_curtis", looks)
+
+
+def _kernel(monkeypatch, operator, *more):
+    """The operator's kernel."""
+    got = []
+
+    class Taken(Exception):
+        pass
+
+    def met(rows, kernel, *_, **__):
+        got.append(kernel)
+        raise Taken
+
+    class Frame:
+        """Any frame: all calls give it again."""
+
+        def __getattr__(self, _):
+            return lambda *a, **k: self
+
+        def __getitem__(self, _):
+            return self
+
+    monkeypatch.setattr(pairs, "met", met)
+    monkeypatch.setattr(pairs, "_classes", lambda *a: (Frame(), Frame(), False))
+    with pytest.raises(Taken):
+        operator(Frame(), *more)
+    return got[0]
+
+
+def _block(rows):
+    x = np.array([[np.nan if v is None else v for v in x] for x in rows], float)
+    return {"id": np.arange(len(x)), "x": x, "n": np.ones(len(x), int), "again": np.zeros(len(x), bool)}
+
+
+def _summary_unmasked(monkeypatch, limit):
+    kernel = _kernel(monkeypatch, pairs.distance_summary, limit)
+    a = _block(VECTORS)
+    got = kernel(a, a)
+    for i, x in enumerate(VECTORS):
+        near = [d for j, y in enumerate(VECTORS) if j != i and (d := _distance(x, y)) is not None and d <= limit]
+        at = list(got["id"]).index(i)
+        assert (got["others"][at], got["n"][at]) == (len(VECTORS) - 1, len(near))
+        assert got["s"][at] == pytest.approx(sum(near)) and got["low"][at] == min(near, default=np.inf) and got["high"][at] == max(near, default=0.0)
+
+
+def test_near_pairs_do_not_look_for_missing_features(spark, monkeypatch, unmasked):
+    _summary_unmasked(monkeypatch, 0.3)
+
+
+def test_many_ways_to_miss_features():
+    rng = np.random.default_rng(3)
+    x = rng.integers(0, 5, (300, 9)).astype(float)
+    x[rng.random(x.shape) < 0.4] = np.nan
+    y = np.array([[np.nan, 1, 2], [0, 0, 0], [-1, 1, np.nan], [-3, 1, 4], [np.nan] * 3])
+    for side, least in ((x, 2), (x, 4), (y, 2), (y, 1)):
+        a = pairs._by_missing({"x": side})
+        assert (len(a["runs"]) > 64) == (side is x)
+        got = np.concatenate([d for _, d in pairs._distances(a, a, least, 1000)])
+        assert np.array_equal(got, pairs.bray_curtis(a["x"], a["x"], least))
