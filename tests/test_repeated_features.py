@@ -169,3 +169,7 @@ def test_many_ways_to_miss_features():
         assert (len(a["runs"]) > 64) == (side is x)
         got = np.concatenate([d for _, d in pairs._distances(a, a, least, 1000)])
         assert np.array_equal(got, pairs.bray_curtis(a["x"], a["x"], least))
+
+
+def test_all_pairs_do_not_look_for_missing_features(spark, monkeypatch, unmasked):
+    _summary_unmasked(monkeypatch, 1.0)
