@@ -173,3 +173,19 @@ def test_many_ways_to_miss_features():
 
 def test_all_pairs_do_not_look_for_missing_features(spark, monkeypatch, unmasked):
     _summary_unmasked(monkeypatch, 1.0)
+
+
+def test_beta_preservation_returns_a_row_for_two_labels(spark, monkeypatch, unmasked):
+    rows, made, real = _rows(True), [], pairs.met
+
+    def met(rows, kernel, schema, block_rows, **more):
+        out = real(rows, kernel, schema, 1000, **more).persist()
+        made.append(out.count())
+        return out
+
+    monkeypatch.setattr(pairs, "met", met)
+    got = pairs.beta_preservation(_table(spark, rows)).first()[0]
+    sums = {same: [d for own in _pairs(rows).values() for li, lj, d in own if (li == lj) == same and d is not None] for same in (True, False)}
+    w, b = np.mean(sums[True]), np.mean(sums[False])
+    assert got == pytest.approx(max((b - w) / (b + w), 0))
+    assert made == [9]
