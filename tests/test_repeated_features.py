@@ -189,3 +189,57 @@ def test_beta_preservation_returns_a_row_for_two_labels(spark, monkeypatch, unma
     w, b = np.mean(sums[True]), np.mean(sums[False])
     assert got == pytest.approx(max((b - w) / (b + w), 0))
     assert made == [9]
+
+
+def _plain(a, b, at):
+    """Of row ``at`` of block a: number, sum, least and greatest of distances up to 1 to the samples of block b, itself apart."""
+    x = [None if np.isnan(v) else v for v in a["x"][at]]
+    near = [(d, n) for j, n in zip(b["x"], b["n"], strict=True) if (d := _distance(x, [None if np.isnan(v) else v for v in j])) is not None and d <= 1]
+    if a is b and (0.0, a["n"][at]) in near:
+        near.remove((0.0, a["n"][at]))
+        if a["n"][at] > 1:
+            near.append((0.0, a["n"][at] - 1))
+    return sum(n for _, n in near), sum(d * n for d, n in near), min((d for d, _ in near), default=np.inf), max((d for d, _ in near), default=0.0)
+
+
+def _compare_blocks(monkeypatch, x):
+    kernel = _kernel(monkeypatch, pairs.distance_summary, 1.0)
+    rng = np.random.default_rng(5)
+    x = rng.permutation(x)
+    blocks = []
+    for part in (x[: len(x) // 2], x[len(x) // 2 :]):
+        blocks.append({"id": np.arange(len(part)) + 10_000 * len(blocks), "x": part, "n": rng.integers(1, 4, len(part)), "again": np.zeros(len(part), bool)})
+    for a, b in (blocks, blocks[:1] * 2):
+        got = kernel(a, b)
+        assert len(got["id"]) == len(a["id"]) + (len(b["id"]) if b is not a else 0)
+        at = {i: k for k, i in enumerate(got["id"])}
+        for side, other in ((a, b), (b, a)):
+            for k in range(0, len(side["id"]), 7):
+                n, s, low, high = _plain(side, other, k)
+                g = at[side["id"][k]]
+                assert got["n"][g] == n and got["others"][g] == other["n"].sum() - (a is b)
+                assert got["s"][g] == pytest.approx(s) and got["low"][g] == pytest.approx(low) and got["high"][g] == pytest.approx(high)
+
+
+def _grid():
+    """Different vectors of three features of 0 to 8; some miss one or two."""
+    x = np.array(np.meshgrid(*[np.arange(9.0)] * 3)).reshape(3, -1).T
+    missing = [x[x[:, k] == 0] for k in range(3)]
+    for k, rows in enumerate(missing):
+        rows[:, k] = np.nan
+    return np.concatenate([np.random.default_rng(4).permutation(x)[:250], *missing, [[np.nan, np.nan, 1.0], [np.nan] * 3]])
+
+
+def test_all_pairs_of_repeated_values_meet_by_their_sums(spark, monkeypatch):
+    def meets(*_):
+        raise AssertionError("each pair's distance is made")
+
+    monkeypatch.setattr(pairs, "_distances", meets)
+    _compare_blocks(monkeypatch, _grid())
+
+
+def test_all_pairs_of_other_values_meet(spark, monkeypatch):
+    x = _grid()
+    # x - 1 has negative ones, whose distances may be over 1 and then don't count.
+    for other in (x / 7, x * 9_000, x + np.random.default_rng(6).random(x.shape), np.where(x == 3, 1e6, x), x - 1):
+        _compare_blocks(monkeypatch, other)
