@@ -243,3 +243,16 @@ def test_all_pairs_of_other_values_meet(spark, monkeypatch):
     # x - 1 has negative ones, whose distances may be over 1 and then don't count.
     for other in (x / 7, x * 9_000, x + np.random.default_rng(6).random(x.shape), np.where(x == 3, 1e6, x), x - 1):
         _compare_blocks(monkeypatch, other)
+
+
+def test_rows_meet_by_their_sums_in_pieces():
+    rng = np.random.default_rng(7)
+    q = rng.integers(0, 5, (33, 3)).astype(float)
+    p = np.concatenate([q, rng.integers(0, 5, (40, 3))]).astype(float)
+    for a, n, itself in ((p, rng.integers(1, 4, len(p)).astype(float), False), (q, np.ones(len(q)), True)):
+        d = pairs.bray_curtis(a, q, 2)
+        want = (d + np.where(np.eye(len(q)), np.inf, 0) if itself else d).min(axis=0), d.max(axis=0), n @ d
+        values = [np.unique(column, return_inverse=True) for column in a.T]
+        for pieces in ((5, 7), (1, 1), (128, 1024)):
+            got = pairs._by_sum(a, values, n, q, itself, *pieces)
+            assert all(g == pytest.approx(w) for g, w in zip(got, want, strict=True))
