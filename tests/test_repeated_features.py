@@ -256,3 +256,19 @@ def test_rows_meet_by_their_sums_in_pieces():
         for pieces in ((5, 7), (1, 1), (128, 1024)):
             got = pairs._by_sum(a, values, n, q, itself, *pieces)
             assert all(g == pytest.approx(w) for g, w in zip(got, want, strict=True))
+
+
+def test_blocks_are_dealt_without_lambdas(spark):
+    rows = spark.range(40).select("id")
+
+    def kernel(a, b):
+        i, j = (np.repeat(a["id"], len(b["id"])), np.tile(b["id"], len(a["id"])))
+        return {"i": i, "j": j}
+
+    for once in (False, True):
+        out = pairs.met(rows, kernel, "i long, j long", 7, once=once)
+        got = [(r.i, r.j) for r in out.collect()]
+        # With ``once`` ids of two blocks meet in one order, those of one block in both.
+        assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == {(i, j) for i in range(40) for j in range(i, 40)}
+        assert once or len(got) == 1600
+        assert "lambda" not in out._jdf.queryExecution().toString()
