@@ -272,3 +272,10 @@ def test_blocks_are_dealt_without_lambdas(spark):
         assert len(got) == len(set(got)) and {(min(p), max(p)) for p in got} == {(i, j) for i in range(40) for j in range(i, 40)}
         assert once or len(got) == 1600
         assert "lambda" not in out._jdf.queryExecution().toString()
+
+
+def test_tables_of_many_values_are_not_made():
+    p = np.repeat(np.arange(600.0), 4)[:, None]
+    assert pairs._by_sum(p, [np.unique(p[:, 0], return_inverse=True)], np.ones(len(p)), p[:10], False) is None
+    p %= 200
+    assert pairs._by_sum(p, [np.unique(p[:, 0], return_inverse=True)], np.ones(len(p)), p[:10], False) is not None
